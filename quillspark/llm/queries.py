@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import near_duplicates
+from quillspark.llm import garbled_text, near_duplicates
 from quillspark.sources import table
 
 
@@ -16,12 +16,21 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entry").where(F.col("field").isin("keynotes", "generalities"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_text.restored(_notes(spark, d)).select(F.col("id").alias("entry_id"))
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_text.restored(_notes(spark, d)).withColumnRenamed("id", "entry_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_notes(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    found = [p2_found, p2_restored, p4_found]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
