@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import garbled_text, near_duplicates
+from quillspark.llm import garbled_text, near_duplicates, stuffed_pages
 from quillspark.sources import table
 
 
@@ -28,8 +28,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_notes(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed_pages.junk_pages(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed_pages.junk_shares(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_restored, p4_found]
+    found = [p2_found, p2_restored, p4_found, p8_found, p8_shares]
     return {f.__name__: f for f in found}
 
 
