@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import garbled_text, near_duplicates, stuffed_pages
+from quillspark.llm import canonical_names, garbled_text, near_duplicates, stuffed_pages
 from quillspark.sources import table
 
 
@@ -16,6 +16,10 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entry").where(F.col("field").isin("keynotes", "generalities"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_names.mapped_names(table(spark, d, "source_record"), table(spark, d, "remedy_ref"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled_text.restored(_notes(spark, d)).select(F.col("id").alias("entry_id"))
 
@@ -37,7 +41,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_restored, p4_found, p8_found, p8_shares]
+    found = [p1_found, p2_found, p2_restored, p4_found, p8_found, p8_shares]
     return {f.__name__: f for f in found}
 
 
