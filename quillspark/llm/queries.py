@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical_names, garbled_text, near_duplicates, stuffed_pages
+from quillspark.llm import canonical_names, garbled_text, near_duplicates, stuffed_pages, survivors
 from quillspark.sources import table
 
 
@@ -28,6 +28,14 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled_text.restored(_notes(spark, d)).withColumnRenamed("id", "entry_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(table(spark, d, "entity"), table(spark, d, "book"))
+
+
+def p3_fused(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.fused(table(spark, d, "entity"), table(spark, d, "book"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_notes(spark, d))
 
@@ -41,7 +49,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p2_restored, p4_found, p8_found, p8_shares]
+    found = [p1_found, p2_found, p2_restored, p3_found, p3_fused, p4_found, p8_found, p8_shares]
     return {f.__name__: f for f in found}
 
 
