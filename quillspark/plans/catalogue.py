@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.operators import packed_values
+from quillspark.sources import table
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return packed_values.split_relationships(table(spark, d, "source_record"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
