@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical_names, garbled_text, near_duplicates, stuffed_pages, survivors
+from quillspark.llm import bin_packing, canonical_names, garbled_text, mixing, near_duplicates, stuffed_pages, survivors
 from quillspark.sources import table
 
 
@@ -40,6 +40,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_notes(spark, d))
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return bin_packing.containers(table(spark, d, "documents"), table(spark, d, "pack_bin"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return bin_packing.fill(p6_pack(spark, d), table(spark, d, "pack_bin"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p7_mix(spark, d), table(spark, d, "mix_target"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages.junk_pages(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -49,7 +65,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p2_restored, p3_found, p3_fused, p4_found, p8_found, p8_shares]
+    found = [p1_found, p2_found, p2_restored, p3_found, p3_fused, p4_found, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_shares]
     return {f.__name__: f for f in found}
 
 
