@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -37,19 +38,19 @@ def windows(tokens: Column, k: int) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), " "))).otherwise(F.array().cast("array<string>"))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def fold_marks(s: pd.Series) -> pd.Series:
     """NFKD without combining marks."""
     return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def decode_entities(s: pd.Series) -> pd.Series:
     """HTML entities, the whole HTML5 table."""
     return s.map(lambda x: x if x is None or "&" not in x else html.unescape(x))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def title_case(s: pd.Series) -> pd.Series:
     """A capital after every sign that is no letter (``initcap`` only looks at blanks)."""
     return s.map(lambda x: x if x is None else x.title())
@@ -68,7 +69,7 @@ def decode_bytes(*charsets: str):
                 continue
         return bytes(b).decode(charsets[-1], "replace")
 
-    @pandas_udf("string")
+    @pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(read)
 
@@ -146,9 +147,9 @@ def labelled_sections(c: Column) -> Column:
     mark = r"([A-Z][A-Za-z ,]{1,30}?)\.\s*--"
     labels = F.regexp_extract_all(c, F.lit(mark), F.lit(1))
     rest = F.split(c, mark)
-    first = F.lower(F.regexp_extract(F.element_at(labels, 1), "^([A-Za-z]+)", 1))
+    first = F.get(labels, F.lit(0))
     body = F.transform(F.arrays_zip(labels.alias("l"), F.slice(rest, 2, F.greatest(F.size(rest) - 1, F.lit(0))).alias("t")), lambda x: F.struct(F.lower(F.regexp_extract(x["l"], "^([A-Za-z]+)", 1)).alias("label"), squeeze(x["t"]).alias("text")))
-    intro = F.struct(F.lit("").alias("label"), squeeze(F.element_at(rest, 1)).alias("text"))
+    intro = F.struct(F.lit("").alias("label"), squeeze(F.get(rest, F.lit(0))).alias("text"))
     return F.when(first.isNull(), F.array(intro)).otherwise(F.concat(F.array(intro), body))
 
 

@@ -98,13 +98,13 @@ def _variant_rows(top: DataFrame, block: str) -> DataFrame:
     top.createOrReplaceTempView("_quillspark_block")
     spark = top.sparkSession
     kind = lambda v: f"case when schema_of_variant({v}) like 'ARRAY%' then 'list' when schema_of_variant({v}) like 'OBJECT%' then 'dict' else 'scalar' end"
-    level = spark.sql(f"select key, _at, f.key as field, {kind('f.value')} as kind, f.value as v from _quillspark_block, lateral variant_explode({block}) f")
+    level = spark.sql(f"select b.key, b._at, f.key as field, {kind('f.value')} as kind, f.value as v from _quillspark_block b, lateral variant_explode(b.{block}) f")
     level.createOrReplaceTempView("_quillspark_fields")
-    lists = spark.sql("select key, _at, field, kind, cast(null as string) subfield, cast(null as string) subkind, e.pos, to_json(e.value) v from _quillspark_fields, lateral variant_explode(v) e where kind = 'list'")
-    scalars = spark.sql("select key, _at, field, kind, cast(null as string) subfield, cast(null as string) subkind, 0 pos, to_json(v) v from _quillspark_fields where kind = 'scalar'")
-    subs = spark.sql(f"select key, _at, field, kind, s.key subfield, {kind('s.value')} subkind, s.value v from _quillspark_fields, lateral variant_explode(v) s where kind = 'dict'")
-    subs.createOrReplaceTempView("_quillspark_subs")
-    under = spark.sql("select key, _at, field, kind, subfield, subkind, e.pos, to_json(e.value) v from _quillspark_subs, lateral variant_explode(v) e where subkind = 'list' union all select key, _at, field, kind, subfield, subkind, 0 pos, to_json(v) v from _quillspark_subs where subkind <> 'list'")
+    none = "cast(null as string) subfield, cast(null as string) subkind"
+    lists = spark.sql(f"select t.key, t._at, t.field, t.kind, {none}, e.pos, to_json(e.value) v from _quillspark_fields t, lateral variant_explode(t.v) e where t.kind = 'list'")
+    scalars = spark.sql(f"select key, _at, field, kind, {none}, 0 pos, to_json(v) v from _quillspark_fields where kind = 'scalar'")
+    spark.sql(f"select t.key, t._at, t.field, t.kind, s.key subfield, {kind('s.value')} subkind, s.value v from _quillspark_fields t, lateral variant_explode(t.v) s where t.kind = 'dict'").createOrReplaceTempView("_quillspark_subs")
+    under = spark.sql("select t.key, t._at, t.field, t.kind, t.subfield, t.subkind, e.pos, to_json(e.value) v from _quillspark_subs t, lateral variant_explode(t.v) e where t.subkind = 'list' union all select key, _at, field, kind, subfield, subkind, 0 pos, to_json(v) v from _quillspark_subs where subkind <> 'list'")
     return lists.unionByName(scalars).unionByName(under)
 
 

@@ -65,7 +65,10 @@ def _dictionary(c: Column, table: dict[str, list[str]]) -> Column:
 
 
 def symptom_plan(symptoms: DataFrame, case: str = "case_id") -> DataFrame:
-    """``case, seq, group, label, mode, terms, loc, sens`` of each symptom; ``loc`` and ``sens`` are OR lists that set its context."""
+    """``case, seq, at, both, placed, felt, rule, label, terms``: what is searched for each symptom.
+
+    ``loc`` and ``sens`` rows hold OR lists; ``placed`` and ``felt`` say whether the symptom has them.
+    """
     s = symptoms.dropDuplicates([case, "n"]).select(
         F.col(case).alias("case"),
         F.col("n").alias("seq"),
@@ -82,12 +85,17 @@ def symptom_plan(symptoms: DataFrame, case: str = "case_id") -> DataFrame:
     side_words = F.filter(words(F.col("side")), lambda w: w != "side")
     side = F.when(~F.col("side").isin("", "N/A", "Both sides") & (F.size("loc") > 0), F.transform(side_words, lambda w: row("side", F.concat_ws(" ", F.col("side"), F.col("location")), F.array(w))))
     empty = F.array().cast("array<struct<rule:string,label:string,terms:array<string>>>")
-    mods = [F.transform(F.coalesce(c, none), lambda m, n=name: row("modality", F.concat(F.lit(n + ": "), m), kept_words(F.coalesce(m, F.lit("")), fixed.STOP_WORDS))) for name, c in (("better", F.col("sx_better")), ("worse", F.col("sx_worse")))]
+
+    def modality(name: str, c: Column) -> Column:
+        return F.transform(F.coalesce(c, none), lambda m: row("modality", F.concat(F.lit(f"{name}: "), m), kept_words(F.coalesce(m, F.lit("")), fixed.STOP_WORDS)))
+
+    mods = [modality("better", F.col("sx_better")), modality("worse", F.col("sx_worse"))]
     wins = [F.when(F.size("desc") >= 2, F.transform(windows(F.col("desc"), k), lambda w: row("window", w, F.split(w, " ")))) for k in (3, 2)]
     singles = F.transform("desc", lambda w: row("word", w, F.array(w)))
-    place = F.filter(F.array(row("place", F.concat_ws(" + ", F.nullif("location", F.lit("")), F.nullif("sensation", F.lit(""))), none)), lambda _: (F.size("loc") > 0) | (F.size("sens") > 0))
+    place = F.filter(F.array(row("loc", F.col("location"), F.col("loc")), row("sens", F.col("sensation"), F.col("sens"))), lambda r: F.size(r["terms"]) > 0)
     every = F.concat(place, *[F.coalesce(x, empty) for x in (side, *mods, *wins, singles)])
-    return s.select("case", "seq", "location", "sensation", "loc", "sens", F.posexplode(every).alias("at", "r")).select("case", "seq", "at", "location", "sensation", "loc", "sens", "r.*")
+    both = F.concat_ws(" + ", "location", "sensation")
+    return s.select("case", "seq", both.alias("both"), (F.size("loc") > 0).alias("placed"), (F.size("sens") > 0).alias("felt"), F.posexplode(every).alias("at", "r")).select("case", "seq", "at", "both", "placed", "felt", "r.*").where("size(terms) > 0")
 
 
 def form_plan(fields: DataFrame, case: str = "case_id") -> DataFrame:
@@ -101,74 +109,46 @@ def form_plan(fields: DataFrame, case: str = "case_id") -> DataFrame:
     return f.select("case", (order + 1_000_000).alias("seq"), "at", rule.alias("rule"), label.alias("label"), terms.alias("terms")).where("rule is not null and size(terms) > 0")
 
 
-def _award(rows: DataFrame, points: float | None, label: Column | str = "label") -> DataFrame | None:
-    if points is None:
-        return None
-    return rows.select("case", "seq", "at", "key", F.lit(points).cast(POINTS).alias("points"), (F.col(label) if isinstance(label, str) else label).alias("label"))
+def _points(profile: Profile, rule: str) -> Column:
+    return F.lit(profile.points[rule]).cast(POINTS) if rule in profile.points else F.lit(None).cast(POINTS)
 
 
 def form_awards(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key: str, profile: Profile = SERVER) -> DataFrame:
-    """``case, seq, at, key, points, label``: each award of each rule.
-
-    The distinct terms of all cases are looked up once.  "All" means that the
-    terms occur anywhere in the document, not side by side.
+    """``case, seq, at, key, points, label``: the awards of all rules.
+
+    All plan rows meet the hits of their distinct terms in one join; one
+    aggregation counts the terms that a document has of each row, and the
+    symptom's context (is the document in its place, has it its sensation) is
+    looked up beside it by a window on the same keys.  "All" means that the
+    terms occur anywhere in the document, not side by side.  An award given for
+    each term comes as one row of their sum.
     """
-    p = profile.points
-    plan = symptom_plan(symptoms)
-    form = form_plan(fields)
-    terms = plan.select(F.explode(F.array_union(F.array_union("loc", "sens"), "terms")).alias("term")).union(form.select(F.explode("terms").alias("term"))).distinct()
-    hits = materialize(term_hits(posted, terms, key).withColumnRenamed(key, "key"), "hits")
-
-    def each(rows: DataFrame, column: str) -> DataFrame:
-        """Rows by hit; a term that comes twice in a list awards once."""
-        return rows.select("*", F.explode(F.array_distinct(column)).alias("term")).join(hits, "term")
-
-    def every(rows: DataFrame) -> DataFrame:
-        need = F.size(F.array_distinct("terms"))
-        cols = [c for c in rows.columns if c not in ("terms", "loc", "sens")]
-        return each(rows.withColumn("_need", need), "terms").groupBy(*cols, "_need", "key").agg(F.count(F.lit(1)).alias("_got")).where("_got = _need").drop("_need", "_got")
-
-    context = ["case", "seq", "at"]
-    places = plan.where("rule = 'place'")
-    loc = each(places, "loc").select(*context, "location", "sensation", "label", "key", "term", F.size("sens").alias("other"))
-    sens = each(places, "sens").select(*context, "location", "sensation", "label", "key", "term", F.size("loc").alias("other"))
-    in_loc, in_sens = loc.where("other > 0").drop("term").distinct(), sens.where("other > 0").drop("term").distinct()
-    join = [*context, "key"]
-    out = [
-        _award(in_loc.join(in_sens.select(*join), join, "left_semi"), p.get("both")),
-        _award(in_loc.join(in_sens.select(*join), join, "left_anti"), p.get("location_rest"), "location"),
-        _award(in_sens.join(in_loc.select(*join), join, "left_anti"), p.get("sensation_rest"), "sensation"),
-        _award(loc.where("other = 0"), p.get("location_only"), "location"),
-        _award(sens.where("other = 0"), p.get("sensation_only"), "sensation"),
-    ]
-    all_loc = loc.select("case", "seq", "key").distinct()
-    if "side" in p:
-        out.append(_award(each(plan.where("rule = 'side'"), "terms").join(all_loc, ["case", "seq", "key"], "left_semi"), p["side"]))
-    if "modality_in" in p:
-        mod = each(plan.where("rule = 'modality' and size(terms) > 0"), "terms").select(*context, "label", "key", (F.size("loc") > 0).alias("placed")).distinct()
-        out.append(_award(mod.where("placed").join(all_loc, ["case", "seq", "key"], "left_semi"), p["modality_in"]))
-        out.append(_award(mod.where("placed").join(all_loc, ["case", "seq", "key"], "left_anti"), p["modality_out"]))
-        out.append(_award(mod.where("not placed"), p["modality_alone"]))
-    out.append(_award(every(plan.where("rule = 'window'").select(*context, "label", "terms")), p.get("window")))
-    if "word" in p:
-        out.append(_award(each(plan.where("rule = 'word'"), "terms"), p["word"]))
-    for rule in ("ailments", "constitution", "checked"):
-        rows = form.where(F.col("rule") == rule).select(*context, "label", "terms")
-        for name, cond in ((f"{rule}_all", F.size("terms") >= 2), (f"{rule}_one", F.size("terms") == 1)):
-            if name in p:
-                out.append(_award(every(rows.where(cond)), p[name]))
-    if "constitution_any" in p:
-        out.append(_award(each(form.where("rule = 'constitution'"), "terms"), p["constitution_any"]))
-    if "habit" in p:
-        out.append(_award(each(form.where("rule = 'habit'"), "terms"), p["habit"]))
-    if "free" in p:
-        free = form.where("rule = 'free'").select("case", "seq", "at", F.posexplode("terms").alias("_k", "term")).join(hits, "term")
-        out.append(_award(free.withColumn("label", F.col("term")), p["free"]))
-    kept = [x for x in out if x is not None]
-    total = kept[0]
-    for x in kept[1:]:
-        total = total.unionByName(x)
-    return total
+    form = form_plan(fields).select("case", "seq", "at", F.lit("").alias("both"), F.lit(False).alias("placed"), F.lit(False).alias("felt"), "rule", "label", "terms")
+    one_by_one = F.posexplode_outer(F.when(F.col("rule") == "free", F.transform("terms", lambda t: F.array(t))).otherwise(F.array("terms")))
+    plan = symptom_plan(symptoms).unionByName(form).select("case", "seq", "at", "both", "placed", "felt", "rule", "label", one_by_one.alias("part", "terms"))
+    plan = materialize(plan.withColumn("label", F.when(F.col("rule") == "free", F.col("terms")[0]).otherwise(F.col("label"))).withColumn("terms", F.array_distinct("terms")), "plan")
+    hits = materialize(term_hits(posted, plan.select(F.explode("terms").alias("term")).distinct(), key).withColumnRenamed(key, "key"), "hits")
+    met = plan.withColumn("need", F.size("terms")).withColumn("term", F.explode("terms")).drop("terms").join(hits, "term")
+    got = met.groupBy("case", "seq", "key", "at", "part", "rule", "label", "both", "placed", "felt", "need").agg(F.count(F.lit(1)).alias("got"))
+    here = Window.partitionBy("case", "seq", "key")
+    seen = got.withColumn("in_loc", F.max(F.col("rule") == "loc").over(here)).withColumn("in_sens", F.max(F.col("rule") == "sens").over(here))
+    p = lambda rule: _points(profile, rule)
+    rule, full = F.col("rule"), F.col("got") == F.col("need")
+    points = (
+        F.when(rule == "loc", F.when(~F.col("felt"), p("location_only") * F.col("got")).when(F.col("in_sens"), p("both")).otherwise(p("location_rest")))
+        .when(rule == "sens", F.when(~F.col("placed"), p("sensation_only") * F.col("got")).when(~F.col("in_loc"), p("sensation_rest")))
+        .when(rule == "side", F.when(F.col("in_loc"), p("side")))
+        .when(rule == "modality", F.when(~F.col("placed"), p("modality_alone")).when(F.col("in_loc"), p("modality_in")).otherwise(p("modality_out")))
+        .when(rule == "window", F.when(full, p("window")))
+        .when(rule == "word", p("word"))
+        .when(rule == "ailments", F.when(full, F.when(F.col("need") >= 2, p("ailments_all")).otherwise(p("ailments_one"))))
+        .when(rule == "constitution", p("constitution_any") * F.col("got") if "constitution_any" in profile.points else F.when(full, F.when(F.col("need") >= 2, p("constitution_all")).otherwise(p("constitution_one"))))
+        .when(rule == "habit", p("habit") * F.col("got"))
+        .when(rule == "checked", F.when(full, F.when(F.col("need") >= 2, p("checked_all")).otherwise(p("checked_one"))))
+        .when(rule == "free", p("free"))
+    )
+    label = F.when((rule == "loc") & F.col("felt") & F.col("in_sens"), F.col("both")).otherwise(F.col("label"))
+    return seen.select("case", "seq", "at", "key", points.cast(POINTS).alias("points"), label.alias("label")).where("points is not null")
 
 
 def ranked(awards: DataFrame, top: int = 50) -> DataFrame:
@@ -192,7 +172,8 @@ def ranked(awards: DataFrame, top: int = 50) -> DataFrame:
 
 def keywords_used(symptoms: DataFrame, fields: DataFrame) -> DataFrame:
     """``case, keywords_used``: distinct labels searched for by a case (single words and free text don't count)."""
-    plan = symptom_plan(symptoms).where("rule not in ('word', 'window')").select("case", "label")
+    plan = symptom_plan(symptoms).where("rule not in ('word', 'window')")
+    plan = plan.select("case", F.explode(F.when(F.col("rule").isin("loc", "sens") & F.col("placed") & F.col("felt"), F.array("both")).otherwise(F.array("label"))).alias("label"))
     form = form_plan(fields).where("rule <> 'free'").select("case", "label")
     return plan.union(form).groupBy("case").agg(F.count_distinct("label").alias("keywords_used"))
 

@@ -5,18 +5,309 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.operators import packed_values
+from quillspark.functions import fixed_values as fixed
+from quillspark.functions import text as T
+from quillspark.operators import curate, graph, index, packed_values, resolve, scoring, search
+from quillspark.plans.oracle import SQL
 from quillspark.sources import table
 
+#: A search plan as an external planner would hand it in.
+PLAN = """```json
+{"analysis": "", "search_groups": [
+ {"label": "throbbing head", "required_terms": ["throbbing", "temple"], "bonus_terms": ["night", "wine"], "weight": 3.0},
+ {"label": "tremor", "required_terms": ["tremble"], "bonus_terms": ["fever", "of"], "weight": 1.5},
+ {"label": "nothing", "required_terms": [], "bonus_terms": ["sleep"]}],
+ "suggested_remedies": ["Casnortorora", {"name": "Drowelgymopsis hexpedina", "reason": ""}], "reasoning": ""}
+```"""
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.keyed(table(spark, d, "source_record"))
+
+
+def _posted(spark: SparkSession, d: str) -> DataFrame:
+    return index.postings(_documents(spark, d), "doc_id", "text")
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as search entries: a text's sources are those of all its copies."""
+    source = F.lower(F.trim("source"))
+    docs = _documents(spark, d).withColumn("_h", F.sha2(F.lower(F.trim(F.coalesce("text", F.lit("")))), 256))
+    count = docs.groupBy("_h").agg(F.count_distinct(source).cast("int").alias("n_sources"))
+    rows = docs.join(count, "_h").select(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("")).alias("primary"), F.lit("").alias("latin"), source.alias("category"), "n_sources", (F.length("text") >= 1000).alias("has_traditional"), F.col("url").isNotNull().alias("has_evidence"), "text")
+    return index.ranked_index(rows)
+
+
+def _names(entries: DataFrame) -> DataFrame:
+    return entries.select("idx", F.col("primary").alias("names"))
+
+
+def inverted_index(spark: SparkSession, d: str) -> DataFrame:
+    return _posted(spark, d)
+
+
+def token_df(spark: SparkSession, d: str) -> DataFrame:
+    return index.vocabulary(_posted(spark, d))
+
+
+def search_and(spark: SparkSession, d: str) -> DataFrame:
+    return search.all_of(_posted(spark, d), ["throb", "temple"], "doc_id")
+
+
+def search_or(spark: SparkSession, d: str) -> DataFrame:
+    return search.any_of(_posted(spark, d), ["oyster", "vinegar"], "doc_id")
+
+
+def search_minus(spark: SparkSession, d: str) -> DataFrame:
+    posted = _posted(spark, d)
+    return search.without(search.any_of(posted, ["oyster"], "doc_id"), search.any_of(posted, ["vinegar"], "doc_id"), "doc_id")
+
+
+def _search(spark: SparkSession, d: str, query: str, **options) -> DataFrame:
+    entries = _entries(spark, d)
+    posted = index.postings(entries, "idx", index.search_text(F.col("primary"), F.col("latin"), F.col("text")))
+    return search.search(entries, posted, query, **options).select("idx", "id", "primary", "n_sources", "score", "total")
+
+
+def search_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, "On gastro")
+
+
+def search_category(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, "fever", category="harvask-web")
+
+
+def search_dual(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, "fever", dual_only=True)
+
+
+def search_all(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, " ")
+
+
+def search_pct(spark: SparkSession, d: str) -> DataFrame:
+    found = _search(spark, d, "On gastro")
+    top = found.agg(F.max("score").alias("top"))
+    return found.join(F.broadcast(top)).select("idx", "id", F.round(100 * F.col("score") / F.col("top")).cast("int").alias("pct"))
+
+
+def index_order(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(spark, d).select("idx", "id", "n_sources")
+
+
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "entity").select(T.point_key(F.col("id")).alias("id")).where("id like 'b%'").distinct()
+    return _records(spark, d).select("rec_id", F.col("id")).union(table(spark, d, "entity").select("row_id", "id")).join(asked, "id", "left_semi").select(F.col("rec_id").alias("row"), "id")
+
+
+def phrase_in_fields(spark: SparkSession, d: str) -> DataFrame:
+    found = index.snippets(table(spark, d, "entry"), "rec_id")
+    return search.phrase_in(found, "on waking", "rec_id", ["head", "skin"])
+
+
+def first_match(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "remedy_ref").where("ref_id % 100 = 0").select(F.col("latin").alias("name"))
+    return search.first_match(asked, _names(_entries(spark, d)))
+
+
+def kept_words(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "symptom").select("case_id", "n", "sx_desc").distinct()
+    return rows.select("case_id", "n", F.array_join(T.kept_words(F.col("sx_desc"), fixed.STOP_WORDS), " ").alias("kept"))
+
+
+def word_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "symptom").select("case_id", "n", T.kept_words(F.col("sx_desc"), fixed.STOP_WORDS).alias("w")).distinct()
+    return rows.select("case_id", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), T.windows(F.col("w"), k).alias("v")) for k in (2, 3)])).alias("x")).select("case_id", "n", "x.k", F.posexplode("x.v").alias("pos", "words"))
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The query set of the form searches: every hundredth case against all documents."""
+    return tuple(table(spark, d, t).where("case_id % 100 = 0") for t in ("symptom", "form_field"))
+
+
+def form_scores(spark: SparkSession, d: str) -> DataFrame:
+    symptoms, fields = _asked(spark, d)
+    return scoring.ranked(scoring.form_awards(symptoms, fields, _posted(spark, d), "doc_id"), scoring.SERVER.top)
+
+
+def form_scores_browser(spark: SparkSession, d: str) -> DataFrame:
+    symptoms, fields = _asked(spark, d)
+    return scoring.ranked(scoring.form_awards(symptoms, fields, _posted(spark, d), "doc_id", scoring.BROWSER), scoring.BROWSER.top)
+
+
+def form_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.keywords_used(table(spark, d, "symptom"), table(spark, d, "form_field"))
+
+
+def plan_scores(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d)
+    posted = index.postings(entries, "idx", "text")
+    plans = spark.createDataFrame([(1, PLAN)], "case long, plan string")
+    return scoring.ranked(scoring.plan_awards(plans, posted, _names(entries), "idx"))
+
+
+def checked_classes(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "form_field").where("field = '_checked' and field_value is not null").select(F.initcap("field_value").alias("item"))
+    return items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).select("item", "n", scoring.checked_classes(F.col("item")).alias("c")).select("item", "n", "c.*")
+
+
+def case_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.case_summaries(table(spark, d, "symptom"), table(spark, d, "form_field"))
+
+
+def canonical_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("rec_id", "key")
+
+
+def merged_names(spark: SparkSession, d: str) -> DataFrame:
+    m = resolve.merged_names(_records(spark, d))
+    return m.select("key", "primary", "latin", "category", "n_records", *[F.array_join(c, "|").alias(c) for c in ("common", "synonyms", "sources")])
+
+
+def merged_block(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.merged_block(resolve.block_entries(_records(spark, d)))
+
+
+def block_kinds(spark: SparkSession, d: str) -> DataFrame:
+    e = resolve.block_entries(_records(spark, d).withColumn("key", F.col("rec_id").cast("string")))
+    return e.select("key", "field", "kind").distinct().groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.corpus_counts(_records(spark, d))
+
+
+def entry_snippets(spark: SparkSession, d: str) -> DataFrame:
+    return index.snippets(table(spark, d, "entry"), "rec_id")
+
+
+def prefix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "entry").select("entry_id", "rec_id", "field", "seq", "text").distinct()
+    return curate.first_by_prefix(rows, ["rec_id", "field"], ["seq", "entry_id"]).select("entry_id")
+
+
+def donor_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "entry").select("entry_id", "field", "text", "source_id").distinct()
+    return curate.new_texts(rows.where("source_id like '%keynotes%'"), rows.where("source_id like '%synopsis%'"), ["field"]).select("entry_id", "field")
+
+
+def evidence_rating(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", T.evidence_rating(F.col("text")).alias("rating"))
+
+
+def slugs(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "source_record").select("rec_id", F.col("names.primary").alias("name")).where("name is not null")
+    return names.select("rec_id", *[T.slug(F.col("name"), m).alias(m) for m in T.SLUG_MODES])
+
+
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    found = _documents(spark, d).select("doc_id", F.posexplode(T.links(F.col("text"))).alias("pos", "url"))
+    return found.groupBy("doc_id", "url").agg(F.min("pos").alias("pos"))
+
+
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).where("text rlike '<[a-zA-Z]'").select("doc_id", T.clean_markup(F.col("text")).alias("plain"))
+
+
+def labelled_sections(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d).where(r"text rlike '\\.\\s*--'")
+    return docs.select("doc_id", F.posexplode(T.labelled_sections(F.col("text"))).alias("pos", "s")).select("doc_id", "pos", "s.label", "s.text")
+
+
+def numbered_items(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", F.posexplode(T.numbered_items(F.col("text"))).alias("pos", "item"))
+
+
+def scanned_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", F.posexplode(T.scanned_paragraphs(F.col("text"))).alias("pos", "paragraph"))
+
+
+def heading_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", T.heading_line(F.col("title")).alias("heading")).where("heading <> ''")
+
+
+def frequent_marks(spark: SparkSession, d: str) -> DataFrame:
+    marks = F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{2,4}-[a-z]{1,2})\."), F.lit(1))
+    return curate.frequent_marks(_documents(spark, d).select(F.posexplode(marks).alias("pos", "mark")), "mark", 3)
+
+
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("total"), F.max(k).alias("most"))
+
+
+def daily_limit(spark: SparkSession, d: str) -> DataFrame:
+    return curate.daily_cap(table(spark, d, "events")).select("event_id", "allowed")
+
+
+def link_bfs(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    nation = table(spark, d, "nation")
+    edges = nation.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst")).union(nation.select(name("n", "n_nationkey"), name("r", "n_regionkey")))
+    edges = edges.union(table(spark, d, "customer").select(name("n", "c_nationkey"), name("c", "c_custkey")))
+    return graph.reachable(edges, spark.createDataFrame([("r1",)], "node string"))
+
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return packed_values.split_relationships(table(spark, d, "source_record"))
 
 
+_QUERIES = [
+    inverted_index,
+    token_df,
+    search_and,
+    search_or,
+    search_minus,
+    search_ranked,
+    search_category,
+    search_dual,
+    search_all,
+    search_pct,
+    index_order,
+    point_lookup,
+    phrase_in_fields,
+    first_match,
+    kept_words,
+    word_windows,
+    form_scores,
+    form_scores_browser,
+    form_keywords,
+    plan_scores,
+    checked_classes,
+    case_summaries,
+    canonical_keys,
+    merged_names,
+    merged_block,
+    block_kinds,
+    corpus_counts,
+    entry_snippets,
+    prefix_dedup,
+    donor_texts,
+    evidence_rating,
+    slugs,
+    page_links,
+    page_text,
+    labelled_sections,
+    numbered_items,
+    scanned_paragraphs,
+    heading_lines,
+    frequent_marks,
+    json_props,
+    daily_limit,
+    link_bfs,
+    p5_found,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
