@@ -203,15 +203,17 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def split_packed(df: DataFrame, value: str = "value") -> DataFrame:
     """``df`` with ``pos, item``, one row for each value of strings that list two or more.
 
-    Null, empty and single-valued strings, and remarks, give no rows; other
-    columns are kept, ``pos`` and ``item`` must not be among them.
+    Null, empty and single-valued strings, and remarks, give no rows; an empty
+    table stays empty.  Other columns are kept, whatever their names, but a
+    ``pos`` or ``item`` among them gives way.  Repeated rows repeat.
     """
-    cut = df.withColumn("_tokens", tokens(F.col(value))).withColumn("_skeleton", skeleton(F.col("_tokens")))
-    rules = cut.where(F.size("_skeleton") > 2).select(F.col("_skeleton").alias("skeleton")).distinct().mapInArrow(_rules, "skeleton array<string>, ranges array<struct<a:int,n:int>>").where(F.size("ranges") >= 2)
-    ruled = cut.join(rules, F.col("_skeleton") == F.col("skeleton"))
-    out = ruled.select(*[F.col(c) for c in df.columns], "_tokens", F.posexplode("ranges").alias("pos", "_range"))
-    item = F.array_join(F.slice("_tokens", F.col("_range.a") + 1, F.col("_range.n")), "")
-    return out.select(*[F.col(c) for c in df.columns], "pos", item.alias("item"))
+    kept = [c for c in df.columns if c not in ("pos", "item")]
+    cut = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), tokens(F.col(value)).alias("tokens"))
+    cut = cut.withColumn("skeleton", skeleton(F.col("tokens"))).where(F.size("skeleton") > 2)
+    rules = cut.select("skeleton").distinct().mapInArrow(_rules, "skeleton array<string>, ranges array<struct<a:int,n:int>>").where(F.size("ranges") >= 2)
+    out = cut.join(rules, "skeleton").select("row", "tokens", F.posexplode("ranges").alias("pos", "range"))
+    item = F.array_join(F.slice("tokens", F.col("range.a") + 1, F.col("range.n")), "")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "pos", item.alias("item"))
 
 
 def relationship_strings(records: DataFrame) -> DataFrame:
