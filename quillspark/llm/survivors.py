@@ -29,7 +29,7 @@ STAND_INS = ["n/a", "na", "nil", "none", "null", "unknown", "untitled", "unnamed
 #: Marks of omission at the end of a cut value.
 OMISSION = r"(?U)\s*(?:\.{3,}|…|\(cont\.?\)|\(more\)|\[…\]|\[\.{3}\]|\(…\)|\(\.{3}\)|\(continued\)|\[cont\.?\]|\[more\])+\s*$"
 MOST_SOURCES = 5_000
-COPY_RATE, PRIOR_COPY, FALSE_VALUES, ROUNDS = 0.8, 0.1, 10, 3
+COPY_RATE, PRIOR_COPY, FALSE_VALUES, ROUNDS = 0.8, 0.1, 10, 4
 
 
 def trimmed(c: Column) -> Column:
@@ -184,11 +184,13 @@ def fused(entity: DataFrame, book: DataFrame) -> DataFrame:
             return won.select("id", "field", F.col("best").alias("v"), (F.exp(F.least("top", F.lit(600.0))) / (F.col("mass") + lone)).alias("posterior"), F.round("top", 6).alias("votes"))
         won = materialize(won.where("rivals > 1").select("id", "field", "best"), "truths")
         told = values.join(won, ["id", "field"]).withColumn("right", F.col("v") == F.col("best"))
+        met_with = accuracy.copy()  # copying is judged before accuracies are: sources that outvote others by copying look right
         single = told.select("id", "field", "right", F.explode("sources").alias("a"))
         tally = {(r.a, r.right): r.k for r in single.groupBy("a", "right").agg(F.count(F.lit(1)).alias("k")).collect()}  # two rows a source
         for s in range(n):
             good, bad = tally.get((s, True), 0), tally.get((s, False), 0)
-            accuracy[s] = min(0.99, max(0.05, (good + 4) / (good + bad + 5)))
+            if turn:
+                accuracy[s] = min(0.99, max(0.05, (good + 4) / (good + bad + 5)))
         pairs = told.select("id", "field", "right", F.explode("sources").alias("a"), "sources").select("right", "a", F.explode(F.filter("sources", lambda b: b > F.col("a"))).alias("b"))
         same = {(r.a, r.b, r.right): r.k for r in pairs.groupBy("a", "b", "right").agg(F.count(F.lit(1)).alias("k")).collect()}  # sources squared at most
         items = told.select("id", "field", F.explode("sources").alias("a")).groupBy("id", "field").agg(F.collect_set("a").alias("s"))
@@ -196,10 +198,9 @@ def fused(entity: DataFrame, book: DataFrame) -> DataFrame:
         for r in met.collect():
             right, wrong = same.get((r.a, r.b, True), 0), same.get((r.a, r.b, False), 0)
             other = max(0, r.k - right - wrong)
-            x, y = accuracy[r.a], accuracy[r.b]
+            x, y = met_with[r.a], met_with[r.b]
             pt, pf = x * y, (1 - x) * (1 - y) / FALSE_VALUES
-            pd, a = 1 - pt - pf, (x + y) / 2
+            a = (x + y) / 2
             logs = right * np.log(pt / (a * COPY_RATE + pt * (1 - COPY_RATE))) + wrong * np.log(pf / ((1 - a) * COPY_RATE + pf * (1 - COPY_RATE))) - other * np.log(1 - COPY_RATE)
             dependence[r.a, r.b] = dependence[r.b, r.a] = 1 / (1 + (1 - PRIOR_COPY) / PRIOR_COPY * np.exp(min(600.0, logs)))
-            assert pd >= 0
     raise AssertionError("ROUNDS must be positive")
