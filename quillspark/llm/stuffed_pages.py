@@ -10,8 +10,8 @@ and length over the whole corpus.  A block is junk where
   before (``AGAIN``), whatever its punctuation, or
 * it is low (``LOW``), and the block has few sentence ends (``FEW_ENDS``) and
   few connecting words (``FEW_LINKING``), or
-* it isn't above prose (``EVEN``), and the share of content words that came in
-  the block before exceeds the share of connecting words by ``STUFFED`` (without
+* it isn't above prose (``EVEN``), and the share of content words, by letters,
+  that came in the block before exceeds the share of connecting words by ``STUFFED`` (without
   sentence ends, ``STUFFED_BARE``):
   keywords broken up by full stops keep the punctuation of prose, so the words
   that hold sentences together confirm instead.
@@ -38,9 +38,9 @@ from quillspark.plans.scratch import materialize
 BLOCK = 320
 EXTREME, LOW, EVEN = 0.58, 0.72, 0.95
 AGAIN, FEW_LINKING, FEW_ENDS = 0.55, 0.12, 0.6
-STUFFED, STUFFED_BARE = 0.27, 0.18
+STUFFED, STUFFED_BARE = 0.25, 0.2
 #: A block of fewer content words isn't judged by their repetition.
-LEAST_WORDS = 12
+LEAST_WORDS = 16
 
 #: Common connecting words of English, German, French and Spanish.
 LINKING = frozenset(
@@ -75,13 +75,13 @@ def _blocks(text: str) -> list[str]:
 
 
 def features(block: str) -> tuple[int, float, float, float, float]:
-    """Characters, ratio, share of connecting words, sentence ends a 100 characters, share of repeated content words."""
+    """Characters, ratio, share of connecting words, sentence ends a 100 characters, share of repeated content words by letters."""
     plain = _SPACE.sub(" ", block)
     masked = _DIGIT.sub("0", _GLUED.sub(" ", _TARGET.sub("@", plain))).lower()
     words = _WORD.findall(masked)
     linking = sum(w in LINKING for w in words) / max(1, len(words))
     content = [w for w in words if len(w) > 2 and w not in LINKING]
-    again = 1 - len(set(content)) / len(content) if len(content) >= LEAST_WORDS else 0.0
+    again = 1 - len("".join(set(content))) / len("".join(content)) if len(content) >= LEAST_WORDS else 0.0
     size = max(40, len(plain.encode()))
     return len(block), max(1, len(zlib.compress(masked.encode(), 6)) - 8) / size, linking, 100 * len(_END.findall(plain)) / max(40, len(plain)), again
 
