@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import squeeze, words
+from quillspark.plans.ranks import numbered
 
 SNIPPET, JOINED = 400, 800
 
@@ -13,18 +14,10 @@ SNIPPET, JOINED = 400, 800
 def ranked_index(entries: DataFrame, tie: str = "id") -> DataFrame:
     """``entries`` with ``idx``: position by most sources, then primary name, then ``tie``.
 
-    The position is a global number.  It is made from a range sort and the
-    counts of its parts, so no single task orders all rows; the sorted rows
-    are written once, which fixes the parts.
+    The order is that of one global range sort.
     """
-    from quillspark.plans.scratch import materialize
-
     order = [F.desc("n_sources"), F.asc_nulls_first("primary"), F.asc(tie)]
-    part = materialize(entries.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "sorted")
-    counts = part.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # a row for each part
-    before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return part.withColumn("_local", local).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("idx", (F.col("_before") + F.col("_local")).cast("int")).drop("_part", "_local", "_before")
+    return numbered(entries, [], order, "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
 def postings(df: DataFrame, key: str, text: Column | str, least: int = 3) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed_values as fixed
 from quillspark.functions.text import fold_marks
+from quillspark.plans.ranks import numbered
 
 DEFAULT_CATEGORY = "homeopathic"
 
@@ -113,8 +114,8 @@ def merged_block(entries: DataFrame) -> DataFrame:
 
     Lists of one field are strung together, dicts are merged one level deep,
     and where kinds differ (of a field, or under a dict) the first stays.  A
-    scalar keeps its first value.  Rows of a hot key are numbered by field, not
-    gathered.
+    scalar keeps its first value.  Rows of a hot key are numbered in a range
+    sort, not gathered.
     """
     first = entries.groupBy("key", "field").agg(F.min_by("kind", "_at").alias("kind"))
     same = entries.join(first, ["key", "field", "kind"])
@@ -122,8 +123,8 @@ def merged_block(entries: DataFrame) -> DataFrame:
     kept = same.join(sub, (same["key"] == sub["key"]) & (same["field"] == sub["field"]) & same["subfield"].eqNullSafe(sub["subfield"])).where(same["subkind"].eqNullSafe(F.col("k2")))
     lists = (same["kind"] == "list") | (same["subkind"] == "list")
     kept = kept.where(lists | (same["_at"] == F.col("_first")))
-    w = Window.partitionBy(same["key"], same["field"], same["subfield"]).orderBy(same["_at"], "pos")
-    return kept.select(same["key"], same["field"], same["kind"], same["subfield"], same["subkind"], (F.row_number().over(w) - 1).alias("n"), "v")
+    rows = kept.select(same["key"], same["field"], same["kind"], same["subfield"], same["subkind"], same["_at"], "pos", "v")
+    return numbered(rows, ["key", "field", "subfield"], [F.asc("_at"), F.asc("pos")], "n").drop("_at", "pos")
 
 
 def corpus_counts(records: DataFrame) -> DataFrame:

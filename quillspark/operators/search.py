@@ -16,17 +16,29 @@ def terms_of(query: str, least: int = 3) -> list[str]:
     return list(dict.fromkeys(re.findall("[a-z]{%d,}" % least, query.lower())))
 
 
+def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """The pairs of rows of ``texts`` and ``parts`` where the text contains the part.
+
+    An equi-join on the first three letters of the part and the runs of up to
+    three letters of the text finds the candidates; ``contains`` decides.  So
+    there is no nested loop, and no side need be broadcast.
+    """
+    runs = F.expr(f"array_distinct(flatten(transform(array(1, 2, 3), k -> case when length(`{text}`) >= k then transform(sequence(1, length(`{text}`) - k + 1), i -> substring(`{text}`, i, k)) else array() end)))")
+    left = texts.withColumn("_run", F.explode(runs))
+    right = parts.where(F.length(part) > 0).withColumn("_run", F.substring(part, 1, 3))
+    return left.join(right, "_run").where(F.contains(F.col(text), F.col(part))).drop("_run")
+
+
 def term_hits(posted: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """``term, key``: documents with a token that contains the term.
 
-    The substring join runs over the distinct vocabulary only, against the
-    terms of the query set; a term with a blank or another sign than a-z hits
-    nothing.  Postings come in by an equi-join on the token.
+    The substring join runs over the distinct vocabulary, against the terms of
+    the query set; a term with a blank or another sign than a-z hits nothing.
+    Postings come in by an equi-join on the token.
     """
     vocab = posted.select("token").distinct()
     few = terms.select("term").where("term rlike '^[a-z]+$'").distinct()
-    matched = vocab.join(F.broadcast(few), F.contains(F.col("token"), F.col("term")))
-    return posted.join(matched, "token").select("term", key).distinct()
+    return posted.join(containing(vocab, "token", few, "term"), "token").select("term", key).distinct()
 
 
 def _terms(posted: DataFrame, terms: list[str]) -> DataFrame:
@@ -104,10 +116,9 @@ def preview(snippets: Column) -> Column:
 def first_match(names: DataFrame, entries: DataFrame, wanted: str = "name", text: str = "names") -> DataFrame:
     """``name, idx``: for each suggested name the first entry whose names hold it, or one of its words of four or more letters.
 
-    The join is by substring, so the suggested names should be few; they are
-    the broadcast side only if the optimiser finds them small.
+    A blank or null name fits nothing.
     """
     asked = names.select(F.col(wanted).alias("name"), F.lower(F.trim(F.col(wanted))).alias("_n")).where("_n <> ''").distinct()
     parts = asked.select("name", F.explode(F.array_distinct(F.concat(F.array("_n"), F.filter(F.split("_n", r"\s+"), lambda w: F.length(w) >= 4)))).alias("_part"))
     listed = entries.select("idx", F.lower(F.col(text)).alias("_names"))
-    return listed.join(parts, F.contains(F.col("_names"), F.col("_part"))).groupBy("name").agg(F.min("idx").alias("idx"))
+    return containing(listed, "_names", parts, "_part").groupBy("name").agg(F.min("idx").alias("idx"))
