@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import fixed_values as fixed
 from quillspark.functions.text import fold_marks
 from quillspark.plans.ranks import numbered
+from quillspark.plans.scratch import materialize
 
 DEFAULT_CATEGORY = "homeopathic"
 
@@ -117,13 +118,12 @@ def merged_block(entries: DataFrame) -> DataFrame:
     scalar keeps its first value.  Rows of a hot key are numbered in a range
     sort, not gathered.
     """
+    entries = materialize(entries, "block")
     first = entries.groupBy("key", "field").agg(F.min_by("kind", "_at").alias("kind"))
     same = entries.join(first, ["key", "field", "kind"])
-    sub = same.groupBy("key", "field", "subfield").agg(F.min_by("subkind", "_at").alias("k2"), F.min("_at").alias("_first"))
-    kept = same.join(sub, (same["key"] == sub["key"]) & (same["field"] == sub["field"]) & same["subfield"].eqNullSafe(sub["subfield"])).where(same["subkind"].eqNullSafe(F.col("k2")))
-    lists = (same["kind"] == "list") | (same["subkind"] == "list")
-    kept = kept.where(lists | (same["_at"] == F.col("_first")))
-    rows = kept.select(same["key"], same["field"], same["kind"], same["subfield"], same["subkind"], same["_at"], "pos", "v")
+    sub = same.groupBy("key", "field", "subfield").agg(F.min_by("subkind", "_at").alias("_kind"), F.min("_at").alias("_first")).toDF("_key", "_field", "_subfield", "_kind", "_first")
+    kept = same.join(sub, F.expr("key = _key and field = _field and subfield <=> _subfield and subkind <=> _kind"))
+    rows = kept.where("kind = 'list' or subkind = 'list' or _at = _first").select("key", "field", "kind", "subfield", "subkind", "_at", "pos", "v")
     return numbered(rows, ["key", "field", "subfield"], [F.asc("_at"), F.asc("pos")], "n").drop("_at", "pos")
 
 
