@@ -113,23 +113,29 @@ def _points(profile: Profile, rule: str) -> Column:
     return F.lit(profile.points[rule]).cast(POINTS) if rule in profile.points else F.lit(None).cast(POINTS)
 
 
-def form_awards(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key: str, profile: Profile = SERVER) -> DataFrame:
-    """``case, seq, at, key, points, label``: the awards of all rules.
-
-    All plan rows meet the hits of their distinct terms in one join; one
-    aggregation counts the terms that a document has of each row, and the
-    symptom's context (is the document in its place, has it its sensation) is
-    looked up beside it by a window on the same keys.  "All" means that the
-    terms occur anywhere in the document, not side by side.  An award given for
-    each term comes as one row of their sum.
-    """
+def _form_parts(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The numbered plan rows of all cases, and ``term, key`` hits of their distinct terms."""
     form = form_plan(fields).select("case", "seq", "at", F.lit("").alias("both"), F.lit(False).alias("placed"), F.lit(False).alias("felt"), "rule", "label", "terms")
     one_by_one = F.posexplode_outer(F.when(F.col("rule") == "free", F.transform("terms", lambda t: F.array(t))).otherwise(F.array("terms")))
     plan = symptom_plan(symptoms).unionByName(form).select("case", "seq", "at", "both", "placed", "felt", "rule", "label", one_by_one.alias("part", "terms"))
-    plan = materialize(plan.withColumn("label", F.when(F.col("rule") == "free", F.col("terms")[0]).otherwise(F.col("label"))).withColumn("terms", F.array_distinct("terms")), "plan")
-    hits = materialize(term_hits(posted, plan.select(F.explode("terms").alias("term")).distinct(), key).withColumnRenamed(key, "key"), "hits")
-    met = plan.withColumn("need", F.size("terms")).withColumn("term", F.explode("terms")).drop("terms").join(hits, "term")
-    got = met.groupBy("case", "seq", "key", "at", "part", "rule", "label", "both", "placed", "felt", "need").agg(F.count(F.lit(1)).alias("got"))
+    plan = plan.withColumn("label", F.when(F.col("rule") == "free", F.col("terms")[0]).otherwise(F.col("label"))).withColumn("terms", F.array_distinct("terms"))
+    plan = materialize(plan.withColumn("row", F.monotonically_increasing_id()), "plan")
+    hits = term_hits(posted, plan.select(F.explode("terms").alias("term")).distinct(), key).withColumnRenamed(key, "key")
+    return plan, materialize(hits, "hits")
+
+
+def _form_points(plan: DataFrame, hits: DataFrame, profile: Profile, only: DataFrame | None = None) -> DataFrame:
+    """``case, seq, key, row, points, paired``: the award of each plan row to each document that it hits.
+
+    All rows meet the hits in one join; one aggregation counts the terms that a
+    document has of each row, and the symptom's context (is the document in its
+    place, has it its sensation) is looked up beside it by a window on the same
+    keys.  ``only`` (``case, key``) keeps some documents of some cases.
+    """
+    met = plan.select("case", "seq", "row", "rule", "placed", "felt", F.size("terms").cast("short").alias("need"), F.explode("terms").alias("term")).join(hits, "term").drop("term")
+    if only is not None:
+        met = met.join(only.select("case", "key"), ["case", "key"], "left_semi")
+    got = met.groupBy("case", "seq", "key", "row", "rule", "placed", "felt", "need").agg(F.count(F.lit(1)).alias("got"))
     here = Window.partitionBy("case", "seq", "key")
     seen = got.withColumn("in_loc", F.max(F.col("rule") == "loc").over(here)).withColumn("in_sens", F.max(F.col("rule") == "sens").over(here))
     p = lambda rule: _points(profile, rule)
@@ -147,8 +153,30 @@ def form_awards(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key:
         .when(rule == "checked", F.when(full, F.when(F.col("need") >= 2, p("checked_all")).otherwise(p("checked_one"))))
         .when(rule == "free", p("free"))
     )
-    label = F.when((rule == "loc") & F.col("felt") & F.col("in_sens"), F.col("both")).otherwise(F.col("label"))
-    return seen.select("case", "seq", "at", "key", points.cast(POINTS).alias("points"), label.alias("label")).where("points is not null")
+    paired = (rule == "loc") & F.col("felt") & F.col("in_sens")
+    return seen.select("case", "seq", "key", "row", points.cast(POINTS).alias("points"), paired.alias("paired")).where("points is not null")
+
+
+def _labelled(points: DataFrame, plan: DataFrame) -> DataFrame:
+    label = F.when(F.col("paired"), F.col("both")).otherwise(F.col("label"))
+    return points.join(plan.select("row", "at", "both", "label"), "row").select("case", "seq", "at", "key", "points", label.alias("label"))
+
+
+def form_awards(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key: str, profile: Profile = SERVER) -> DataFrame:
+    """``case, seq, at, key, points, label``: the awards of all rules.
+
+    "All" means that the terms occur anywhere in the document, not side by
+    side.  An award given for each term comes as one row of their sum.
+    """
+    plan, hits = _form_parts(symptoms, fields, posted, key)
+    return _labelled(_form_points(plan, hits, profile), plan)
+
+
+def ranked_forms(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key: str, profile: Profile = SERVER) -> DataFrame:
+    """The same as ``ranked(form_awards(...))``, with labels looked up for the best documents only."""
+    plan, hits = _form_parts(symptoms, fields, posted, key)
+    best = materialize(_top(_form_points(plan, hits, profile).groupBy("case", "key").agg(F.sum("points").alias("sum")), profile.top), "best")
+    return _described(best, _labelled(_form_points(plan, hits, profile, best), plan))
 
 
 def ranked(awards: DataFrame, top: int = 50) -> DataFrame:
@@ -160,11 +188,18 @@ def ranked(awards: DataFrame, top: int = 50) -> DataFrame:
     brings one row a document to its window; Spark's group limit keeps the
     first ``top`` of each task before the exchange.
     """
-    by_label = awards.groupBy("case", "key", "label").agg(F.sum("points").alias("p"), F.min(F.struct("seq", "at")).alias("first"))
-    scored = by_label.groupBy("case", "key").agg(F.sum("p").alias("sum"))
+    best = _top(awards.groupBy("case", "key").agg(F.sum("points").alias("sum")), top)
+    return _described(best, awards.join(best.select("case", "key"), ["case", "key"], "left_semi"))
+
+
+def _top(scored: DataFrame, top: int) -> DataFrame:
     w = Window.partitionBy("case").orderBy(F.desc("sum"), "key")
-    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    labels = by_label.join(best.select("case", "key"), ["case", "key"], "left_semi").groupBy("case", "key").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("first", "label"))), lambda x: x["label"]), 1, LABELS).alias("matched"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def _described(best: DataFrame, awards: DataFrame) -> DataFrame:
+    by_label = awards.groupBy("case", "key", "label").agg(F.min(F.struct("seq", "at")).alias("first"))
+    labels = by_label.groupBy("case", "key").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("first", "label"))), lambda x: x["label"]), 1, LABELS).alias("matched"))
     most = F.max("sum").over(Window.partitionBy("case"))
     full = best.withColumn("pct", F.round(100 * F.col("sum") / most).cast("int")).join(labels, ["case", "key"])
     return full.select("case", "key", "rank", round_half_up(F.col("sum")).alias("score"), "pct", "matched")

@@ -133,12 +133,12 @@ def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def form_scores(spark: SparkSession, d: str) -> DataFrame:
     symptoms, fields = _asked(spark, d)
-    return scoring.ranked(scoring.form_awards(symptoms, fields, _posted(spark, d), "doc_id"), scoring.SERVER.top)
+    return scoring.ranked_forms(symptoms, fields, _posted(spark, d), "doc_id")
 
 
 def form_scores_browser(spark: SparkSession, d: str) -> DataFrame:
     symptoms, fields = _asked(spark, d)
-    return scoring.ranked(scoring.form_awards(symptoms, fields, _posted(spark, d), "doc_id", scoring.BROWSER), scoring.BROWSER.top)
+    return scoring.ranked_forms(symptoms, fields, _posted(spark, d), "doc_id", scoring.BROWSER)
 
 
 def form_keywords(spark: SparkSession, d: str) -> DataFrame:

@@ -167,6 +167,8 @@ def test_form_scores_against_brute_force(spark, posted):
     assert got == brute_scores(symptoms, fields)
     best = scoring.ranked(awards, 3).orderBy("rank").collect()
     assert [r.rank for r in best] == [1, 2, 3] and best[0].pct == 100 and best[0].matched[0]
+    whole = lambda df: sorted((r.case, r.key, r.rank, r.score, r.pct, tuple(r.matched)) for r in df.collect())
+    assert whole(scoring.ranked_forms(s_df, f_df, posted, "doc_id")) == whole(scoring.ranked(awards, 50))
     assert scoring.keywords_used(s_df, f_df).where("case = 1").first().keywords_used >= 10
     assert scoring.form_awards(s_df.limit(0), f_df.limit(0), posted, "doc_id").count() == 0
     assert scoring.form_awards(s_df, f_df, posted, "doc_id", scoring.BROWSER).count() > 0
