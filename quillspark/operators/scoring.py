@@ -132,7 +132,9 @@ def _form_points(plan: DataFrame, hits: DataFrame, profile: Profile, only: DataF
     place, has it its sensation) is looked up beside it by a window on the same
     keys.  ``only`` (``case, key``) keeps some documents of some cases.
     """
-    met = plan.select("case", "seq", "row", "rule", "placed", "felt", F.size("terms").cast("short").alias("need"), F.explode("terms").alias("term")).join(hits, "term").drop("term")
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the plan is small, what it meets isn't: keep it spread
+    rows = plan.select("case", "seq", "row", "rule", "placed", "felt", F.size("terms").cast("short").alias("need"), "terms").repartition(parts, "row")
+    met = rows.withColumn("term", F.explode("terms")).drop("terms").join(hits, "term").drop("term")
     if only is not None:
         met = met.join(only.select("case", "key"), ["case", "key"], "left_semi")
     got = met.groupBy("case", "seq", "key", "row", "rule", "placed", "felt", "need").agg(F.count(F.lit(1)).alias("got"))
