@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bin_packing, canonical_names, garbled_text, mixing, near_duplicates, stuffed_pages, survivors
+from quillspark.llm.oracle import SQL
 from quillspark.sources import table
 
 
@@ -70,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
