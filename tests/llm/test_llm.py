@@ -204,6 +204,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_hot_group(spark):
+    """A third of all rows are edited copies of one text; the rest come from one template."""
+    rng = random.Random(6)
+    template = [f"common{i}" for i in range(300)]
+    base = [f"base{i}" for i in range(40)] + rng.sample(template, 60)
+    rows = []
+    for i in range(300):
+        text = list(base) if i % 3 == 0 else [f"own{i}x{k}" for k in range(25)] + rng.sample(template, 75)
+        if i % 3 == 0:
+            for _ in range(rng.randint(0, 12)):
+                text[rng.randrange(len(text))] = f"typo{rng.getrandbits(30)}"
+        rows.append((i, " ".join(text)))
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "entry_id long, text string")).collect()}
+    want = brute_pairs(rows, 50, 0.6)
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 4000
+
+
 def test_near_duplicate_words():
     assert set(near_duplicates.WORD.findall("a_b ¾c x² é1 Γ-д")) == {"a", "b", "c", "x", "é1", "Γ", "д"}
 
