@@ -11,15 +11,18 @@ is verified on the exact word sets.
 
 Where copies of one text are a large part of all, their words are frequent and
 only their misspellings rare.  So texts with few rare words
-(``FEW_RARE``) have a second digest, of their frequent words, in longer runs:
-texts of one template, which share a quarter of these words, hardly ever share
-a run of eight bytes, while copies do.
+(``FEW_RARE``) have a second digest, of their frequent words, in many longer
+runs, of which a pair must share ``LONG_LEAST``: texts of one template, which
+share an eighth of these words, seldom do, while copies do.  The runs are
+tallied in turns of ``TURN_RUNS``, so that the disk holds one turn.
 
 Recall: a digest is a sketch, so the index is not a proof.  For a pair whose
 similarity over rare words is ``s`` the chance to share none of the 48 runs is
-``(1 - s**3)**48``: 2e-3 at 0.5, 3e-6 at 0.62; pairs of plain similarity 0.6
-and above measured 0.42 to 0.95 (median 0.8).  ``tests/llm`` measures the
-recall against brute force.  Precision is exact but for 32-bit word hashes.
+``(1 - s**3)**48``: 2e-3 at 0.5, 3e-6 at 0.62.  For a pair whose similarity over
+frequent words is ``s`` the chance to share fewer than two of the 288 long runs
+is, with ``p = s**6``, ``(1 - p)**288 + 288 * p * (1 - p)**287``: 2e-5 at 0.6,
+4e-9 at 0.65.  ``tests/llm`` measures the recall against brute force.
+Precision is exact but for 32-bit word hashes.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.plans.scratch import materialize
+from quillspark.plans.scratch import materialize, release
 
 RUNS = 48
 RUN_BYTES = 3
@@ -45,7 +48,9 @@ MIN_RUNS = 1
 RARE_SHARE, RARE_LEAST = 0.002, 64
 #: A text with a smaller share of rare words has the second digest too.
 FEW_RARE = 1 / 6
-LONG_RUNS, LONG_BYTES = 64, 8
+LONG_RUNS, LONG_BYTES, LONG_LEAST = 288, 6, 2
+#: Long runs that are tallied at a time.
+TURN_RUNS = 48
 
 
 def _not_words() -> str:
@@ -142,36 +147,62 @@ def digest(words: np.ndarray, length: np.ndarray, size: int, seed: int) -> np.nd
     return out
 
 
-def keys_of(sets: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys (position of the run, its bytes) and the number of the set of each; ``common`` is sorted."""
+def short_digest(words: np.ndarray, length: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """As ``digest`` at a fraction of the time: the orders are products with odd numbers, as the words are random already."""
+    starts = np.concatenate(([0], np.cumsum(length)[:-1]))
+    drawn = np.random.default_rng(seed).integers(0, 1 << 32, (size, 2), np.uint32)
+    out = np.empty((len(length), size), np.uint8)
+    for i, (flip, factor) in enumerate(drawn):
+        least = np.minimum.reduceat((words ^ flip) * (factor | np.uint32(1)), starts)
+        out[:, i] = (least * np.uint32(2654435761)) >> np.uint32(24)
+    return out
+
+
+def _flat(sets: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all sets, their sets' numbers, whether they are in ``common`` (sorted), and the sets' sizes."""
     words = np.frombuffer(b"".join(sets), np.uint32)
-    n = np.array([len(s) // 4 for s in sets])
-    doc = np.repeat(np.arange(len(sets)), n)
+    n = np.array([len(s) // 4 for s in sets], np.int64)
     frequent = np.zeros(len(words), bool)
     if len(common):
         frequent = common[np.minimum(np.searchsorted(common, words), len(common) - 1)] == words
-    rare = np.bincount(doc[~frequent], minlength=len(sets))
+    return words, np.repeat(np.arange(len(sets)), n), frequent, n
+
+
+def rare_keys(sets: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys (position of the run, its bytes) over rare words and the number of the set of each; ``common`` is sorted."""
+    words, doc, frequent, n = _flat(sets, common)
+    rare = np.bincount(doc[~frequent], minlength=len(n))
+    who = np.flatnonzero(rare)
+    if not len(who):
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    rows = digest(words[~frequent], rare[who], RUNS * RUN_BYTES, 1).astype(np.int32)
+    key = np.zeros((len(who), RUNS), np.int32)
+    for j in range(RUN_BYTES):
+        key = key * 0x100 + rows[:, j::RUN_BYTES]
+    return (key + (np.arange(RUNS, dtype=np.int32) << 24)).ravel(), np.repeat(who, RUNS)
+
+
+def long_keys(sets: list[bytes], common: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``rare_keys``, of the long runs of one turn."""
+    words, doc, frequent, n = _flat(sets, common)
+    rare = np.bincount(doc[~frequent], minlength=len(n))
     few = (rare < FEW_RARE * n) & (n > rare)
-    keys, owners = [], []
-    for chosen, keep, runs, width, first in ((rare > 0, ~frequent, RUNS, RUN_BYTES, 0), (few, frequent & few[doc], LONG_RUNS, LONG_BYTES, RUNS)):
-        who = np.flatnonzero(chosen)
-        if not len(who):
-            continue
-        rows = digest(words[keep], np.bincount(doc[keep], minlength=len(sets))[who], runs * width, 1 + first * 1000).astype(np.uint64)
-        key = np.zeros((len(who), runs), np.uint64)
-        for j in range(width):
-            key = key * np.uint64(0x100 if width <= 3 else 0x9E3779B97F4A7C15) + rows[:, j::width]
-        key = (key & np.uint64(0xFFFFFF) if width <= 3 else key >> np.uint64(40)).astype(np.int64)
-        keys.append((key + ((first + np.arange(runs)) << 24)).astype(np.int32).ravel())
-        owners.append(np.repeat(who, runs))
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.int32), np.empty(0, np.int64))
-
-
-def _postings(common: np.ndarray):
+    who, keep = np.flatnonzero(few), frequent & few[doc]
+    if not len(who):
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    rows = short_digest(words[keep], np.bincount(doc[keep], minlength=len(n))[who], TURN_RUNS * LONG_BYTES, 1 + turn).astype(np.uint64)
+    key = np.tile(np.arange(TURN_RUNS, dtype=np.uint64), (len(who), 1))
+    for j in range(LONG_BYTES):
+        key = (key + rows[:, j::LONG_BYTES] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key.astype(np.uint32).view(np.int32).ravel(), np.repeat(who, TURN_RUNS)
+
+
+def _postings(keys_of, *options):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                keys, owners = keys_of(part.column(1).to_pylist(), common)
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                keys, owners = keys_of(part.column(1).to_pylist(), *options)
                 yield pa.record_batch([pa.array(keys), pa.array(part.column(0).to_numpy(zero_copy_only=False)[owners])], names=["key", "doc"])
 
     return run
@@ -199,6 +230,16 @@ def word_sets(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").mapInArrow(_word_sets(least), "id long, doc long, n int, words binary")
 
 
+def _met(texts: DataFrame, least: int, keys_of, *options) -> DataFrame:
+    """``da, db, runs`` of the texts that share ``least`` keys or more."""
+    postings = texts.mapInArrow(_postings(keys_of, *options), "key int, doc long")
+    left, right = postings.toDF("key", "da"), postings.toDF("key", "db")
+    found = materialize(left.join(right, "key").where("da < db").groupBy("da", "db").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") >= least), "met")
+    del postings, left, right
+    release(texts.sparkSession)
+    return found
+
+
 def similar_sets(sets: DataFrame, share: float) -> DataFrame:
     """Pairs ``da < db`` of different word sets with Jaccard similarity of ``share`` or more.
 
@@ -209,10 +250,11 @@ def similar_sets(sets: DataFrame, share: float) -> DataFrame:
     limit = max(RARE_LEAST, int(total * RARE_SHARE))
     frequent = sets.select("words").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("word").collect()  # at most mean set size / RARE_SHARE rows
     common = np.array(sorted(r.word for r in frequent), np.uint32)
-    one = sets.groupBy("doc").agg(F.first("words").alias("words"))
-    postings = one.mapInArrow(_postings(common), "key int, doc long")
-    left, right = postings.toDF("key", "da"), postings.toDF("key", "db")
-    pairs = left.join(right, "key").where("da < db").groupBy("da", "db").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") >= MIN_RUNS)
+    one = materialize(sets.groupBy("doc").agg(F.first("words").alias("words")), "texts")
+    met = _met(one, MIN_RUNS, rare_keys, common).select("da", "db", F.lit(LONG_LEAST).cast("long").alias("runs"))
+    for turn in range(LONG_RUNS // TURN_RUNS):
+        met = met.union(_met(one, 1, long_keys, common, turn))
+    pairs = met.groupBy("da", "db").agg(F.sum("runs").alias("runs")).where(F.col("runs") >= LONG_LEAST)
     full = pairs.join(one.toDF("da", "wa"), "da").join(one.toDF("db", "wb"), "db").select("da", "db", "wa", "wb")
     return full.mapInArrow(_verify(share), "da long, db long")
 

@@ -221,6 +221,22 @@ def test_near_duplicates_of_a_hot_group(spark):
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 4000
 
 
+def test_near_duplicates_edited_with_frequent_words(spark):
+    """No word is rare: copies of one text differ by words that a third of all rows hold."""
+    rng = random.Random(7)
+    vocabulary = [f"common{i}" for i in range(300)]
+    base = rng.sample(vocabulary, 100)
+    rows = []
+    for i in range(300):
+        text = list(base) if i % 3 == 0 else rng.sample(vocabulary, 100)
+        for k in rng.sample(range(100), rng.randint(0, 25) if i % 3 == 0 else 0):
+            text[k] = rng.choice(vocabulary)
+        rows.append((i, " ".join(text)))
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "entry_id long, text string")).collect()}
+    want = brute_pairs(rows, 50, 0.6)
+    assert got <= want and len(got) >= 0.999 * len(want) and len(want) > 2000, (len(got), len(want))
+
+
 def test_near_duplicate_words():
     assert set(near_duplicates.WORD.findall("a_b ¾c x² é1 Γ-д")) == {"a", "b", "c", "x", "é1", "Γ", "д"}
 
