@@ -9,20 +9,20 @@ for each text, runs of three digest bytes with their position; two texts are
 tallied when they share at least ``MIN_RUNS`` whole runs, and each tallied pair
 is verified on the exact word sets.
 
-Where copies of one text are a large part of all, their words are frequent and
-only their misspellings rare.  So texts with few rare words
-(``FEW_RARE``) have a second digest, of their frequent words, in many longer
-runs, of which a pair must share ``LONG_LEAST``: texts of one template, which
-share an eighth of these words, seldom do, while copies do.  The runs are
-tallied in turns of ``TURN_RUNS``, so that the disk holds one turn.
-
-Recall: a digest is a sketch, so the index is not a proof.  For a pair whose
-similarity over rare words is ``s`` the chance to share none of the 48 runs is
-``(1 - s**3)**48``: 2e-3 at 0.5, 3e-6 at 0.62.  For a pair whose similarity over
-frequent words is ``s`` the chance to share fewer than two of the 288 long runs
-is, with ``p = s**6``, ``(1 - p)**288 + 288 * p * (1 - p)**287``: 2e-5 at 0.6,
-4e-9 at 0.65.  ``tests/llm`` measures the recall against brute force.
-Precision is exact but for 32-bit word hashes.
+Copies of one text may still differ in all their rare words, as where these are
+misspellings, or where the copies are so many that their words are frequent.
+So every text has a second digest, of all its words, in many longer runs, of
+which a pair must share ``LONG_LEAST``: texts of one template, which share a
+tenth of their words, seldom do, while copies do.  The runs are tallied in
+turns of ``TURN_RUNS``, so that the disk holds one turn.
+
+Recall: a digest is a sketch, so the index is not a proof.  The chance that a
+pair of Jaccard similarity ``s`` shares fewer than two of the 288 long runs is,
+with ``p = s**6``, ``(1 - p)**288 + 288 * p * (1 - p)**287``: 2e-5 at 0.6, 4e-9
+at 0.65.  It bounds the loss whatever the words are and however rare is
+defined; the rare words only lessen it, by ``(1 - s**3)**48`` for a similarity
+``s`` over them (2e-3 at 0.5).  ``tests/llm`` measures the recall against brute
+force.  Precision is exact but for 32-bit word hashes.
 """
 
 from __future__ import annotations
@@ -46,8 +46,6 @@ MIN_RUNS = 1
 #: A word in more than this share of the texts is frequent.  At most (mean words
 #: a text) / RARE_SHARE words can be, which bounds what is broadcast.
 RARE_SHARE, RARE_LEAST = 0.002, 64
-#: A text with a smaller share of rare words has the second digest too.
-FEW_RARE = 1 / 6
 LONG_RUNS, LONG_BYTES, LONG_LEAST = 288, 6, 2
 #: Long runs that are tallied at a time.
 TURN_RUNS = 48
@@ -158,20 +156,14 @@ def short_digest(words: np.ndarray, length: np.ndarray, size: int, seed: int) ->
     return out
 
 
-def _flat(sets: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of all sets, their sets' numbers, whether they are in ``common`` (sorted), and the sets' sizes."""
+def rare_keys(sets: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys (position of the run, its bytes) over rare words and the number of the set of each; ``common`` is sorted."""
     words = np.frombuffer(b"".join(sets), np.uint32)
-    n = np.array([len(s) // 4 for s in sets], np.int64)
+    doc = np.repeat(np.arange(len(sets)), [len(s) // 4 for s in sets])
     frequent = np.zeros(len(words), bool)
     if len(common):
         frequent = common[np.minimum(np.searchsorted(common, words), len(common) - 1)] == words
-    return words, np.repeat(np.arange(len(sets)), n), frequent, n
-
-
-def rare_keys(sets: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys (position of the run, its bytes) over rare words and the number of the set of each; ``common`` is sorted."""
-    words, doc, frequent, n = _flat(sets, common)
-    rare = np.bincount(doc[~frequent], minlength=len(n))
+    rare = np.bincount(doc[~frequent], minlength=len(sets))
     who = np.flatnonzero(rare)
     if not len(who):
         return np.empty(0, np.int32), np.empty(0, np.int64)
@@ -182,20 +174,15 @@ def rare_keys(sets: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.nda
     return (key + (np.arange(RUNS, dtype=np.int32) << 24)).ravel(), np.repeat(who, RUNS)
 
 
-def long_keys(sets: list[bytes], common: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``rare_keys``, of the long runs of one turn."""
-    words, doc, frequent, n = _flat(sets, common)
-    rare = np.bincount(doc[~frequent], minlength=len(n))
-    few = (rare < FEW_RARE * n) & (n > rare)
-    who, keep = np.flatnonzero(few), frequent & few[doc]
-    if not len(who):
-        return np.empty(0, np.int32), np.empty(0, np.int64)
-    rows = short_digest(words[keep], np.bincount(doc[keep], minlength=len(n))[who], TURN_RUNS * LONG_BYTES, 1 + turn).astype(np.uint64)
-    key = np.tile(np.arange(TURN_RUNS, dtype=np.uint64), (len(who), 1))
+def long_keys(sets: list[bytes], turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``rare_keys``, over all words, of the long runs of one turn."""
+    words = np.frombuffer(b"".join(sets), np.uint32)
+    rows = short_digest(words, np.array([len(s) // 4 for s in sets]), TURN_RUNS * LONG_BYTES, 1 + turn).astype(np.uint64)
+    key = np.tile(np.arange(TURN_RUNS, dtype=np.uint64), (len(sets), 1))
     for j in range(LONG_BYTES):
         key = (key + rows[:, j::LONG_BYTES] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(32)
-    return key.astype(np.uint32).view(np.int32).ravel(), np.repeat(who, TURN_RUNS)
+    return key.astype(np.uint32).view(np.int32).ravel(), np.repeat(np.arange(len(sets)), TURN_RUNS)
 
 
 def _postings(keys_of, *options):
@@ -253,7 +240,7 @@ def similar_sets(sets: DataFrame, share: float) -> DataFrame:
     one = materialize(sets.groupBy("doc").agg(F.first("words").alias("words")), "texts")
     met = _met(one, MIN_RUNS, rare_keys, common).select("da", "db", F.lit(LONG_LEAST).cast("long").alias("runs"))
     for turn in range(LONG_RUNS // TURN_RUNS):
-        met = met.union(_met(one, 1, long_keys, common, turn))
+        met = met.union(_met(one, 1, long_keys, turn))
     pairs = met.groupBy("da", "db").agg(F.sum("runs").alias("runs")).where(F.col("runs") >= LONG_LEAST)
     full = pairs.join(one.toDF("da", "wa"), "da").join(one.toDF("db", "wb"), "db").select("da", "db", "wa", "wb")
     return full.mapInArrow(_verify(share), "da long, db long")

@@ -237,6 +237,22 @@ def test_near_duplicates_edited_with_frequent_words(spark):
     assert got <= want and len(got) >= 0.999 * len(want) and len(want) > 2000, (len(got), len(want))
 
 
+def test_near_duplicates_of_a_hot_group_with_many_edits(spark):
+    """Copies with 0 to 25 misspellings in 100 words: the much edited ones have many rare words, but none in common with the others."""
+    rng = random.Random(8)
+    template = [f"common{i}" for i in range(300)]
+    base = rng.sample(template, 100)
+    rows = []
+    for i in range(300):
+        text = list(base) if i % 3 == 0 else [f"own{i}x{k}" for k in range(25)] + rng.sample(template, 75)
+        for k in rng.sample(range(100), rng.randint(0, 25) if i % 3 == 0 else 0):
+            text[k] = f"typo{rng.getrandbits(30)}"
+        rows.append((i, " ".join(text)))
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "entry_id long, text string")).collect()}
+    want = brute_pairs(rows, 50, 0.6)
+    assert got <= want and len(got) >= 0.999 * len(want) and len(want) > 2000, (len(got), len(want))
+
+
 def test_near_duplicate_words():
     assert set(near_duplicates.WORD.findall("a_b ¾c x² é1 Γ-д")) == {"a", "b", "c", "x", "é1", "Γ", "д"}
 
