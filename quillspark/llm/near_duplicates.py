@@ -3,7 +3,7 @@
 A text is the set of its distinct words.  Its digest is a fixed row of bytes:
 byte ``i`` is taken from the word that is smallest under the ``i``-th random
 order (MinHash).  The digest is drawn from the text's rare words, those in at
-most ``RARE_SHARE`` of the texts (or ``RARE_LEAST`` texts), so that texts from
+most ``RARE_SHARE`` of the texts, so that texts from
 one template don't meet by their common phrases.  The inverted index holds,
 for each text, runs of three digest bytes with their position; two texts are
 tallied when they share at least ``MIN_RUNS`` whole runs, and each tallied pair
@@ -31,6 +31,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +39,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.plans.scratch import materialize, release
+from quillspark.plans.scratch import drop, materialize, release
 
 RUNS = 48
 RUN_BYTES = 3
 MIN_RUNS = 1
 #: A word in more than this share of the texts is frequent.  At most (mean words
 #: a text) / RARE_SHARE words can be, which bounds what is broadcast.
-RARE_SHARE, RARE_LEAST = 0.002, 64
+RARE_SHARE = 0.002
 LONG_RUNS, LONG_BYTES, LONG_LEAST = 288, 6, 2
 #: Long runs that are tallied at a time.
 TURN_RUNS = 48
+#: Parts in which the pairs of all turns are summed up, one after another.
+TALLY_PARTS = 4
 
 
 def _not_words() -> str:
@@ -227,21 +230,31 @@ def _met(texts: DataFrame, least: int, keys_of, *options) -> DataFrame:
     return found
 
 
+def frequent_words(sets: DataFrame) -> np.ndarray:
+    """Hashes of the words in more than ``RARE_SHARE`` of the texts, sorted; at most mean set size / RARE_SHARE."""
+    limit = sets.count() * RARE_SHARE
+    found = sets.select("words").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("word").collect()
+    return np.array(sorted(r.word for r in found), np.uint32)
+
+
 def similar_sets(sets: DataFrame, share: float) -> DataFrame:
     """Pairs ``da < db`` of different word sets with Jaccard similarity of ``share`` or more.
 
     ``sets`` has ``doc`` and ``words``; it must be cheap to read twice.
     """
-    spark = sets.sparkSession
-    total = sets.count()
-    limit = max(RARE_LEAST, int(total * RARE_SHARE))
-    frequent = sets.select("words").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("word").collect()  # at most mean set size / RARE_SHARE rows
-    common = np.array(sorted(r.word for r in frequent), np.uint32)
+    common = frequent_words(sets)
     one = materialize(sets.groupBy("doc").agg(F.first("words").alias("words")), "texts")
-    met = _met(one, MIN_RUNS, rare_keys, common).select("da", "db", F.lit(LONG_LEAST).cast("long").alias("runs"))
-    for turn in range(LONG_RUNS // TURN_RUNS):
-        met = met.union(_met(one, 1, long_keys, turn))
-    pairs = met.groupBy("da", "db").agg(F.sum("runs").alias("runs")).where(F.col("runs") >= LONG_LEAST)
+    met = [_met(one, MIN_RUNS, rare_keys, common), *(_met(one, 1, long_keys, turn) for turn in range(LONG_RUNS // TURN_RUNS))]
+    every = reduce(DataFrame.union, [met[0].withColumn("runs", F.lit(LONG_LEAST).cast("long")), *met[1:]])
+    pairs = []
+    for part in range(TALLY_PARTS):
+        tally = every.where(F.pmod("da", F.lit(TALLY_PARTS)) == part).groupBy("da", "db").agg(F.sum("runs").alias("runs"))
+        pairs.append(materialize(tally.where(F.col("runs") >= LONG_LEAST).select("da", "db"), "tally"))
+        del tally
+        release(sets.sparkSession)
+    for table in met:
+        drop(table)
+    pairs = reduce(DataFrame.union, pairs)
     full = pairs.join(one.toDF("da", "wa"), "da").join(one.toDF("db", "wb"), "db").select("da", "db", "wa", "wb")
     return full.mapInArrow(_verify(share), "da long, db long")
 

@@ -35,7 +35,9 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/quillspark-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
 
 
 def release(spark: SparkSession) -> None:
@@ -44,12 +46,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table made by ``materialize`` that nothing reads any more."""
+    _delete(df.sparkSession, df._scratch)
+    _made.remove((df.sparkSession, df._scratch))
+
+
 @atexit.register
 def _drop_all() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session or its gateway has gone already
             pass

@@ -253,6 +253,16 @@ def test_near_duplicates_of_a_hot_group_with_many_edits(spark):
     assert got <= want and len(got) >= 0.999 * len(want) and len(want) > 2000, (len(got), len(want))
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_near_duplicate_rarity_is_a_share_at_any_size(spark, times):
+    """Of 1,000 and of 20,000 texts the same words are frequent: those in more than 0.2 %."""
+    share = {"twice": 2, "thrice": 3, "often": 40}
+    rows = [(i, " ".join([f"own{i}", *(w for w, n in share.items() if i % 1000 < n)])) for i in range(1000 * times)]
+    sets = near_duplicates.word_sets(spark.createDataFrame(rows, "entry_id long, text string"), "entry_id", "text", 1)
+    want = near_duplicates._WordHash()
+    assert near_duplicates.frequent_words(sets).tolist() == sorted(want[w] for w in ("thrice", "often"))
+
+
 def test_near_duplicate_words():
     assert set(near_duplicates.WORD.findall("a_b ¾c x² é1 Γ-д")) == {"a", "b", "c", "x", "é1", "Γ", "д"}
 
