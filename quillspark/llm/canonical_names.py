@@ -20,6 +20,7 @@ are looked up, so a value that a third of the rows hold costs one look-up.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections import defaultdict
@@ -82,6 +83,10 @@ def _deletes(word: str, most: int) -> set[str]:
     return found
 
 
+def _trigrams(word: str) -> set[str]:
+    return {word[i : i + 3] for i in range(len(word) - 2)}
+
+
 class Names:
     """Look-ups in one reference list; built once a task."""
 
@@ -124,10 +129,15 @@ class Names:
             self.shapes[shape(word)].add(word)
             for part in _deletes(word, 1 if len(word) < 6 else 2):
                 self.near[part].add(word)
-        self.grams: dict[str, list[str]] = defaultdict(list)
+        self.grams: tuple[dict[str, list[str]], ...] = (defaultdict(list), defaultdict(list))  # of runs and of their shapes
         for run in self.runs:
-            for g in {run[i : i + 3] for i in range(len(run) - 2)}:
-                self.grams[g].append(run)
+            for grams, form in zip(self.grams, (run, shape(run))):
+                for g in _trigrams(form):
+                    grams[g].append(run)
+        self.long: dict[str, list[frozenset]] = defaultdict(list)
+        for words in self.sets:
+            for word in words if len(words) > 2 else ():
+                self.long[word].append(words)
 
     def resolve(self, word: str) -> tuple[float, set[str]]:
         """The nearest listed words."""
@@ -186,6 +196,30 @@ class Names:
                 return fit.pop()
         return None
 
+    def close(self, run: str, edits: int) -> set[str]:
+        """All listed runs within so many edits of ``run``, by letters or by shape, and some others.
+
+        An edit spoils three trigrams, a swap of neighbours four.
+        """
+        found: set[str] = set()
+        for grams, form in zip(self.grams, (run, shape(run))):
+            own = _trigrams(form)
+            need = len(own) - 4 * edits
+            if need <= 0:
+                return set(self.runs)
+            tally: dict[str, int] = defaultdict(int)
+            for g in own:
+                for name in grams.get(g, ()):
+                    tally[name] += 1
+            found.update(n for n, k in tally.items() if k >= need)
+        return found
+
+    def reordered(self, words: list[str]) -> set[int]:
+        """The entries whose name of three or more words has these, in any order."""
+        options = [self.resolve(w)[1] for w in words] if len(words) <= max(map(len, self.sets), default=0) else []
+        listed = {s for w in (options[0] if options else ()) for s in self.long.get(w, ()) if len(s) == len(words)}
+        return {r for s in listed if any(frozenset(c) == s for c in itertools.product(*(o & s for o in options))) for r in self.sets[s]}
+
     def similar(self, words: list[str]) -> int | None:
         """The listed name whose word set is nearest."""
         words = [w for w in words if w not in QUALIFIERS and not _POTENCY.match(w)] or words
@@ -203,14 +237,11 @@ class Names:
             refs = {r for w in found for r in self.genera.get(w, ())}
             if best <= 2 and len(refs) == 1 and any(w in self.genera for w in found):
                 return refs.pop()
+        elif refs := self.reordered(words):
+            return refs.pop() if len(refs) == 1 else None
         run = "".join(words)
-        tally: dict[str, int] = defaultdict(int)
-        for g in {run[i : i + 3] for i in range(len(run) - 2)}:
-            for name in self.grams.get(g, ()):
-                tally[name] += 1
-        need = len(run) * 0.4
         best, refs = 2.5, set()
-        for name in sorted((n for n, k in tally.items() if k >= need), key=lambda n: -tally[n])[:40]:
+        for name in self.close(run, min(2, len(run) // 6)):
             d = min(distance(run, name, 2), distance(shape(run), shape(name), 2) + 0.5)
             if d < best:
                 best, refs = d, set(self.runs[name])

@@ -51,6 +51,21 @@ def test_names(spark, value, want):
     assert canonical_names.Names(LISTED).match(value) == want
 
 
+def test_names_of_three_words_in_any_order():
+    names = canonical_names.Names([*LISTED, (5, "Urtpolia hexyarinum minor", None, ["Greater Marsh Thornwort"], None)])
+    assert names.match("thornvort, marsh greater") == 5
+    assert names.match("minor hexyarinvm Urtpolia") == 5
+    assert names.match("thornwort marsh silver") == -1
+
+
+def test_names_among_many_alike():
+    """Of 200 names that share most trigrams with the value one is two edits away; another shares too few in a short one."""
+    alike = [(k, f"norkalbelopsiscasstrealis{chr(97 + k // 26)}{chr(97 + k % 26)}xzquarryram", None, None, None) for k in range(200)]
+    names = canonical_names.Names([*alike, (900, "norkalbxlopsiscasstxealisquarryram", None, None, None), (901, "qwertzuiopas", None, None, None)])
+    assert names.match("norkalbelopsiscasstrealisquarryram") == 900
+    assert names.match("qwxrtzuyiopas") == 901
+
+
 def test_names_of_records(spark):
     rows = [(1, ("a", "Urtpolia hexyarinum", ["Silver  Eyemantle", None, " ", "Quarry Ramsquill"]), "v"), (1, ("a", "Urtpolia hexyarinum", ["Silver  Eyemantle", None, " ", "Quarry Ramsquill"]), "w"), (2, ("b", None, None), "v"), (3, ("c", "Zelcora", []), "v")]
     df = spark.createDataFrame(rows, "rec_id long, names struct<primary:string, latin:string, common:array<string>>, value string")
