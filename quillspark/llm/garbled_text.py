@@ -173,7 +173,7 @@ def _unescaped(text: str) -> tuple[str, list[int] | range]:
 
 #: Letters in place of signs: pairs of quotation marks, a dash, an apostrophe, a section or paragraph sign, a degree.
 _ODD = re.compile(
-    r"(?<![^\s(\[])([ìôë“]?[ìô])(?=\w)[^ìîôö\n]{1,80}?[\w.,;:!?)](?<!\w[ìô])([îö])(?!\w)"
+    r"(?<![^\s(\[])([ìôë“]?[ìô])(?=\w)[^ìîôö]+?[\w.,;:!?)](?<!\w[ìô])([îö])(?!\w)"
     r"|(?<!\S)([ñûßæÆùÂ])(?=\s)"
     r"|(?<!\S)([ßº∂Â])(?=\s\d)"
     r"|[A-Za-z]{3}([íÆÕ])(?=s\b)"

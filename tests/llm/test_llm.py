@@ -108,6 +108,9 @@ def test_garbled_round_trip(encoding):
         ("at 38░ the pulse", True),
         ("ôcoughö jaws", True),
         ("BibliothΦque", True),
+        ("ôshe coughs" + " and coughs" * 30 + "ö at night", True),
+        ("ôshe coughs\nand wakesö at night", True),
+        ("ôshe coughs" * 20000, False),
     ],
 )
 def test_garbled_cases(text, want):
