@@ -1,28 +1,36 @@
 """Near-duplicate records with small edits (problem 4).
 
-A text is the set of its distinct words.  Its digest is a fixed row of bytes:
-byte ``i`` is taken from the word that is smallest under the ``i``-th random
-order (MinHash).  The digest is drawn from the text's rare words, those in at
-most ``RARE_SHARE`` of the texts, so that texts from
-one template don't meet by their common phrases.  The inverted index holds,
-for each text, runs of three digest bytes with their position; two texts are
-tallied when they share at least ``MIN_RUNS`` whole runs, and each tallied pair
-is verified on the exact word sets.
-
-Copies of one text may still differ in all their rare words, as where these are
-misspellings, or where the copies are so many that their words are frequent.
-So every text has a second digest, of all its words, in many longer runs, of
-which a pair must share ``LONG_LEAST``: texts of one template, which share a
-tenth of their words, seldom do, while copies do.  The runs are tallied in
-turns of ``TURN_RUNS``, so that the disk holds one turn.
-
-Recall: a digest is a sketch, so the index is not a proof.  The chance that a
-pair of Jaccard similarity ``s`` shares fewer than two of the 288 long runs is,
-with ``p = s**6``, ``(1 - p)**288 + 288 * p * (1 - p)**287``: 2e-5 at 0.6, 4e-9
-at 0.65.  It bounds the loss whatever the words are and however rare is
-defined; the rare words only lessen it, by ``(1 - s**3)**48`` for a similarity
-``s`` over them (2e-3 at 0.5).  ``tests/llm`` measures the recall against brute
-force.  Precision is exact but for 32-bit word hashes.
+A text is the set of its distinct words, each a 32-bit hash.  Its digest is a
+row of positional bytes: a word's hash names a position and a byte, and the
+bytes of one position are summed up modulo 256.  So a word that only one of two
+texts has spoils at most one position, and texts of ``n`` and ``m`` words with
+Jaccard similarity ``t`` or more, which differ in at most
+``(1 - t) / (1 + t) * (n + m)`` words, are *guaranteed* to share at least
+
+    positions - (1 - t) / (1 + t) * (n + m)
+
+positional bytes (``least_shared``).  Pairs that meet in the index are tallied
+on their bytes, those that reach the minimum are kept and verified on the exact
+word sets.  The number of positions grows with the size class of the larger
+text, so that the minimum is always above zero.
+
+Lists of single positional bytes would hold 1/256 of all texts each.  The
+inverted index is therefore over the four bytes of a word's hash, and holds only
+the postings at which a pair beyond the bound can meet *first*: words are put
+in one global order, rarest first; if a text's word has ``r`` words from it to
+the end, then partners that meet there first share at most ``r`` words, which
+bounds their size (``reach``).  A pair is tallied only where each is within the
+other's reach.
+
+Lists of over ``HOT`` texts are refined: their key becomes the first two, then
+the first three words that a pair has in common; what is still longer is cut
+into blocks that meet two by two, so no task holds a list of any length.
+
+Nothing is lost: a pair has a first common word (two, three), both texts post
+it, and neither the reach nor the minimum of shared bytes excludes a pair
+within the bound.  The order of words only decides how much is tallied; it
+comes from a table of counts of fixed size.  Precision is exact but for 32-bit
+word hashes.
 """
 
 from __future__ import annotations
@@ -41,17 +49,19 @@ from pyspark.sql import functions as F
 
 from quillspark.plans.scratch import drop, materialize, release
 
-RUNS = 48
-RUN_BYTES = 3
-MIN_RUNS = 1
-#: A word in more than this share of the texts is frequent.  At most (mean words
-#: a text) / RARE_SHARE words can be, which bounds what is broadcast.
-RARE_SHARE = 0.002
-LONG_RUNS, LONG_BYTES, LONG_LEAST = 288, 6, 2
-#: Long runs that are tallied at a time.
-TURN_RUNS = 48
-#: Parts in which the pairs of all turns are summed up, one after another.
-TALLY_PARTS = 4
+#: Positions of the digest of texts of up to ``CLASS_WORDS`` words; both double from class to class.
+POSITIONS, CLASS_WORDS = 96, 160
+#: A longer list of texts is refined by one more common word, at most so many in all, then cut into blocks.
+HOT, LEVELS = 20_000, 3
+#: Slots of the tables of counts: so many, and more (up to ``MOST_SLOTS``, 256 MB) as the postings outgrow them.
+SLOTS, MOST_SLOTS = 1 << 20, 1 << 26
+#: The index is built and tallied in turns, so that the disk holds one turn.
+TURNS = 4
+PART_BYTES = 48_000_000
+#: Groups of so many texts are tallied in blocks of so many rows, smaller ones all together.
+GROUP, ROWS = 48, 256
+#: Copies of one text, or members of one side of a pair, that are joined in one task.
+COPIES = 1_000
 
 
 def _not_words() -> str:
@@ -67,12 +77,24 @@ def _not_words() -> str:
 
 
 WORD = re.compile(f"[^\\W_{_not_words()}]+")
+_FAST = re.compile(r"[^\W_]+")
+_ASCII = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
+
+
+def words_of(text: str) -> set:
+    """The distinct words of a text; ``bytes`` where it is plain ASCII."""
+    text = text.lower()
+    if text.isascii():
+        return set(text.encode().translate(_ASCII).split())
+    found = set(_FAST.findall(text))
+    odd = [w for w in found if not w.isascii()]
+    return found.difference(odd).union(*map(WORD.findall, odd))
 
 
 class _WordHash(dict):
     """32-bit hashes of words, kept while a bounded number is known."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word) -> int:
         if len(self) > 500_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word) & 0xFFFFFFFF
@@ -83,9 +105,9 @@ def _word_sets(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
         for batch in batches:
-            ids, docs, sizes, sets = [], [], [], []
+            ids, docs, sets = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(WORD.findall(text.lower()))
+                words = words_of(text)
                 if len(words) < least:
                     continue
                 found = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
@@ -93,170 +115,340 @@ def _word_sets(least: int):
                 raw = found.tobytes()
                 ids.append(key)
                 docs.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
-                sizes.append(len(words))
                 sets.append(raw)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())], names=["id", "doc", "n", "words"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], names=["id", "doc", "words"])
 
     return run
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and in how many of the task's sets they are, folded now and then."""
-    kept: list[np.ndarray] = []
-    number: list[np.ndarray] = []
-    waiting: list[bytes] = []
-
-    def fold() -> None:
-        words, n = np.unique(np.frombuffer(b"".join(waiting), np.uint32), return_counts=True)
-        kept.append(words)
-        number.append(n)
-        waiting.clear()
-        if len(kept) > 8:
-            merge()
-
-    def merge() -> None:
-        words, at = np.unique(np.concatenate(kept), return_inverse=True)
-        n = np.bincount(at, np.concatenate(number), len(words)).astype(np.int64)
-        kept[:], number[:] = [words], [n]
-
-    for batch in batches:
-        waiting += batch.column(0).to_pylist()
-        if len(waiting) >= 20_000:
-            fold()
-    if waiting:
-        fold()
-    if kept:
-        merge()
-        yield pa.record_batch([pa.array(kept[0].astype(np.int64)), pa.array(number[0], pa.int64())], names=["word", "n"])
-
-
-def _mixed(words: np.ndarray, seed: int) -> np.ndarray:
-    """A second, independent 32-bit hash of word hashes."""
-    x = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
+def word_sets(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """``id, doc, words`` of the texts with at least ``least`` distinct words.
+
+    ``doc`` names the word set itself, so copies share it.  Null and empty
+    texts have no words and drop out; a repeated (key, text) row repeats.
+    """
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").mapInArrow(_word_sets(least), "id long, doc long, words binary")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(32)).astype(np.uint32)
-
-
-def digest(words: np.ndarray, length: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """``size`` bytes for each of the sets that lie one after another in ``words``; no set is empty."""
-    starts = np.concatenate(([0], np.cumsum(length)[:-1]))
-    out = np.empty((len(length), size), np.uint8)
-    for i in range(size):
-        least = np.minimum.reduceat(_mixed(words, seed + i), starts)
-        out[:, i] = (least * np.uint32(2654435761)) >> np.uint32(24)
-    return out
-
-
-def short_digest(words: np.ndarray, length: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """As ``digest`` at a fraction of the time: the orders are products with odd numbers, as the words are random already."""
-    starts = np.concatenate(([0], np.cumsum(length)[:-1]))
-    drawn = np.random.default_rng(seed).integers(0, 1 << 32, (size, 2), np.uint32)
-    out = np.empty((len(length), size), np.uint8)
-    for i, (flip, factor) in enumerate(drawn):
-        least = np.minimum.reduceat((words ^ flip) * (factor | np.uint32(1)), starts)
-        out[:, i] = (least * np.uint32(2654435761)) >> np.uint32(24)
-    return out
-
-
-def rare_keys(sets: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys (position of the run, its bytes) over rare words and the number of the set of each; ``common`` is sorted."""
-    words = np.frombuffer(b"".join(sets), np.uint32)
-    doc = np.repeat(np.arange(len(sets)), [len(s) // 4 for s in sets])
-    frequent = np.zeros(len(words), bool)
-    if len(common):
-        frequent = common[np.minimum(np.searchsorted(common, words), len(common) - 1)] == words
-    rare = np.bincount(doc[~frequent], minlength=len(sets))
-    who = np.flatnonzero(rare)
-    if not len(who):
-        return np.empty(0, np.int32), np.empty(0, np.int64)
-    rows = digest(words[~frequent], rare[who], RUNS * RUN_BYTES, 1).astype(np.int32)
-    key = np.zeros((len(who), RUNS), np.int32)
-    for j in range(RUN_BYTES):
-        key = key * 0x100 + rows[:, j::RUN_BYTES]
-    return (key + (np.arange(RUNS, dtype=np.int32) << 24)).ravel(), np.repeat(who, RUNS)
-
-
-def long_keys(sets: list[bytes], turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``rare_keys``, over all words, of the long runs of one turn."""
-    words = np.frombuffer(b"".join(sets), np.uint32)
-    rows = short_digest(words, np.array([len(s) // 4 for s in sets]), TURN_RUNS * LONG_BYTES, 1 + turn).astype(np.uint64)
-    key = np.tile(np.arange(TURN_RUNS, dtype=np.uint64), (len(sets), 1))
-    for j in range(LONG_BYTES):
-        key = (key + rows[:, j::LONG_BYTES] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
-    return key.astype(np.uint32).view(np.int32).ravel(), np.repeat(np.arange(len(sets)), TURN_RUNS)
-
-
-def _postings(keys_of, *options):
+    return x ^ x >> np.uint64(32)
+
+
+def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
+    return (_mixed(keys) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _tallied(found: DataFrame, slots: int) -> np.ndarray:
+    """The counts ``slot, n`` of all tasks as one table of fixed size."""
+    table = found.groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.ones(slots, np.uint32)
+    counts[table.column("slot").to_numpy()] = np.minimum(table.column("n").to_numpy(), 0xFFFFFFFF)
+    return counts
+
+
+def _count(keys_of, slots: int):
+    """``slot, n`` of the keys of a task, folded batch by batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, np.int64)
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                keys, owners = keys_of(part.column(1).to_pylist(), *options)
-                yield pa.record_batch([pa.array(keys), pa.array(part.column(0).to_numpy(zero_copy_only=False)[owners])], names=["key", "doc"])
+            counts += np.bincount(_slot(keys_of(batch), slots), minlength=slots)
+        at = np.flatnonzero(counts)
+        for part in np.array_split(at, len(at) // 100_000 + 1):
+            yield pa.record_batch([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], names=["slot", "n"])
 
     return run
 
 
-def _verify(share: float):
+def _flat(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All words of the sets one after another, and the size of each set."""
+    return np.frombuffer(b"".join(sets), np.uint32), np.fromiter((len(s) // 4 for s in sets), np.int64, len(sets))
+
+
+def _ordered(counts: np.ndarray):
+    """Puts the words of each set in the global order: rarest first, ties by hash."""
+    rank = (np.log2(counts, dtype=np.float64) * 2000).astype(np.uint16)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
-            b = [np.frombuffer(x, np.uint32) for x in batch.column(3).to_pylist()]
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], float)
-            either = np.array([len(x) + len(y) for x, y in zip(a, b)], float) - both
-            good = pa.array(both >= share * either - 1e-9)
-            yield batch.select([0, 1]).filter(good) if len(a) else batch.select([0, 1])
+            for part in (batch.slice(i, 5_000) for i in range(0, batch.num_rows, 5_000)):
+                words, n = _flat(part.column(1).to_pylist())
+                owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+                words = np.sort(owner << np.uint64(48) | rank[_slot(words, len(counts))].astype(np.uint64) << np.uint64(32) | words).astype(np.uint32)
+                ends = np.cumsum(n)
+                yield pa.record_batch([part.column(0), pa.array([words[e - k : e].tobytes() for e, k in zip(ends, n)], pa.binary())], names=["doc", "words"])
 
     return run
 
 
-def word_sets(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """``id, doc, n, words`` of the texts with at least ``least`` distinct words.
+class Postings:
+    """The index keys of texts whose words lie in the global order.
 
-    ``doc`` names the word set itself, so copies share it.  Null and empty
-    texts have no words and drop out; a repeated (key, text) row repeats.
+    ``tables`` has the counts of the keys of one, two ... words, as far as they are known.
     """
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").mapInArrow(_word_sets(least), "id long, doc long, n int, words binary")
 
+    def __init__(self, share: float, least: int, hot: int = HOT, levels: int = LEVELS, tables: list[np.ndarray] | None = None) -> None:
+        self.part, self.share, self.least, self.hot, self.levels, self.tables = share / (1 + share), share, least, hot, levels, tables or []
+
+    def _reach(self, rest: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The size of the largest partner that may share ``rest`` words."""
+        return np.floor(rest / self.part + 1e-9).astype(np.int64) - n
+
+    def keys(self, words: np.ndarray, n: np.ndarray, only: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, text and reach of the postings of all texts; ``only``: of keys of so many words, before any refining of them."""
+        start = np.cumsum(n) - n
+        smallest = np.maximum(self.least, np.ceil(self.share * n - 1e-9).astype(np.int64))
+        doc = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(words)) - start[doc]
+        reach = self._reach(n[doc] - at, n[doc])
+        use = reach >= smallest[doc]
+        key, doc, at, reach = words[use].astype(np.uint64), doc[use], at[use], reach[use]
+        found = []
+        for level in range(1, self.levels + 1):
+            if only == level:
+                return key, doc, reach
+            if level == self.levels or level > len(self.tables):
+                found.append((key, doc, reach))
+                break
+            hot = self.tables[level - 1][_slot(key, len(self.tables[level - 1]))] > self.hot
+            found.append((key[~hot], doc[~hot], reach[~hot]))
+            key, doc, at = key[hot], doc[hot], at[hot]
+            # the next common word may come so late that, with the common ones before it, enough are left
+            last = n[doc] + level - np.ceil(self.part * (n[doc] + smallest[doc]) - 1e-9).astype(np.int64)
+            more = np.maximum(0, np.minimum(last, n[doc] - 1) - at)
+            who = np.repeat(np.arange(len(key)), more)
+            at = at[who] + 1 + np.arange(len(who)) - np.repeat(np.cumsum(more) - more, more)
+            doc = doc[who]
+            key = _mixed(key[who] + np.uint64(level)) + words[start[doc] + at]
+            reach = self._reach(n[doc] - at + level, n[doc])
+            use = reach >= smallest[doc]
+            key, doc, at, reach = key[use], doc[use], at[use], reach[use]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def blocks(self, key: np.ndarray) -> np.ndarray:
+        """In how many blocks the list of each key is cut."""
+        last = self.tables[self.levels - 1] if len(self.tables) >= self.levels else None
+        return np.ones(len(key), np.int64) if last is None else -(-last[_slot(key, len(last))].astype(np.int64) // self.hot)
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / CLASS_WORDS))).astype(np.int64)
+
+
+def digest(words: np.ndarray, n: np.ndarray, positions: int) -> np.ndarray:
+    """A row of positional bytes for each text."""
+    mixed = _mixed(words)
+    at = (mixed >> np.uint64(16)) % np.uint64(positions)
+    byte = mixed % np.uint64(255) + np.uint64(1)
+    cell = np.repeat(np.arange(len(n)) * positions, n) + at.astype(np.int64)
+    return np.bincount(cell, byte, len(n) * positions).astype(np.int64).astype(np.uint8).reshape(len(n), positions)
+
+
+def least_shared(positions: int, n: np.ndarray, m: np.ndarray, share: float) -> np.ndarray:
+    """The positional bytes that texts of ``n`` and ``m`` words beyond ``share`` are guaranteed to have in common."""
+    return positions - np.floor((1 - share) / (1 + share) * (n + m) + 1e-9)
+
+
+_COLUMNS = ["part", "cls", "key", "cell", "doc", "n", "reach", "bytes"]
+
+
+def _posted(postings: Postings, turn: int, parts: int):
+    """Postings as blocks of arrays, one row for each part and size class; a key's postings all come in one part of one turn."""
 
-def _met(texts: DataFrame, least: int, keys_of, *options) -> DataFrame:
-    """``da, db, runs`` of the texts that share ``least`` keys or more."""
-    postings = texts.mapInArrow(_postings(keys_of, *options), "key int, doc long")
-    left, right = postings.toDF("key", "da"), postings.toDF("key", "db")
-    found = materialize(left.join(right, "key").where("da < db").groupBy("da", "db").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") >= least), "met")
-    del postings, left, right
-    release(texts.sparkSession)
-    return found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 5_000) for b in batches for i in range(0, b.num_rows, 5_000)):
+            docs, (words, n) = batch.column(0).to_numpy(), _flat(batch.column(1).to_pylist())
+            if not len(n):
+                continue
+            key, doc, reach = postings.keys(words, n)
+            blocks = postings.blocks(key)
+            own = (_mixed(docs.view(np.uint64)[doc]) % blocks.astype(np.uint64)).astype(np.int64)
+            who = np.repeat(np.arange(len(key)), blocks)
+            other = np.arange(len(who)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            key, doc, reach, own = key[who], doc[who], reach[who], own[who]
+            cell = np.minimum(own, other) << 33 | np.maximum(own, other) << 2 | np.where(own == other, 0, np.where(own < other, 1, 2))
+            place = _mixed(key ^ _mixed(cell.astype(np.uint64) >> np.uint64(2))) >> np.uint64(8)
+            mine = place % np.uint64(TURNS) == turn
+            key, cell, doc, reach, place = key[mine], cell[mine], doc[mine], reach[mine], place[mine]
+            part = (place // np.uint64(TURNS) % np.uint64(parts)).astype(np.int64)
+            rows: list[list] = [[] for _ in _COLUMNS]
+            own_class = size_class(n)
+            for cls in range(int(own_class.max()) + 2):
+                # texts of the class below meet the larger ones of this class, if they reach so far
+                use = np.flatnonzero((own_class[doc] == cls) | (own_class[doc] == cls - 1) & (reach > CLASS_WORDS << max(0, cls - 1)))
+                if not len(use):
+                    continue
+                use = use[np.argsort(part[use], kind="stable")]
+                some, back = np.unique(doc[use], return_inverse=True)
+                keep = np.isin(np.repeat(np.arange(len(n)), n), some)
+                rows_of = digest(words[keep], n[some], POSITIONS << cls)[back]
+                ends = np.flatnonzero(np.diff(part[use], append=-1)) + 1
+                for a, b in zip([0, *ends[:-1]], ends):
+                    u = use[a:b]
+                    values = (int(part[u[0]]), cls, key[u].tobytes(), cell[u].tobytes(), docs[doc[u]].tobytes(), n[doc[u]].astype(np.int32).tobytes(), reach[u].astype(np.int32).tobytes(), rows_of[a:b].tobytes())
+                    for column, value in zip(rows, values):
+                        column.append(value)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, [pa.int32(), pa.int32(), *[pa.binary()] * 6])], names=_COLUMNS)
 
+    return run
+
+
+def tally(a: np.ndarray, b: np.ndarray, digests: list[np.ndarray]) -> np.ndarray:
+    """Shared positional bytes of the texts ``a`` and ``b``; ``digests`` holds eight positions of all texts an array."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    shared = np.zeros(len(a), np.int32)
+    for eight in digests:
+        x = eight[a]
+        x ^= eight[b]
+        t = x & low
+        t += low
+        t |= x
+        t |= low
+        np.invert(t, out=t)  # the high bit of each equal byte
+        shared += np.bitwise_count(t)
+    return shared
+
+
+def _met(share: float):
+    """Pairs of one part's postings that are within each other's reach and share the guaranteed minimum of bytes."""
+
+    def pairs(cls: int, key: np.ndarray, cell: np.ndarray, doc: np.ndarray, n: np.ndarray, reach: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+        side = (cell & 3).astype(np.int8)
+        order = np.lexsort((n, cell >> 2, key))
+        key, cell, doc, n, reach, side = key[order], cell[order] >> 2, doc[order], n[order], reach[order], side[order]
+        digests = [np.ascontiguousarray(c) for c in rows.view(np.uint64)[order].T]
+        own = size_class(n) == cls if cls else np.ones(len(n), bool)
+
+        def kept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            ok = tally(a, b, digests) >= least_shared(POSITIONS << cls, n[a], n[b], share)
+            a, b = doc[a[ok]], doc[b[ok]]
+            return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b]
+
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
+        size = np.diff(new, append=len(key))
+        # small groups, all at once: each text with the d-th after it
+        last = np.repeat(np.where(size <= GROUP, new + size, new), size)
+        at = np.flatnonzero(last > np.arange(len(key)) + 1)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for d in range(1, GROUP):
+            at = at[at + d < last[at]]
+            if not len(at):
+                break
+            b = at + d
+            ok = (n[b] <= reach[at]) & (n[at] <= reach[b]) & own[b] & ((side[at] == 0) | (side[at] != side[b]))
+            waiting.append((at[ok], b[ok]))
+            if sum(len(x) for x, _ in waiting) > 500_000:
+                yield kept(*map(np.concatenate, zip(*waiting)))
+                waiting = []
+        if waiting:
+            yield kept(*map(np.concatenate, zip(*waiting)))
+        # large groups, in blocks of texts of nearly one size
+        for s, k in zip(new[size > GROUP], size[size > GROUP]):
+            crossed = side[s : s + k].any()
+            for i in range(s, s + k, ROWS):
+                a = np.arange(i, min(i + ROWS, s + k))
+                b = np.arange(i + 1, i + 1 + np.searchsorted(n[i + 1 : s + k], reach[a].max(), "right"))
+                b = b[(reach[b] >= n[i]) & own[b]]
+                if not len(b):
+                    continue
+                a = a[reach[a] >= n[b[0]]]
+                for c in (b[j : j + 4_096] for j in range(0, len(b), 4_096)):
+                    ok = (n[c] <= reach[a][:, None]) & (n[a][:, None] <= reach[c]) & (c > a[:, None])
+                    if crossed:
+                        ok &= (side[a][:, None] == 0) | (side[a][:, None] != side[c])
+                    x, y = np.nonzero(ok)
+                    if len(x):
+                        yield kept(a[x], c[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8]
+        seen: dict[int, list[list[bytes]]] = {}
+        for batch in batches:
+            for _, cls, *raw in zip(*(c.to_pylist() for c in batch.columns)):
+                for column, value in zip(seen.setdefault(cls, [[] for _ in raw]), raw):
+                    column.append(value)
+        for cls in list(seen):
+            key, cell, doc, n, reach, rows = (np.frombuffer(b"".join(c), t) for c, t in zip(seen.pop(cls), kinds))
+            found = [np.empty((0, 2), np.int64)]
+            for some in pairs(cls, key, cell, doc, n, reach, rows.reshape(len(key), -1)):
+                found.append(some)
+                if sum(map(len, found)) > 1_000_000:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    if len(found[0]) > 500_000:
+                        yield pa.record_batch([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], names=["da", "db"])
+                        found = [np.empty((0, 2), np.int64)]
+            out = np.unique(np.concatenate(found), axis=0)
+            yield pa.record_batch([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["da", "db"])
+
+    return run
+
+
+def _verify(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 4_000) for b in batches for i in range(0, b.num_rows, 4_000)):
+            (a, n), (b, m) = (_flat(batch.column(k).to_pylist()) for k in (2, 3))
+            owner = np.concatenate([np.repeat(np.arange(len(x), dtype=np.uint64), x) for x in (n, m)])
+            every = np.sort(owner << np.uint64(32) | np.concatenate([a, b]))
+            both = np.bincount((every[1:][every[1:] == every[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(n))
+            yield batch.select([0, 1]).filter(pa.array(both >= share * (n + m - both) - 1e-9))
+
+    return run
 
-def frequent_words(sets: DataFrame) -> np.ndarray:
-    """Hashes of the words in more than ``RARE_SHARE`` of the texts, sorted; at most mean set size / RARE_SHARE."""
-    limit = sets.count() * RARE_SHARE
-    found = sets.select("words").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("word").collect()
-    return np.array(sorted(r.word for r in found), np.uint32)
 
+def _slots(texts: int, per_text: float, hot: int) -> int:
+    """Eight slots to each list that may be hot."""
+    slots = SLOTS
+    while slots < min(MOST_SLOTS, 8 * texts * per_text / hot):
+        slots *= 2
+    return slots
 
-def similar_sets(sets: DataFrame, share: float) -> DataFrame:
+
+def similar_sets(sets: DataFrame, share: float, least: int = 1, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
     """Pairs ``da < db`` of different word sets with Jaccard similarity of ``share`` or more.
 
-    ``sets`` has ``doc`` and ``words``; it must be cheap to read twice.
+    ``sets`` has ``doc`` and ``words`` (sorted 32-bit hashes) of at least
+    ``least`` words; it must be cheap to read twice.  No pair is lost, whatever
+    ``hot`` and ``levels`` are.
     """
-    common = frequent_words(sets)
-    one = materialize(sets.groupBy("doc").agg(F.first("words").alias("words")), "texts")
-    met = [_met(one, MIN_RUNS, rare_keys, common), *(_met(one, 1, long_keys, turn) for turn in range(LONG_RUNS // TURN_RUNS))]
-    every = reduce(DataFrame.union, [met[0].withColumn("runs", F.lit(LONG_LEAST).cast("long")), *met[1:]])
-    pairs = []
-    for part in range(TALLY_PARTS):
-        tally = every.where(F.pmod("da", F.lit(TALLY_PARTS)) == part).groupBy("da", "db").agg(F.sum("runs").alias("runs"))
-        pairs.append(materialize(tally.where(F.col("runs") >= LONG_LEAST).select("da", "db"), "tally"))
-        del tally
-        release(sets.sparkSession)
-    for table in met:
-        drop(table)
-    pairs = reduce(DataFrame.union, pairs)
+    if not 0.5 < share <= 1:
+        raise ValueError("share is above 0.5: a text may only meet texts of its own and the next size class")
+    spark = sets.sparkSession
+    one = sets.groupBy("doc").agg(F.first("words").alias("words"))
+    texts, total = sets.select(F.count(F.lit(1)), F.coalesce(F.sum(F.length("words") / 4), F.lit(0.0))).first()
+    if not texts:
+        return spark.createDataFrame([], "da long, db long")
+    slots = _slots(texts, total / texts, hot)
+    counts = _tallied(sets.select("words").mapInArrow(_count(lambda b: _flat(b.column(0).to_pylist())[0], slots), "slot long, n long"), slots)
+    one = materialize(one.mapInArrow(_ordered(counts), "doc long, words binary"), "texts")
+    tables: list[np.ndarray] = []
+    for level in range(1, levels + 1):
+        known = Postings(share, least, hot, levels, tables)
+        tables = [*tables, _tallied(one.select("words").mapInArrow(_count(lambda b, p=known, k=level: p.keys(*_flat(b.column(0).to_pylist()), only=k)[0], slots), "slot long, n long"), slots)]
+        if tables[-1].max() <= hot:
+            break
+    postings = Postings(share, least, hot, levels, tables)
+    posted = int(sum(t[t > 1].sum(dtype=np.int64) for t in tables))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-posted * (POSITIONS + 32) // (PART_BYTES * TURNS)))
+    shape = "part int, cls int, key binary, cell binary, doc binary, n binary, reach binary, bytes binary"
+    met = []
+    for turn in range(TURNS):
+        rows = one.mapInArrow(_posted(postings, turn, parts), shape)
+        met.append(materialize(rows.repartitionById(parts, F.col("part")).mapInArrow(_met(share), "da long, db long"), "met"))
+        del rows
+        release(spark)
+    pairs = reduce(DataFrame.union, met).distinct()
     full = pairs.join(one.toDF("da", "wa"), "da").join(one.toDF("db", "wb"), "db").select("da", "db", "wa", "wb")
-    return full.mapInArrow(_verify(share), "da long, db long")
+    found = materialize(full.mapInArrow(_verify(share), "da long, db long"), "pairs")
+    for table in [*met, one]:
+        drop(table)
+    return found
+
+
+def _sets(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    return materialize(word_sets(df, key, text, least), "sets")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "entry_id", text: str = "text", least: int = 50, share: float = 0.6) -> DataFrame:
@@ -264,11 +456,34 @@ def near_duplicate_pairs(df: DataFrame, key: str = "entry_id", text: str = "text
 
     A record delivered twice counts once.  Null and empty texts, and texts of
     fewer than ``least`` distinct words, have no partner; an empty table gives
-    no rows; other columns of ``df`` are ignored.
+    no rows; other columns of ``df`` are ignored.  Copies are paired in blocks
+    of ``COPIES``, so that no task holds all pairs of one text.
     """
-    sets = materialize(word_sets(df, key, text, least), "sets")
-    pairs = materialize(similar_sets(sets, share), "pairs")
+    sets = _sets(df, key, text, least)
+    pairs = similar_sets(sets, share, least)
     members = sets.select("id", "doc").distinct()
-    copies = members.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc").alias("da"), F.col("doc").alias("db"))
-    both = pairs.union(copies).join(members.toDF("a", "da"), "da").join(members.toDF("b", "db"), "db").where("da <> db or a < b")
+    count = members.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("b"), F.count(F.lit(1)).alias("k"))
+    copies = count.where("k > 1").select(F.col("doc").alias("da"), F.col("doc").alias("db"))
+    blocks = count.select("doc", "b")
+    placed = members.join(blocks, "doc").withColumn("h", F.pmod(F.xxhash64("id"), "b").cast("int"))
+    cells = pairs.union(copies).join(blocks.toDF("da", "ba"), "da").join(blocks.toDF("db", "bb"), "db")
+    cells = cells.withColumn("ha", F.explode(F.sequence(F.lit(0), F.col("ba") - 1))).withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("bb") - 1)))
+    left = cells.join(placed.select(F.col("id").alias("a"), F.col("doc").alias("da"), F.col("h").alias("ha")), ["da", "ha"]).withColumn("lane", F.pmod("ha", "bb"))
+    right = placed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select(F.col("id").alias("b"), F.col("doc").alias("db"), F.col("h").alias("hb"), "lane")
+    both = left.join(right, ["db", "hb", "lane"]).where("da <> db or a < b")
     return both.select(F.least("a", "b").alias("entry_a"), F.greatest("a", "b").alias("entry_b")).where("entry_a <> entry_b").distinct()
+
+
+def near_duplicate_classes(df: DataFrame, key: str = "entry_id", text: str = "text", least: int = 50, share: float = 0.6) -> DataFrame:
+    """``entry_id, class_id, links`` of all records with ``least`` words or more.
+
+    A class is the records of one word set, named by its smallest key;
+    ``links`` counts the other classes that it is alike to beyond ``share``.
+    The form that stays small where one text has many copies.
+    """
+    sets = _sets(df, key, text, least)
+    pairs = similar_sets(sets, share, least)
+    links = pairs.select(F.explode(F.array("da", "db")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
+    members = sets.select("id", "doc").distinct()
+    named = members.groupBy("doc").agg(F.min("id").alias("class_id")).join(links, "doc", "left")
+    return members.join(named, "doc").select(F.col("id").alias("entry_id"), "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -29,4 +29,11 @@ n as (select entry_id, count(*) n from w group by entry_id having count(*) >= 50
 x as (select w.entry_id, w, n from w join n using (entry_id)),
 p as (select a.entry_id a, b.entry_id b, count(*) o, any_value(a.n) na, any_value(b.n) nb from x a join x b on a.w = b.w and a.entry_id < b.entry_id group by 1, 2)
 select a entry_a, b entry_b from p where o >= 0.6 * (na + nb - o)""",
+    "p4_groups": r"""with t as (select distinct entry_id, text from entry where field in ('keynotes', 'generalities') and text is not null),
+s as (select distinct entry_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+'))) l from t),
+d as (select l, len(l) n, min(entry_id) c from s where len(l) >= 50 group by l),
+x as (select c, n, unnest(l) w from d),
+p as (select a.c a, b.c b, count(*) o, any_value(a.n) na, any_value(b.n) nb from x a join x b on a.w = b.w and a.c <> b.c group by 1, 2),
+k as (select a, count(*) links from p where o >= 0.6 * (na + nb - o) group by a)
+select entry_id, c class_id, coalesce(links, 0) links from s join d using (l) left join k on a = c""",
 }

@@ -41,6 +41,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_notes(spark, d))
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(_notes(spark, d))
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return bin_packing.containers(table(spark, d, "documents"), table(spark, d, "pack_bin"))
 
@@ -66,7 +70,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p2_restored, p3_found, p3_fused, p4_found, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_shares]
+    found = [p1_found, p2_found, p2_restored, p3_found, p3_fused, p4_found, p4_groups, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_shares]
     return {f.__name__: f for f in found}
 
 
