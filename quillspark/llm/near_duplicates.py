@@ -56,7 +56,7 @@ HOT, LEVELS = 20_000, 3
 #: Slots of the tables of counts: so many, and more (up to ``MOST_SLOTS``, 256 MB) as the postings outgrow them.
 SLOTS, MOST_SLOTS = 1 << 20, 1 << 26
 #: The index is built and tallied in turns, so that the disk holds one turn.
-TURNS = 4
+TURNS = 6
 PART_BYTES = 48_000_000
 #: Groups of so many texts are tallied in blocks of so many rows, smaller ones all together.
 GROUP, ROWS = 48, 256
@@ -406,12 +406,13 @@ def _slots(texts: int, per_text: float, hot: int) -> int:
     return slots
 
 
-def similar_sets(sets: DataFrame, share: float, least: int = 1, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
+def similar_sets(sets: DataFrame, share: float, least: int = 1, hot: int = HOT, levels: int = LEVELS, spent: bool = False) -> DataFrame:
     """Pairs ``da < db`` of different word sets with Jaccard similarity of ``share`` or more.
 
     ``sets`` has ``doc`` and ``words`` (sorted 32-bit hashes) of at least
-    ``least`` words; it must be cheap to read twice.  No pair is lost, whatever
-    ``hot`` and ``levels`` are.
+    ``least`` words; it must be cheap to read twice.  If it is ``spent``, a
+    written table that nothing else reads, it goes as soon as it was read.  No
+    pair is lost, whatever ``hot`` and ``levels`` are.
     """
     if not 0.5 < share <= 1:
         raise ValueError("share is above 0.5: a text may only meet texts of its own and the next size class")
@@ -423,6 +424,9 @@ def similar_sets(sets: DataFrame, share: float, least: int = 1, hot: int = HOT,
     slots = _slots(texts, total / texts, hot)
     counts = _tallied(sets.select("words").mapInArrow(_count(lambda b: _flat(b.column(0).to_pylist())[0], slots), "slot long, n long"), slots)
     one = materialize(one.mapInArrow(_ordered(counts), "doc long, words binary"), "texts")
+    if spent:
+        drop(sets)
+    release(spark)
     tables: list[np.ndarray] = []
     for level in range(1, levels + 1):
         known = Postings(share, least, hot, levels, tables)
@@ -447,8 +451,11 @@ def similar_sets(sets: DataFrame, share: float, least: int = 1, hot: int = HOT,
     return found
 
 
-def _sets(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    return materialize(word_sets(df, key, text, least), "sets")
+def _alike(df: DataFrame, key: str, text: str, least: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """``id, doc`` of the records of ``least`` words or more, once each, and the pairs of different word sets."""
+    sets = materialize(word_sets(df, key, text, least), "sets")
+    members = materialize(sets.select("id", "doc").distinct(), "members")
+    return members, similar_sets(sets, share, least, spent=True)
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "entry_id", text: str = "text", least: int = 50, share: float = 0.6) -> DataFrame:
@@ -459,9 +466,7 @@ def near_duplicate_pairs(df: DataFrame, key: str = "entry_id", text: str = "text
     no rows; other columns of ``df`` are ignored.  Copies are paired in blocks
     of ``COPIES``, so that no task holds all pairs of one text.
     """
-    sets = _sets(df, key, text, least)
-    pairs = similar_sets(sets, share, least)
-    members = sets.select("id", "doc").distinct()
+    members, pairs = _alike(df, key, text, least, share)
     count = members.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("b"), F.count(F.lit(1)).alias("k"))
     copies = count.where("k > 1").select(F.col("doc").alias("da"), F.col("doc").alias("db"))
     blocks = count.select("doc", "b")
@@ -481,9 +486,7 @@ def near_duplicate_classes(df: DataFrame, key: str = "entry_id", text: str = "te
     ``links`` counts the other classes that it is alike to beyond ``share``.
     The form that stays small where one text has many copies.
     """
-    sets = _sets(df, key, text, least)
-    pairs = similar_sets(sets, share, least)
+    members, pairs = _alike(df, key, text, least, share)
     links = pairs.select(F.explode(F.array("da", "db")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
-    members = sets.select("id", "doc").distinct()
     named = members.groupBy("doc").agg(F.min("id").alias("class_id")).join(links, "doc", "left")
     return members.join(named, "doc").select(F.col("id").alias("entry_id"), "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
