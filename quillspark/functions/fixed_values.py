@@ -412,3 +412,31 @@ FEAR_STARTS = "Death, Disease, Being alone, Dark, Height, Crowd, Narrow, Thunder
 FOOD_DESIRES = "Salt/salty, Sweets/sugar, Sour/acids, Spicy/hot, Bitter, Fat/rich food, Milk, Cheese, Eggs, Bread, Meat, Fish, Chocolate, Coffee, Tea, Alcohol/wine, Cold drinks, Warm drinks, Ice/ice cream, Fruit, Vegetables, Raw food, Smoked food, Pickles, Oysters, Onions, Garlic, Potatoes, Rice, Butter".split(", ")
 #: Checked items that are food aversions, unless desired.
 FOOD_AVERSIONS = "Meat, Fat/rich food, Milk, Eggs, Bread, Coffee, Salt, Sweets, Fish, Fruit, Vegetables, Butter, Cheese, Alcohol, Warm food, Cold food, Cooked food, All food".split(", ")
+
+
+#: The places that the browser profile knows; others go by their words.
+BROWSER_LOCATIONS = """
+Head - Forehead, Head - Temples, Head - Vertex (top), Head - Occiput (back), Head - Whole head, Eyes, Ears, Nose, Throat,
+Neck - Cervical, Back - Upper (thoracic), Back - Lower (lumbar), Back - Sacral, Chest - General, Chest - Heart region,
+Abdomen - Upper (epigastric), Abdomen - Liver region, Stomach, Rectum, Bladder, Kidneys, Knee, Shoulder - Right,
+Shoulder - Left, Hip, Foot, Skin, Joints - General, Muscles - General, Whole body / General
+""".strip().replace("\n", " ").split(", ")
+
+#: Sensation to search terms in the browser profile.
+BROWSER_SENSATIONS = _terms("""
+Aching / Dull: aching, dull, pain
+Bruised / Sore: bruised, sore, lame
+Burning: burning, burn, heat
+Cramping: cramping, cramp, spasm
+Cutting: cutting
+Drawing / Pulling: drawing, pulling, tearing
+Itching: itching, itch, pruritus
+Numb / Tingling: numbness, tingling, numb
+Pressing: pressing, pressure
+Pulsating / Throbbing: pulsating, throbbing
+Sharp: sharp
+Shooting: shooting, radiating
+Stitching / Stabbing: stitching, stabbing, stitch
+Stinging: stinging, sting
+Tearing: tearing
+""")

@@ -20,10 +20,15 @@ def ranked_index(entries: DataFrame, tie: str = "id") -> DataFrame:
     return numbered(entries, [], order, "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
-def postings(df: DataFrame, key: str, text: Column | str, least: int = 3) -> DataFrame:
-    """``token, key`` without repeats.  Null and token-free texts have no rows."""
+def postings(df: DataFrame, key: str, text: Column | str, least: int = 3, unique: bool = False) -> DataFrame:
+    """``token, key`` without repeats.  Null and token-free texts have no rows.
+
+    Where keys are ``unique`` a text's own tokens are all that can repeat, and
+    nothing is shuffled.
+    """
     c = F.col(text) if isinstance(text, str) else text
-    return df.select(F.col(key), F.explode(F.array_distinct(words(c, least))).alias("token")).select("token", key).distinct()
+    found = df.select(F.col(key), F.explode(F.array_distinct(words(c, least))).alias("token")).select("token", key)
+    return found if unique else found.distinct()
 
 
 def vocabulary(posted: DataFrame) -> DataFrame:

@@ -19,11 +19,18 @@ from quillspark.plans.scratch import materialize
 
 POINTS = "decimal(18,4)"
 LABELS = 20
+#: Salts over which the hits of a term are spread.
+SPREAD = 8
+
+
+CONSTITUTION = ("thermal", "thirst", "build", "appetite")
+HABITS = ("sleep_position", "sleep_quality", "sweat_pattern", "sweat_location")
+FREE = ("past_medical", "family_history", "medications", "additional")
 
 
 @dataclass(frozen=True)
 class Profile:
-    """Points of each rule; a rule without points is left out."""
+    """Points of each rule; a rule without points is left out.  ``fields`` are searched in this order."""
 
     top: int = 50
     points: dict[str, float] = field(
@@ -49,13 +56,33 @@ class Profile:
             "free": 0.3,
         }
     )
+    fields: tuple[str, ...] = ("ailments_from", *CONSTITUTION, *HABITS, "_checked", *FREE)
+    #: Fields whose choices are looked up in ``sensations``; others go by their words.
+    looked_up: tuple[str, ...] = (*CONSTITUTION, *HABITS)
+    windows: tuple[int, ...] = (3, 2)
+    locations: tuple[str, ...] = tuple(fixed.LOCATION_TERMS)
+    sensations: str = "KEYWORD_EXPANSIONS"
+
+    @property
+    def location_terms(self) -> dict[str, list[str]]:
+        return {k: fixed.LOCATION_TERMS[k] for k in self.locations}
+
+    @property
+    def sensation_terms(self) -> dict[str, list[str]]:
+        return getattr(fixed, self.sensations)
 
 
 SERVER = Profile()
-BROWSER = Profile(top=10, points={k: v for k, v in SERVER.points.items() if k not in ("side", "modality_in", "modality_out", "modality_alone", "word", "habit", "free", "constitution_all", "constitution_one")} | {"constitution_any": 1.5})
-CONSTITUTION = ("thermal", "thirst", "build", "appetite")
-HABITS = ("sleep_position", "sleep_quality", "sweat_pattern", "sweat_location")
-FREE = ("past_medical", "family_history", "medications", "additional")
+_NOT_IN_BROWSER = ("side", "modality_in", "modality_out", "modality_alone", "word", "habit", "free", "constitution_all", "constitution_one")
+BROWSER = Profile(
+    top=10,
+    points={k: v for k, v in SERVER.points.items() if k not in _NOT_IN_BROWSER} | {"constitution_any": 1.5},
+    fields=("_checked", "ailments_from", "thermal", "thirst", "appetite"),
+    looked_up=(),
+    windows=(2, 3),
+    locations=tuple(fixed.BROWSER_LOCATIONS),
+    sensations="BROWSER_SENSATIONS",
+)
 
 
 def _dictionary(c: Column, table: dict[str, list[str]]) -> Column:
@@ -64,7 +91,7 @@ def _dictionary(c: Column, table: dict[str, list[str]]) -> Column:
     return F.coalesce(F.try_element_at(known, c), kept_words(F.coalesce(c, F.lit("")), fixed.STOP_WORDS))
 
 
-def symptom_plan(symptoms: DataFrame, case: str = "case_id") -> DataFrame:
+def symptom_plan(symptoms: DataFrame, case: str = "case_id", profile: Profile = SERVER) -> DataFrame:
     """``case, seq, at, both, placed, felt, rule, label, terms``: what is searched for each symptom.
 
     ``loc`` and ``sens`` rows hold OR lists; ``placed`` and ``felt`` say whether the symptom has them.
@@ -79,86 +106,141 @@ def symptom_plan(symptoms: DataFrame, case: str = "case_id") -> DataFrame:
         "sx_worse",
         kept_words(F.coalesce("sx_desc", F.lit("")), fixed.STOP_WORDS).alias("desc"),
     )
-    s = s.withColumn("loc", _dictionary(F.col("location"), fixed.LOCATION_TERMS)).withColumn("sens", _dictionary(F.col("sensation"), fixed.KEYWORD_EXPANSIONS))
+    s = s.withColumn("loc", _dictionary(F.col("location"), profile.location_terms)).withColumn("sens", _dictionary(F.col("sensation"), profile.sensation_terms))
     none = F.array().cast("array<string>")
     row = lambda rule, label, terms: F.struct(F.lit(rule).alias("rule"), label.alias("label"), terms.alias("terms"))
-    side_words = F.filter(words(F.col("side")), lambda w: w != "side")
-    side = F.when(~F.col("side").isin("", "N/A", "Both sides") & (F.size("loc") > 0), F.transform(side_words, lambda w: row("side", F.concat_ws(" ", F.col("side"), F.col("location")), F.array(w))))
     empty = F.array().cast("array<struct<rule:string,label:string,terms:array<string>>>")
-
-    def modality(name: str, c: Column) -> Column:
-        return F.transform(F.coalesce(c, none), lambda m: row("modality", F.concat(F.lit(f"{name}: "), m), kept_words(F.coalesce(m, F.lit("")), fixed.STOP_WORDS)))
-
-    mods = [modality("better", F.col("sx_better")), modality("worse", F.col("sx_worse"))]
-    wins = [F.when(F.size("desc") >= 2, F.transform(windows(F.col("desc"), k), lambda w: row("window", w, F.split(w, " ")))) for k in (3, 2)]
-    singles = F.transform("desc", lambda w: row("word", w, F.array(w)))
-    place = F.filter(F.array(row("loc", F.col("location"), F.col("loc")), row("sens", F.col("sensation"), F.col("sens"))), lambda r: F.size(r["terms"]) > 0)
-    every = F.concat(place, *[F.coalesce(x, empty) for x in (side, *mods, *wins, singles)])
+    parts = [F.filter(F.array(row("loc", F.col("location"), F.col("loc")), row("sens", F.col("sensation"), F.col("sens"))), lambda r: F.size(r["terms"]) > 0)]
+    if "side" in profile.points:
+        side_words = kept_words(F.col("side"), fixed.STOP_WORDS)
+        parts.append(F.when(~F.col("side").isin("", "N/A", "Both sides") & (F.size("loc") > 0), F.transform(side_words, lambda w: row("side", F.concat_ws(" ", F.col("side"), F.col("location")), F.array(w)))))
+    if "modality_in" in profile.points:
+        modality = lambda name: lambda m: row("modality", F.concat(F.lit(f"{name}: "), m), kept_words(F.coalesce(m, F.lit("")), fixed.STOP_WORDS))
+        parts += [F.transform(F.coalesce(F.col(f"sx_{name}"), none), modality(name)) for name in ("better", "worse")]
+    for k in profile.windows:
+        parts.append(F.when(F.size("desc") >= 2, F.transform(windows(F.col("desc"), k), lambda w: row("window", w, F.split(w, " ")))))
+    if "word" in profile.points:
+        parts.append(F.transform("desc", lambda w: row("word", w, F.array(w))))
     both = F.concat_ws(" + ", "location", "sensation")
+    every = F.concat(*[F.coalesce(x, empty) for x in parts])
     return s.select("case", "seq", both.alias("both"), (F.size("loc") > 0).alias("placed"), (F.size("sens") > 0).alias("felt"), F.posexplode(every).alias("at", "r")).select("case", "seq", "at", "both", "placed", "felt", "r.*").where("size(terms) > 0")
 
 
-def form_plan(fields: DataFrame, case: str = "case_id") -> DataFrame:
-    """The other fields of a form as plan rows; repeated deliveries of a field count once."""
-    f = fields.dropDuplicates([case, "field", "seq"]).select(F.col(case).alias("case"), "field", F.col("seq").alias("at"), F.col("field_value").alias("value")).where("value is not null")
+def form_plan(fields: DataFrame, case: str = "case_id", profile: Profile = SERVER) -> DataFrame:
+    """The other fields of a form as plan rows; repeated deliveries of a field count once.
+
+    Rows without terms hit nothing; they stay, as their label may count as searched for.
+    """
+    f = fields.dropDuplicates([case, "field", "seq"]).select(F.col(case).alias("case"), "field", F.col("seq").alias("at"), F.col("field_value").alias("value")).where("value is not null and value <> ''")
+    name = F.col("field")
+    rule = F.when(name == "ailments_from", "ailments").when(name.isin(*CONSTITUTION), "constitution").when(name.isin(*HABITS), "habit").when(name == "_checked", "checked").when(name.isin(*FREE), "free")
     tokens = kept_words(F.col("value"), fixed.STOP_WORDS)
-    rule = F.when(F.col("field") == "ailments_from", "ailments").when(F.col("field").isin(*CONSTITUTION), "constitution").when(F.col("field").isin(*HABITS), "habit").when(F.col("field") == "_checked", "checked").when(F.col("field").isin(*FREE), "free")
-    terms = F.when(F.col("field").isin(*CONSTITUTION, *HABITS), _dictionary(F.col("value"), fixed.KEYWORD_EXPANSIONS)).otherwise(tokens)
-    label = F.when(F.col("field") == "ailments_from", F.concat(F.lit("Ailments from: "), "value")).otherwise(F.col("value"))
-    order = F.when(F.col("field") == "ailments_from", 0).when(F.col("field").isin(*CONSTITUTION), 1).when(F.col("field").isin(*HABITS), 2).when(F.col("field") == "_checked", 3).otherwise(4)
-    return f.select("case", (order + 1_000_000).alias("seq"), "at", rule.alias("rule"), label.alias("label"), terms.alias("terms")).where("rule is not null and size(terms) > 0")
+    terms = F.when(name.isin(*profile.looked_up), _dictionary(F.col("value"), profile.sensation_terms)).otherwise(tokens) if profile.looked_up else tokens
+    label = F.when(name == "ailments_from", F.concat(F.lit("Ailments from: "), "value")).otherwise(F.col("value"))
+    seq = F.array_position(F.array(*[F.lit(x) for x in profile.fields]), name).cast("int") + 1_000_000
+    return f.where(name.isin(*profile.fields)).select("case", seq.alias("seq"), "at", rule.alias("rule"), label.alias("label"), terms.alias("terms"))
 
 
 def _points(profile: Profile, rule: str) -> Column:
     return F.lit(profile.points[rule]).cast(POINTS) if rule in profile.points else F.lit(None).cast(POINTS)
 
 
-def _form_parts(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def _form_parts(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key: str, profile: Profile, vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The numbered plan rows of all cases, and ``term, key`` hits of their distinct terms."""
-    form = form_plan(fields).select("case", "seq", "at", F.lit("").alias("both"), F.lit(False).alias("placed"), F.lit(False).alias("felt"), "rule", "label", "terms")
+    form = form_plan(fields, profile=profile).select("case", "seq", "at", F.lit("").alias("both"), F.lit(False).alias("placed"), F.lit(False).alias("felt"), "rule", "label", "terms")
     one_by_one = F.posexplode_outer(F.when(F.col("rule") == "free", F.transform("terms", lambda t: F.array(t))).otherwise(F.array("terms")))
-    plan = symptom_plan(symptoms).unionByName(form).select("case", "seq", "at", "both", "placed", "felt", "rule", "label", one_by_one.alias("part", "terms"))
-    plan = plan.withColumn("label", F.when(F.col("rule") == "free", F.col("terms")[0]).otherwise(F.col("label"))).withColumn("terms", F.array_distinct("terms"))
+    plan = symptom_plan(symptoms, profile=profile).unionByName(form).select("case", "seq", "at", "both", "placed", "felt", "rule", "label", one_by_one.alias("part", "terms"))
+    plan = plan.withColumn("label", F.when(F.col("rule") == "free", F.col("terms")[0]).otherwise(F.col("label")))
     plan = materialize(plan.withColumn("row", F.monotonically_increasing_id()), "plan")
-    hits = term_hits(posted, plan.select(F.explode("terms").alias("term")).distinct(), key).withColumnRenamed(key, "key")
+    hits = term_hits(posted, plan.select(F.explode("terms").alias("term")).distinct(), key, vocab).withColumnRenamed(key, "key")
     return plan, materialize(hits, "hits")
 
 
-def _form_points(plan: DataFrame, hits: DataFrame, profile: Profile, only: DataFrame | None = None) -> DataFrame:
-    """``case, seq, key, row, points, paired``: the award of each plan row to each document that it hits.
+def _plan_terms(plan: DataFrame) -> DataFrame:
+    """A row for each distinct term of a plan row: ``size`` and ``need`` count the row's terms with and without repeats, ``m`` the term's."""
+    rows = plan.select("case", "seq", "row", "rule", "placed", "felt", F.size("terms").alias("size"), F.size(F.array_distinct("terms")).alias("need"), "terms")
+    each = rows.withColumn("term", F.explode(F.array_distinct("terms")))
+    return each.withColumn("m", F.size(F.filter("terms", lambda t: t == F.col("term")))).drop("terms")
+
 
-    All rows meet the hits in one join; one aggregation counts the terms that a
-    document has of each row, and the symptom's context (is the document in its
-    place, has it its sensation) is looked up beside it by a window on the same
-    keys.  ``only`` (``case, key``) keeps some documents of some cases.
+def _hit_rows(plan: DataFrame, hits: DataFrame) -> DataFrame:
+    """All plan rows with the documents that they hit, ``got`` terms of each (``got_all`` with repeats).
+
+    A broad term meets nearly all documents, so hits are spread over ``SPREAD``
+    salts and the few plan rows repeated for each.
     """
-    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the plan is small, what it meets isn't: keep it spread
-    rows = plan.select("case", "seq", "row", "rule", "placed", "felt", F.size("terms").cast("short").alias("need"), "terms").repartition(parts, "row")
-    met = rows.withColumn("term", F.explode("terms")).drop("terms").join(hits, "term").drop("term")
-    if only is not None:
-        met = met.join(only.select("case", "key"), ["case", "key"], "left_semi")
-    got = met.groupBy("case", "seq", "key", "row", "rule", "placed", "felt", "need").agg(F.count(F.lit(1)).alias("got"))
+    rows = _plan_terms(plan).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    met = rows.join(hits.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")), ["term", "salt"])
+    return _got(met)
+
+
+def _got(met: DataFrame) -> DataFrame:
+    keys = ["case", "seq", "key"]
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(parts, *keys).groupBy(*keys, "row", "rule", "placed", "felt", "size", "need").agg(F.count(F.lit(1)).alias("got"), F.sum("m").alias("got_all"))
+
+
+def _free_points(profile: Profile) -> Column:
+    """Points of the rules that don't depend on what else of the symptom a document has."""
+    p = lambda rule: _points(profile, rule)
+    rule, full, several = F.col("rule"), F.col("got") == F.col("need"), F.col("size") >= 2
+    any_word = "constitution_any" in profile.points
+    return (
+        F.when(rule == "window", F.when(full, p("window")))
+        .when(rule == "word", p("word"))
+        .when(rule == "ailments", F.when(full, F.when(several, p("ailments_all")).otherwise(p("ailments_one"))))
+        .when(rule == "constitution", p("constitution_any") * F.col("got_all") if any_word else F.when(full, F.when(several, p("constitution_all")).otherwise(p("constitution_one"))))
+        .when(rule == "habit", p("habit") * F.col("got_all"))
+        .when(rule == "checked", F.when(full, F.when(several, p("checked_all")).otherwise(p("checked_one"))))
+        .when(rule == "free", p("free"))
+    )
+
+
+def _form_points(got: DataFrame, profile: Profile) -> DataFrame:
+    """``case, seq, key, row, points, paired``: the award of each plan row to each document that it hits."""
     here = Window.partitionBy("case", "seq", "key")
     seen = got.withColumn("in_loc", F.max(F.col("rule") == "loc").over(here)).withColumn("in_sens", F.max(F.col("rule") == "sens").over(here))
     p = lambda rule: _points(profile, rule)
-    rule, full = F.col("rule"), F.col("got") == F.col("need")
+    rule = F.col("rule")
     points = (
-        F.when(rule == "loc", F.when(~F.col("felt"), p("location_only") * F.col("got")).when(F.col("in_sens"), p("both")).otherwise(p("location_rest")))
-        .when(rule == "sens", F.when(~F.col("placed"), p("sensation_only") * F.col("got")).when(~F.col("in_loc"), p("sensation_rest")))
+        F.when(rule == "loc", F.when(~F.col("felt"), p("location_only") * F.col("got_all")).when(F.col("in_sens"), p("both")).otherwise(p("location_rest")))
+        .when(rule == "sens", F.when(~F.col("placed"), p("sensation_only") * F.col("got_all")).when(~F.col("in_loc"), p("sensation_rest")))
         .when(rule == "side", F.when(F.col("in_loc"), p("side")))
         .when(rule == "modality", F.when(~F.col("placed"), p("modality_alone")).when(F.col("in_loc"), p("modality_in")).otherwise(p("modality_out")))
-        .when(rule == "window", F.when(full, p("window")))
-        .when(rule == "word", p("word"))
-        .when(rule == "ailments", F.when(full, F.when(F.col("need") >= 2, p("ailments_all")).otherwise(p("ailments_one"))))
-        .when(rule == "constitution", p("constitution_any") * F.col("got") if "constitution_any" in profile.points else F.when(full, F.when(F.col("need") >= 2, p("constitution_all")).otherwise(p("constitution_one"))))
-        .when(rule == "habit", p("habit") * F.col("got"))
-        .when(rule == "checked", F.when(full, F.when(F.col("need") >= 2, p("checked_all")).otherwise(p("checked_one"))))
-        .when(rule == "free", p("free"))
+        .otherwise(_free_points(profile))
     )
     paired = (rule == "loc") & F.col("felt") & F.col("in_sens")
     return seen.select("case", "seq", "key", "row", points.cast(POINTS).alias("points"), paired.alias("paired")).where("points is not null")
 
 
+def _form_sums(got: DataFrame, profile: Profile) -> DataFrame:
+    """``case, key, sum``: as the sum of ``_form_points``, by aggregation alone.
+
+    ``got`` comes partitioned by case, symptom and document, so a symptom's
+    points are summed without another exchange.
+    """
+    p = lambda rule: F.coalesce(_points(profile, rule), F.lit(0).cast(POINTS))
+    zero = F.lit(0).cast(POINTS)
+    of = lambda rule, c=F.lit(1): F.sum(F.when(F.col("rule") == rule, c).otherwise(0))
+    one = got.groupBy("case", "seq", "key").agg(
+        F.max("placed").alias("placed"),
+        F.max("felt").alias("felt"),
+        of("loc", F.col("got_all")).alias("loc"),
+        of("sens", F.col("got_all")).alias("sens"),
+        of("side").alias("side"),
+        of("modality").alias("modality"),
+        F.sum(F.coalesce(_free_points(profile).cast(POINTS), zero)).alias("free"),
+        F.count(_free_points(profile)).alias("n_free"),
+    )
+    in_loc, in_sens = F.col("loc") > 0, F.col("sens") > 0
+    place = F.when(in_loc, F.when(~F.col("felt"), p("location_only") * F.col("loc")).when(in_sens, p("both")).otherwise(p("location_rest"))).otherwise(zero)
+    sense = F.when(in_sens, F.when(~F.col("placed"), p("sensation_only") * F.col("sens")).when(~in_loc, p("sensation_rest")).otherwise(zero)).otherwise(zero)
+    side = F.when(in_loc, p("side") * F.col("side")).otherwise(zero)
+    mode = F.col("modality") * F.when(~F.col("placed"), p("modality_alone")).when(in_loc, p("modality_in")).otherwise(p("modality_out"))
+    scored = in_loc | in_sens | (F.col("modality") > 0) | (F.col("n_free") > 0)
+    return one.where(scored).groupBy("case", "key").agg(F.sum((place + sense + side + mode + F.col("free")).cast(POINTS)).alias("sum"))
+
+
 def _labelled(points: DataFrame, plan: DataFrame) -> DataFrame:
     label = F.when(F.col("paired"), F.col("both")).otherwise(F.col("label"))
     return points.join(plan.select("row", "at", "both", "label"), "row").select("case", "seq", "at", "key", "points", label.alias("label"))
@@ -170,15 +252,21 @@ def form_awards(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key:
     "All" means that the terms occur anywhere in the document, not side by
     side.  An award given for each term comes as one row of their sum.
     """
-    plan, hits = _form_parts(symptoms, fields, posted, key)
-    return _labelled(_form_points(plan, hits, profile), plan)
+    plan, hits = _form_parts(symptoms, fields, posted, key, profile)
+    return _labelled(_form_points(_hit_rows(plan, hits), profile), plan)
+
 
+def ranked_forms(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key: str, profile: Profile = SERVER, vocab: DataFrame | None = None) -> DataFrame:
+    """The same as ``ranked(form_awards(...))``, with labels looked up for the best documents only.
 
-def ranked_forms(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key: str, profile: Profile = SERVER) -> DataFrame:
-    """The same as ``ranked(form_awards(...))``, with labels looked up for the best documents only."""
-    plan, hits = _form_parts(symptoms, fields, posted, key)
-    best = materialize(_top(_form_points(plan, hits, profile).groupBy("case", "key").agg(F.sum("points").alias("sum")), profile.top), "best")
-    return _described(best, _labelled(_form_points(plan, hits, profile, best), plan))
+    Labels start from the best documents of each case, so what is joined a
+    second time is as large as the answer, not as the hits.
+    """
+    plan, hits = _form_parts(symptoms, fields, posted, key, profile, vocab)
+    best = materialize(_top(_form_sums(_hit_rows(plan, hits), profile), profile.top), "best")
+    few = hits.join(best.select("key").distinct(), "key", "left_semi")
+    met = _plan_terms(plan).join(best.select("case", "key"), "case").join(few, ["term", "key"])
+    return _described(best, _labelled(_form_points(_got(met), profile), plan))
 
 
 def ranked(awards: DataFrame, top: int = 50) -> DataFrame:
@@ -203,16 +291,33 @@ def _described(best: DataFrame, awards: DataFrame) -> DataFrame:
     by_label = awards.groupBy("case", "key", "label").agg(F.min(F.struct("seq", "at")).alias("first"))
     labels = by_label.groupBy("case", "key").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("first", "label"))), lambda x: x["label"]), 1, LABELS).alias("matched"))
     most = F.max("sum").over(Window.partitionBy("case"))
-    full = best.withColumn("pct", F.round(100 * F.col("sum") / most).cast("int")).join(labels, ["case", "key"])
+    full = best.withColumn("pct", F.coalesce(F.round(100 * F.try_divide("sum", most)), F.lit(0)).cast("int")).join(labels, ["case", "key"])
     return full.select("case", "key", "rank", round_half_up(F.col("sum")).alias("score"), "pct", "matched")
 
 
-def keywords_used(symptoms: DataFrame, fields: DataFrame) -> DataFrame:
-    """``case, keywords_used``: distinct labels searched for by a case (single words and free text don't count)."""
-    plan = symptom_plan(symptoms).where("rule not in ('word', 'window')")
-    plan = plan.select("case", F.explode(F.when(F.col("rule").isin("loc", "sens") & F.col("placed") & F.col("felt"), F.array("both")).otherwise(F.array("label"))).alias("label"))
-    form = form_plan(fields).where("rule <> 'free'").select("case", "label")
-    return plan.union(form).groupBy("case").agg(F.count_distinct("label").alias("keywords_used"))
+def keywords_used(symptoms: DataFrame, fields: DataFrame, posted: DataFrame, key: str, profile: Profile = SERVER, vocab: DataFrame | None = None) -> DataFrame:
+    """``case, keywords_used``: the distinct labels that a case searched for, whether or not they hit.
+
+    Windows of a description count only if a document has all their words;
+    single words and free text never count; a case that scores no document
+    counts 0.
+    """
+    plan, hits = _form_parts(symptoms, fields, posted, key, profile, vocab)
+    terms = _plan_terms(plan)
+    scoring_rows = terms.where("rule in ('window', 'ailments', 'constitution', 'checked')")
+    # rows that need all their terms: those of which some document has all
+    full = _got(scoring_rows.join(hits, "term")).where("got = need").select("row").distinct()
+    any_hit = terms.where("rule not in ('window', 'ailments', 'constitution', 'checked', 'side')").join(hits.select("term").distinct(), "term", "left_semi").select("case")
+    if "constitution_any" in profile.points:
+        any_hit = any_hit.union(terms.where("rule = 'constitution'").join(hits.select("term").distinct(), "term", "left_semi").select("case"))
+    scored = plan.join(full, "row", "left_semi").select("case").union(any_hit).distinct()
+    label = F.when(F.col("rule").isin("loc", "sens") & F.col("placed") & F.col("felt"), F.col("both")).otherwise(F.col("label"))
+    always = ["ailments", *(["constitution"] if "constitution_any" in profile.points else [])]
+    named = plan.where(~F.col("rule").isin("word", "window", "free") & (F.col("rule").isin(*always) | (F.size("terms") > 0)))
+    used = named.select("case", label.alias("label")).union(plan.where("rule = 'window'").join(full, "row", "left_semi").select("case", "label"))
+    counted = used.join(scored, "case", "left_semi").groupBy("case").agg(F.count_distinct("label").alias("keywords_used"))
+    cases = symptoms.select(F.col("case_id").alias("case")).union(fields.select("case_id")).distinct()
+    return cases.join(counted, "case", "left").select("case", F.coalesce("keywords_used", F.lit(0)).cast("long").alias("keywords_used"))
 
 
 PLAN_SCHEMA = "analysis string, search_groups array<struct<label: string, required_terms: array<string>, bonus_terms: array<string>, weight: double, repertory_section: string>>, suggested_remedies array<string>, reasoning string"
@@ -229,31 +334,54 @@ def parsed_plans(plans: DataFrame, text: str = "plan") -> DataFrame:
     return plans.select(F.col("case"), F.from_json(fence_stripped(F.col(text)), PLAN_SCHEMA).alias("p")).where("p is not null")
 
 
-def plan_awards(plans: DataFrame, posted: DataFrame, names: DataFrame, key: str) -> DataFrame:
+def _clean_terms(c: Column) -> Column:
+    """Terms of three or more characters in lower case, as given otherwise."""
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower), lambda t: F.length(t) >= 3)
+
+
+def _groups(plans: DataFrame) -> DataFrame:
+    p = parsed_plans(plans).select("case", F.posexplode("p.search_groups").alias("seq", "g"))
+    weight = F.coalesce("g.weight", F.lit(DEFAULT_WEIGHT)).cast(POINTS)
+    return p.select("case", "seq", F.coalesce("g.label", F.lit("")).alias("label"), F.coalesce(F.size("g.required_terms"), F.lit(0)).alias("asked"), _clean_terms(F.col("g.required_terms")).alias("required"), _clean_terms(F.col("g.bonus_terms")).alias("bonus"), weight.alias("weight"))
+
+
+def plan_awards(plans: DataFrame, posted: DataFrame, names: DataFrame, key: str, vocab: DataFrame | None = None) -> DataFrame:
     """Awards of search plans: ``case, seq, at, key, points, label``.
 
     A group's documents are those that all its terms (lower case, three or more
-    letters) hit, for its weight; a bonus term gives 0.3 of the weight to
-    documents that the same or an earlier group has scored; a suggested name
-    gives 8 to the first entry it fits.
+    characters) hit, for its weight; a group without such terms is left out as
+    a whole.  A bonus term gives 0.3 of the weight to documents that the same
+    or an earlier group has scored; a suggested name gives 8 to the first entry
+    it fits.
     """
-    p = parsed_plans(plans)
-    groups = p.select("case", F.posexplode("p.search_groups").alias("seq", "g"))
-    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: F.length(t) >= 3)
-    g = groups.select("case", "seq", F.coalesce("g.label", F.lit("")).alias("label"), clean(F.col("g.required_terms")).alias("required"), clean(F.col("g.bonus_terms")).alias("bonus"), F.coalesce("g.weight", F.lit(DEFAULT_WEIGHT)).cast(POINTS).alias("weight"))
-    hits = materialize(term_hits(posted, g.select(F.explode(F.concat("required", "bonus")).alias("term")).distinct(), key).withColumnRenamed(key, "key"), "hits")
+    g = materialize(_groups(plans).where("size(required) > 0"), "groups")
+    hits = materialize(term_hits(posted, g.select(F.explode(F.concat("required", "bonus")).alias("term")).distinct(), key, vocab).withColumnRenamed(key, "key"), "hits")
     need = g.withColumn("_need", F.size(F.array_distinct("required"))).select("case", "seq", "label", "weight", "_need", F.explode(F.array_distinct("required")).alias("term"))
-    base = need.join(hits, "term").groupBy("case", "seq", "label", "weight", "_need", "key").agg(F.count(F.lit(1)).alias("_got")).where("_got = _need")
+    base = materialize(need.join(hits, "term").groupBy("case", "seq", "label", "weight", "_need", "key").agg(F.count(F.lit(1)).alias("_got")).where("_got = _need"), "scored")
     awards = base.select("case", "seq", F.lit(0).alias("at"), "key", F.col("weight").alias("points"), "label")
     scored = base.groupBy("case", "key").agg(F.min("seq").alias("_since"))
     extra = g.select("case", "seq", "weight", F.posexplode("bonus").alias("at", "term")).join(hits, "term").join(scored, ["case", "key"]).where("_since <= seq")
-    bonus = extra.select("case", "seq", (F.col("at") + 1).alias("at"), "key", (F.col("weight") * F.lit(BONUS).cast("decimal(4,2)")).cast(POINTS).alias("points"), F.col("term").alias("label"))
-    asked = p.select("case", F.posexplode("p.suggested_remedies").alias("at", "_s")).withColumn("name", F.coalesce(F.get_json_object("_s", "$.name"), F.col("_s")))
+    bonus = extra.select("case", "seq", (F.col("at") + 1).alias("at"), "key", (F.col("weight") * F.lit(BONUS).cast("decimal(4,2)")).cast(POINTS).alias("points"), F.concat(F.lit("+ "), "term").alias("label"))
+    asked = parsed_plans(plans).select("case", F.posexplode("p.suggested_remedies").alias("at", "_s")).withColumn("name", F.coalesce(F.get_json_object("_s", "$.name"), F.col("_s")))
     found = first_match(asked, names).join(asked, "name")
-    suggested = found.select("case", F.lit(1_000_000).alias("seq"), "at", F.col("idx").alias("key"), F.lit(SUGGESTED).cast(POINTS).alias("points"), F.concat(F.lit("Suggested: "), "name").alias("label"))
+    suggested = found.select("case", F.lit(1_000_000).alias("seq"), "at", F.col("idx").alias("key"), F.lit(SUGGESTED).cast(POINTS).alias("points"), F.concat(F.lit("AI suggested: "), "name").alias("label"))
     return awards.unionByName(bonus).unionByName(suggested)
 
 
+def plan_keywords(plans: DataFrame) -> DataFrame:
+    """``case, keywords_used``: the distinct labels of groups that name required terms, long enough or not."""
+    labels = _groups(plans).where("asked > 0").groupBy("case").agg(F.count_distinct("label").alias("n"))
+    return plans.select("case").distinct().join(labels, "case", "left").select("case", F.coalesce("n", F.lit(0)).alias("keywords_used"))
+
+
+def ranked_plans(plans: DataFrame, symptoms: DataFrame, fields: DataFrame, posted: DataFrame, names: DataFrame, key: str, profile: Profile = SERVER, vocab: DataFrame | None = None) -> DataFrame:
+    """``ranked`` results of the plans, with ``by``; cases whose plan is missing, no JSON object or scores nothing go by their form."""
+    planned = materialize(ranked(plan_awards(plans, posted, names, key, vocab), profile.top).withColumn("by", F.lit("plan")), "planned")
+    done = planned.select(F.col("case").alias("case_id")).distinct()
+    rest = [t.join(done, "case_id", "left_anti") for t in (symptoms, fields)]
+    return planned.unionByName(ranked_forms(*rest, posted, key, profile, vocab).withColumn("by", F.lit("form")))
+
+
 def checked_classes(c: Column) -> Column:
     """``struct<emotion, fear, desire, aversion, system>``: flags of a checked item; an item can be emotion and fear at once."""
     low = F.lower(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LIMIT, PRE_LIMIT = 100, 3
@@ -29,32 +29,33 @@ def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> Data
     return left.join(right, "_run").where(F.contains(F.col(text), F.col(part))).drop("_run")
 
 
-def term_hits(posted: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+def term_hits(posted: DataFrame, terms: DataFrame, key: str, vocab: DataFrame | None = None) -> DataFrame:
     """``term, key``: documents with a token that contains the term.
 
-    The substring join runs over the distinct vocabulary, against the terms of
-    the query set; a term with a blank or another sign than a-z hits nothing.
-    Postings come in by an equi-join on the token.
+    The substring join runs over the distinct vocabulary (``vocab``, if it is
+    at hand), against the terms of the query set; a term with a blank or
+    another sign than a-z hits nothing.  Postings come in by an equi-join on
+    the token.
     """
-    vocab = posted.select("token").distinct()
+    words = (posted if vocab is None else vocab).select("token")
     few = terms.select("term").where("term rlike '^[a-z]+$'").distinct()
-    return posted.join(containing(vocab, "token", few, "term"), "token").select("term", key).distinct()
+    return posted.join(containing(words if vocab is not None else words.distinct(), "token", few, "term"), "token").select("term", key).distinct()
 
 
 def _terms(posted: DataFrame, terms: list[str]) -> DataFrame:
     return posted.sparkSession.createDataFrame([(t,) for t in terms], "term string")
 
 
-def all_of(posted: DataFrame, terms: list[str], key: str) -> DataFrame:
+def all_of(posted: DataFrame, terms: list[str], key: str, vocab: DataFrame | None = None) -> DataFrame:
     """Documents that every term hits; none if there are no terms."""
     wanted = list(dict.fromkeys(terms))
-    hits = term_hits(posted, _terms(posted, wanted), key)
+    hits = term_hits(posted, _terms(posted, wanted), key, vocab)
     return hits.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select(key)
 
 
-def any_of(posted: DataFrame, terms: list[str], key: str) -> DataFrame:
+def any_of(posted: DataFrame, terms: list[str], key: str, vocab: DataFrame | None = None) -> DataFrame:
     """Documents that some term hits."""
-    return term_hits(posted, _terms(posted, terms), key).select(key).distinct()
+    return term_hits(posted, _terms(posted, terms), key, vocab).select(key).distinct()
 
 
 def without(found: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -70,14 +71,15 @@ def phrase_in(snippets: DataFrame, phrase: str, key: str, fields: list[str] | No
     return rows.select(key).distinct()
 
 
-def search(entries: DataFrame, posted: DataFrame, query: str, category: str = "", dual_only: bool = False, limit: int = LIMIT) -> DataFrame:
+def search(entries: DataFrame, posted: DataFrame, query: str, category: str = "", dual_only: bool = False, limit: int = LIMIT, key: str = "idx", vocab: DataFrame | None = None) -> DataFrame:
     """``idx, score, total`` and the columns of ``entries``, best first.
 
     Words are ANDed, each by substring.  The first ``3 * limit`` hits in idx
     order are kept before scoring; score is the number of sources, plus 100 if
     the whole query is in the names.  An empty query takes all entries; a query
     without a word of three letters finds none.  ``total`` counts the hits
-    before the last limit.
+    before the last limit, by a window over those at most ``3 * limit`` rows.
+    ``posted`` names documents by ``key``, a column of ``entries``.
     """
     q = query.strip().lower()
     terms = terms_of(q)
@@ -86,7 +88,7 @@ def search(entries: DataFrame, posted: DataFrame, query: str, category: str = ""
     elif not terms:
         hits = entries.limit(0)
     else:
-        hits = entries.join(all_of(posted, terms, "idx"), "idx", "left_semi")
+        hits = entries.join(all_of(posted, terms, key, vocab), key, "left_semi")
     if category:
         hits = hits.where(F.col("category") == category)
     if dual_only:
@@ -95,8 +97,7 @@ def search(entries: DataFrame, posted: DataFrame, query: str, category: str = ""
     name = F.lower(F.concat_ws(" ", F.col("primary"), F.col("latin")))
     bonus = F.when(F.contains(name, F.lit(q)), 100).otherwise(0) if q else F.lit(0)
     scored = first.withColumn("score", F.coalesce("n_sources", F.lit(0)) + bonus)
-    total = scored.agg(F.count(F.lit(1)).alias("total"))
-    return scored.join(F.broadcast(total)).orderBy(F.desc("score"), "idx").limit(limit)
+    return scored.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy())).orderBy(F.desc("score"), "idx").limit(limit)
 
 
 def lite(results: DataFrame) -> DataFrame:

@@ -4,25 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed_values as fixed
 from quillspark.functions import text as T
 from quillspark.operators import curate, graph, index, packed_values, resolve, scoring, search
+from quillspark.plans.indexes import built
 from quillspark.plans.oracle import SQL
+from quillspark.plans.sample import PLAN
 from quillspark.sources import table
 
-#: A search plan as an external planner would hand it in.
-PLAN = """```json
-{"analysis": "", "search_groups": [
- {"label": "throbbing head", "required_terms": ["throbbing", "temple"], "bonus_terms": ["night", "wine"], "weight": 3.0},
- {"label": "tremor", "required_terms": ["tremble"], "bonus_terms": ["fever", "of"], "weight": 1.5},
- {"label": "nothing", "required_terms": [], "bonus_terms": ["sleep"]}],
- "suggested_remedies": ["Casnortorora", {"name": "Drowelgymopsis hexpedina", "reason": ""}], "reasoning": ""}
-```"""
-
-
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
@@ -31,48 +23,66 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return resolve.keyed(table(spark, d, "source_record"))
 
 
-def _posted(spark: SparkSession, d: str) -> DataFrame:
-    return index.postings(_documents(spark, d), "doc_id", "text")
+def _index(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of the search index over ``documents``, written once."""
+    docs = _documents(spark, d)
+
+    def build() -> DataFrame:
+        if name == "postings":
+            return index.postings(docs, "doc_id", "text", unique=True)
+        if name == "vocabulary":
+            return index.vocabulary(_index(spark, d, "postings"))
+        if name == "title_postings":
+            return index.postings(docs, "doc_id", "title", unique=True)
+        if name == "all_vocabulary":
+            return _index(spark, d, "vocabulary").select("token").union(_index(spark, d, "title_postings").select("token")).distinct()
+        return index.ranked_index(_entries(docs))
 
+    return built(spark, f"{d}/documents.parquet", name, build)
 
-def _entries(spark: SparkSession, d: str) -> DataFrame:
+
+def _entries(docs: DataFrame) -> DataFrame:
     """Documents as search entries: a text's sources are those of all its copies."""
     source = F.lower(F.trim("source"))
-    docs = _documents(spark, d).withColumn("_h", F.sha2(F.lower(F.trim(F.coalesce("text", F.lit("")))), 256))
-    count = docs.groupBy("_h").agg(F.count_distinct(source).cast("int").alias("n_sources"))
-    rows = docs.join(count, "_h").select(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("")).alias("primary"), F.lit("").alias("latin"), source.alias("category"), "n_sources", (F.length("text") >= 1000).alias("has_traditional"), F.col("url").isNotNull().alias("has_evidence"), "text")
-    return index.ranked_index(rows)
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("")).alias("primary"), F.lit("").alias("latin"), source.alias("category"), (F.length("text") >= 1000).alias("has_traditional"), F.col("url").isNotNull().alias("has_evidence"), F.sha2(F.lower(F.trim(F.coalesce("text", F.lit("")))), 256).alias("_h"))
+    count = rows.groupBy("_h").agg(F.count_distinct("category").cast("int").alias("n_sources"))
+    return rows.join(count, "_h").drop("_h")
 
 
 def _names(entries: DataFrame) -> DataFrame:
     return entries.select("idx", F.col("primary").alias("names"))
 
 
+def _searched(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"posted": _index(spark, d, "postings"), "vocab": _index(spark, d, "vocabulary")}
+
+
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    return _posted(spark, d)
+    return _index(spark, d, "postings")
 
 
 def token_df(spark: SparkSession, d: str) -> DataFrame:
-    return index.vocabulary(_posted(spark, d))
+    return _index(spark, d, "vocabulary")
 
 
 def search_and(spark: SparkSession, d: str) -> DataFrame:
-    return search.all_of(_posted(spark, d), ["throb", "temple"], "doc_id")
+    return search.all_of(terms=["throb", "temple"], key="doc_id", **_searched(spark, d))
 
 
 def search_or(spark: SparkSession, d: str) -> DataFrame:
-    return search.any_of(_posted(spark, d), ["oyster", "vinegar"], "doc_id")
+    return search.any_of(terms=["oyster", "vinegar"], key="doc_id", **_searched(spark, d))
 
 
 def search_minus(spark: SparkSession, d: str) -> DataFrame:
-    posted = _posted(spark, d)
-    return search.without(search.any_of(posted, ["oyster"], "doc_id"), search.any_of(posted, ["vinegar"], "doc_id"), "doc_id")
+    some = {t: search.any_of(terms=[t], key="doc_id", **_searched(spark, d)) for t in ("oyster", "vinegar")}
+    return search.without(some["oyster"], some["vinegar"], "doc_id")
 
 
 def _search(spark: SparkSession, d: str, query: str, **options) -> DataFrame:
-    entries = _entries(spark, d)
-    posted = index.postings(entries, "idx", index.search_text(F.col("primary"), F.col("latin"), F.col("text")))
-    return search.search(entries, posted, query, **options).select("idx", "id", "primary", "n_sources", "score", "total")
+    """Searches names and texts; a document's tokens are those of both."""
+    posted = _index(spark, d, "postings").union(_index(spark, d, "title_postings")).withColumnRenamed("doc_id", "id")
+    found = search.search(_index(spark, d, "entries"), posted, query, key="id", vocab=_index(spark, d, "all_vocabulary"), **options)
+    return found.select("idx", "id", "primary", "n_sources", "score", "total")
 
 
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -92,13 +102,12 @@ def search_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_pct(spark: SparkSession, d: str) -> DataFrame:
-    found = _search(spark, d, "On gastro")
-    top = found.agg(F.max("score").alias("top"))
-    return found.join(F.broadcast(top)).select("idx", "id", F.round(100 * F.col("score") / F.col("top")).cast("int").alias("pct"))
+    top = F.max("score").over(Window.partitionBy())  # of the at most 100 results
+    return _search(spark, d, "On gastro").select("idx", "id", F.round(100 * F.col("score") / top).cast("int").alias("pct"))
 
 
 def index_order(spark: SparkSession, d: str) -> DataFrame:
-    return _entries(spark, d).select("idx", "id", "n_sources")
+    return _index(spark, d, "entries").select("idx", "id", "n_sources")
 
 
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +122,7 @@ def phrase_in_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def first_match(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "remedy_ref").where("ref_id % 100 = 0").select(F.col("latin").alias("name"))
-    return search.first_match(asked, _names(_entries(spark, d)))
+    return search.first_match(asked, _names(_index(spark, d, "entries")))
 
 
 def kept_words(spark: SparkSession, d: str) -> DataFrame:
@@ -131,25 +140,51 @@ def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tuple(table(spark, d, t).where("case_id % 100 = 0") for t in ("symptom", "form_field"))
 
 
-def form_scores(spark: SparkSession, d: str) -> DataFrame:
+def _forms(spark: SparkSession, d: str, profile: scoring.Profile) -> DataFrame:
     symptoms, fields = _asked(spark, d)
-    return scoring.ranked_forms(symptoms, fields, _posted(spark, d), "doc_id")
+    found = scoring.ranked_forms(symptoms, fields, key="doc_id", profile=profile, **_searched(spark, d))
+    return found.withColumn("matched", F.array_join("matched", "|"))
+
+
+def form_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _forms(spark, d, scoring.SERVER)
 
 
 def form_scores_browser(spark: SparkSession, d: str) -> DataFrame:
-    symptoms, fields = _asked(spark, d)
-    return scoring.ranked_forms(symptoms, fields, _posted(spark, d), "doc_id", scoring.BROWSER)
+    return _forms(spark, d, scoring.BROWSER)
 
 
 def form_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.keywords_used(table(spark, d, "symptom"), table(spark, d, "form_field"))
+    symptoms, fields = _asked(spark, d)
+    return scoring.keywords_used(symptoms, fields, key="doc_id", **_searched(spark, d))
+
+
+def form_keywords_browser(spark: SparkSession, d: str) -> DataFrame:
+    symptoms, fields = _asked(spark, d)
+    return scoring.keywords_used(symptoms, fields, key="doc_id", profile=scoring.BROWSER, **_searched(spark, d))
+
+
+def _planned(spark: SparkSession, d: str) -> dict:
+    """Postings by index position, and names, for search plans."""
+    entries = _index(spark, d, "entries")
+    posted = _index(spark, d, "postings").join(entries.select(F.col("id").alias("doc_id"), "idx"), "doc_id").select("token", "idx")
+    return {"posted": posted, "names": _names(entries), "key": "idx", "vocab": _index(spark, d, "vocabulary")}
 
 
 def plan_scores(spark: SparkSession, d: str) -> DataFrame:
-    entries = _entries(spark, d)
-    posted = index.postings(entries, "idx", "text")
     plans = spark.createDataFrame([(1, PLAN)], "case long, plan string")
-    return scoring.ranked(scoring.plan_awards(plans, posted, _names(entries), "idx"))
+    return scoring.ranked(scoring.plan_awards(plans, **_planned(spark, d))).withColumn("matched", F.array_join("matched", "|"))
+
+
+def plan_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Of the asked cases the smallest has a plan, the others go by their forms."""
+    symptoms, fields = _asked(spark, d)
+    plans = symptoms.agg(F.min("case_id").alias("case")).where("case is not null").withColumn("plan", F.lit(PLAN))
+    return scoring.ranked_plans(plans, symptoms, fields, **_planned(spark, d)).withColumn("matched", F.array_join("matched", "|"))
+
+
+def plan_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.plan_keywords(spark.createDataFrame([(1, PLAN), (2, "no plan")], "case long, plan string"))
 
 
 def checked_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -278,7 +313,10 @@ _QUERIES = [
     form_scores,
     form_scores_browser,
     form_keywords,
+    form_keywords_browser,
     plan_scores,
+    plan_fallback,
+    plan_keywords,
     checked_classes,
     case_summaries,
     canonical_keys,

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from quillspark.functions import fixed_values as fixed
+from quillspark.operators import scoring
+from quillspark.plans.sample import PLAN
 
 _WS = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -26,6 +30,10 @@ def _squeeze(c: str) -> str:
 _POST = "post as (select distinct token, doc_id from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) token from documents))"
 
 
+_POST_K = _POST.replace("post as (", "post as (select token, doc_id k from (") + ")"
+_POST_IDX = "post as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) token, idx k from entries)"
+
+
 def _hit(term: str) -> str:
     return f"select distinct doc_id from post where contains(token, '{term}')"
 
@@ -62,6 +70,106 @@ def _distinct(value: str, source: str, out: str) -> str:
     return f"""{out} as (select "key", string_agg(v, '|' order by ats) v, list(v order by ats) l from (select "key", v, min(ats) ats from ({source}) where v is not null and v <> '' group by "key", v) group by "key")"""
 
 
+def _kept(c: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({c}), '[a-z]{{3,}}'), lambda x: not list_contains({_STOP}, x))"
+
+
+def _lists(table: dict[str, list[str]]) -> str:
+    return "map {" + ", ".join(f"{_q(k)}: {_list(v)}" for k, v in table.items()) + "}"
+
+
+def _case(p: scoring.Profile, **rules: str) -> str:
+    """Points by rule; ``{name}`` in a rule is replaced by the profile's points."""
+    class Points(dict):
+        def __missing__(self, name: str) -> str:
+            return str(p.points[name])
+
+    kept = {r: e.format_map(Points()) for r, e in rules.items() if all(n in p.points for n in _names_in(e))}
+    return "case " + " ".join(f"when rule = '{r}' then {e}" for r, e in kept.items()) + " end"
+
+
+def _names_in(text: str) -> list[str]:
+    return [x.split("}")[0] for x in text.split("{")[1:]]
+
+
+def _form(p: scoring.Profile) -> str:
+    """Tables of form scoring: plan rows ``x`` and awards ``a`` over postings ``post(token, k)``."""
+    rows = ["select c, n seq, 0 sec, 0 i, 'loc' rule, loc label, lt terms, loc || ' + ' || sens pair, len(lt) > 0 placed, len(st) > 0 felt from t where len(lt) > 0", "select c, n, 1, 0, 'sens', sens, st, loc || ' + ' || sens, len(lt) > 0, true from t where len(st) > 0"]
+    each = lambda sec, rule, label, terms, source: rows.append(f"select c, n, {sec}, i, '{rule}', {label}, {terms}, '', placed, felt from (select c, n, loc, side, unnest({source}) v, generate_subscripts({source}, 1) i, len(lt) > 0 placed, len(st) > 0 felt from t)")
+    if "side" in p.points:
+        each(2, "side", "concat_ws(' ', side, loc)", "[v]", f"case when len(lt) > 0 and side not in ('', 'N/A', 'Both sides') then {_kept('side')} else [] end")
+    if "modality_in" in p.points:
+        for k, name in ((3, "better"), (4, "worse")):
+            each(k, "modality", f"'{name}: ' || v", _kept("coalesce(v, '')"), name)
+    for k, width in enumerate(p.windows):
+        each(5 + k, "window", "v", "string_split(v, ' ')", f"list_transform(range(1, greatest(1, len(d) - {width - 2})), lambda j: array_to_string(d[j:j + {width - 1}], ' '))")
+    if "word" in p.points:
+        each(7, "word", "v", "[v]", "d")
+    kind = "case when field = 'ailments_from' then 'ailments' when field in ('thermal', 'thirst', 'build', 'appetite') then 'constitution' when field = '_checked' then 'checked' when field in ('past_medical', 'family_history', 'medications', 'additional') then 'free' else 'habit' end"
+    terms = f"case when list_contains({_list(p.looked_up)}::varchar[], field) then coalesce({_lists(p.sensation_terms)}[v], {_kept('v')}) else {_kept('v')} end"
+    points = _case(
+        p,
+        loc="case when not felt then {location_only} * got_all when has_sens then {both} else {location_rest} end",
+        sens="case when not placed then {sensation_only} * got_all when not has_loc then {sensation_rest} end",
+        side="case when has_loc then {side} end",
+        modality="case when not placed then {modality_alone} when has_loc then {modality_in} else {modality_out} end",
+        window="case when got = need then {window} end",
+        word="{word}",
+        ailments="case when got = need then case when len(terms) >= 2 then {ailments_all} else {ailments_one} end end",
+        constitution="{constitution_any} * got_all" if "constitution_any" in p.points else "case when got = need then case when len(terms) >= 2 then {constitution_all} else {constitution_one} end end",
+        habit="{habit} * got_all",
+        checked="case when got = need then case when len(terms) >= 2 then {checked_all} else {checked_one} end end",
+        free="{free}",
+    )
+    return f"""s as (select distinct on (case_id, n) case_id c, n, coalesce(trim(sx_location), '') loc, coalesce(trim(sx_sensation), '') sens, coalesce(sx_side, '') side,
+  coalesce(sx_better, []) better, coalesce(sx_worse, []) worse, {_kept("coalesce(sx_desc, '')")} d from symptom where case_id % 100 = 0),
+t as (select *, coalesce({_lists(p.location_terms)}[loc], {_kept("loc")}) lt, coalesce({_lists(p.sensation_terms)}[sens], {_kept("sens")}) st from s),
+f as (select distinct on (case_id, field, seq) case_id c, field, seq i, field_value v from form_field where case_id % 100 = 0 and field_value is not null and field_value <> ''),
+f1 as (select c, 1000000 + list_position({_list(p.fields)}, field) seq, i, {kind} rule, case when field = 'ailments_from' then 'Ailments from: ' || v else v end label, {terms} terms from f where list_contains({_list(p.fields)}, field)),
+plan as ({" union all ".join(rows)}
+  union all select c, seq, 0, i, rule, label, terms, '', false, false from f1 where rule <> 'free'
+  union all select c, seq, 0, i, rule, w, [w], '', false, false from (select c, seq, i, rule, unnest(terms) w from f1 where rule = 'free')),
+x as (select row_number() over () r, * from plan where len(terms) > 0 or seq >= 1000000),
+term as (select r, term, count(*) m from (select r, unnest(terms) term from x) group by all),
+hit as (select distinct term, k from (select distinct term from term) w join (select distinct token from post) v on contains(token, term) join post using (token)),
+g as (select r, k, count(*) got, sum(m) got_all from term join hit using (term) group by all),
+y as (select x.*, k, got, got_all, len(list_distinct(terms)) need, bool_or(rule = 'loc') over (partition by c, seq, k) has_loc, bool_or(rule = 'sens') over (partition by c, seq, k) has_sens from g join x using (r)),
+a as (select c, seq, sec, i, k, case when rule = 'loc' and felt and has_sens then pair else label end label, ({points})::decimal(18, 4) p from y where ({points}) is not null)"""
+
+
+_RANKED = """sc as (select c, k, sum(p) s from a group by all),
+rk as (select *, row_number() over (partition by c order by s desc, k) rank, max(s) over (partition by c) top from sc),
+lab as (select c, k, label, min(row(seq, sec, i)) f from a group by all),
+lq as (select *, row_number() over (partition by c, k order by f, label) q from lab),
+ml as (select c, k, string_agg(label, '|' order by q) matched from lq where q <= 20 group by all),
+ranked as (select c as "case", k as "key", rank::int as rank, round(s, 1)::double score, coalesce(round(100 * s / nullif(top, 0)), 0)::int pct, matched from rk join ml using (c, k) where rank <= {top})"""
+
+
+def _keywords(p: scoring.Profile) -> str:
+    always = "'ailments', 'constitution'" if "constitution_any" in p.points else "'ailments'"
+    return f"""with {_POST_K}, {_form(p)},
+n as (select c, case when rule in ('loc', 'sens') and placed and felt then pair else label end label from x where rule not in ('word', 'window', 'free') and (rule in ({always}) or len(terms) > 0)
+  union all select c, label from y where rule = 'window' and got = need),
+u as (select c, count(distinct label) u from n where c in (select c from a) group by c)
+select c as "case", coalesce(u, 0)::bigint keywords_used from (select case_id c from symptom union select case_id from form_field) left join u using (c) where c % 100 = 0"""
+
+
+def _plan() -> str:
+    """Awards of the sample plan over postings ``post(token, k)``."""
+    body = json.loads(PLAN.strip().removeprefix("```json").removesuffix("```"))
+    terms = lambda found: _list([t.lower() for t in found if len(t) >= 3]) + "::varchar[]"
+    groups = ", ".join(f"({k}, {_q(g['label'])}, {terms(g['required_terms'])}, {terms(g['bonus_terms'])}, {g.get('weight', 2.0)}::decimal(18, 4))" for k, g in enumerate(body["search_groups"]))
+    names = ", ".join(f"({k}, {_q(n if isinstance(n, str) else n['name'])})" for k, n in enumerate(body["suggested_remedies"]))
+    return f"""gr as (select * from (values {groups}) v(seq, label, req, bon, w) where len(req) > 0),
+hit as (select distinct term, k from (select distinct unnest(list_concat(req, bon)) term from gr) q join (select distinct token from post) v on contains(token, term) join post using (token)),
+b as (select seq, label, w, k from (select seq, label, w, list_distinct(req) l, unnest(list_distinct(req)) term from gr) join hit using (term) group by seq, label, w, l, k having count(*) = len(l)),
+nm as (select * from (values {names}) v(i, n)),
+np as (select i, n, unnest(list_concat([lower(n)], list_filter(regexp_split_to_array(lower(n), '\\s+'), lambda z: length(z) >= 4))) p from nm),
+pa as (select seq, 0 sec, 0 i, k, label, w p from b
+  union all select g.seq, 0, bi, k, '+ ' || term, (w * 0.3)::decimal(18, 4) from (select seq, w, unnest(bon) term, generate_subscripts(bon, 1) bi from gr) g join hit using (term) where exists (select 1 from b where b.k = hit.k and b.seq <= g.seq)
+  union all select 1000000, 0, i, min(idx), 'AI suggested: ' || n, 8 from np join entries on contains(lower("primary"), p) group by i, n)"""
+
+
 _MARK = r"([A-Z][A-Za-z ,]{1,30}?)\.\s*--"
 _SNIP = f"""one as (select rec_id, field, seq, min(substr({_squeeze("text")}, 1, 400)) t from entry where length(text) > 10 group by all),
 snip as (select rec_id, field, substr(string_agg(t, ' | ' order by seq), 1, 800) snippet from one group by all)"""
@@ -100,6 +208,14 @@ select nm as "name", min(idx)::int idx from parts join entries on contains(lower
     "word_windows": f"""with w as (select distinct case_id, n, {_KEPT} w from symptom), k as (select unnest([2, 3]) k),
 x as (select case_id, n, k, w, unnest(range(0, len(w) - k + 1)) pos from w, k where len(w) >= k)
 select case_id, n, k::int k, pos::int pos, array_to_string(w[pos + 1:pos + k], ' ') words from x""",
+    "form_scores": f"with {_POST_K}, {_form(scoring.SERVER)}, {_RANKED.format(top=50)} select * from ranked",
+    "form_scores_browser": f"with {_POST_K}, {_form(scoring.BROWSER)}, {_RANKED.format(top=10)} select * from ranked",
+    "form_keywords": _keywords(scoring.SERVER),
+    "form_keywords_browser": _keywords(scoring.BROWSER),
+    "plan_scores": f"with {_ENTRIES}, {_POST_IDX}, {_plan()}, a as (select 1::bigint c, * from pa), {_RANKED.format(top=50)} select * from ranked",
+    "plan_fallback": f"""with {_ENTRIES}, {_POST_IDX}, q as (select min(case_id) c from symptom where case_id % 100 = 0), fa as (with {_form(scoring.SERVER)} select * from a),
+{_plan()}, a as (select c, pa.* from pa, q where c is not null union all select * from fa where c not in (select c from q)), {_RANKED.format(top=50)} select ranked.*, case when "case" in (select c from q) then 'plan' else 'form' end "by" from ranked""",
+    "plan_keywords": "select * from (values (1::bigint, 3::bigint), (2, 0)) v(\"case\", keywords_used)",
     "checked_classes": f"""with i as (select concat(upper(field_value[1]), lower(field_value[2:])) item from form_field where field = '_checked' and field_value is not null),
 c as (select item, count(*) n, {_contains_any("lower(item)", fixed.EMOTION_PARTS, "contains")} emotion, {_contains_any("item", fixed.FEAR_STARTS, "starts_with")} fear,
 list_contains({_list(fixed.FOOD_DESIRES)}, item) desire, list_contains({_list(fixed.FOOD_AVERSIONS)}, item) and not list_contains({_list(fixed.FOOD_DESIRES)}, item) aversion from i group by item)

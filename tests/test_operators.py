@@ -96,11 +96,14 @@ def test_snippets(spark):
     assert [r.p for r in s.select(search.preview(F.col("s")).alias("p")).collect()] == ["k", "x", None]
 
 
+def kept(s):
+    return [w for w in re.findall("[a-z]{3,}", (s or "").lower()) if w not in fixed.STOP_WORDS]
+
+
 def brute_scores(symptoms, fields):
     """The rules one by one, in plain Python."""
     out = defaultdict(float)
     hit = lambda t: brute_hits(DOCS, t)
-    kept = lambda s: [w for w in re.findall("[a-z]{3,}", (s or "").lower()) if w not in fixed.STOP_WORDS]
     union = lambda ts: set().union(*map(hit, ts)) if ts else set()
     every = lambda ts: set.intersection(*map(hit, ts)) if ts else set()
 
@@ -169,19 +172,89 @@ def test_form_scores_against_brute_force(spark, posted):
     assert [r.rank for r in best] == [1, 2, 3] and best[0].pct == 100 and best[0].matched[0]
     whole = lambda df: sorted((r.case, r.key, r.rank, r.score, r.pct, tuple(r.matched)) for r in df.collect())
     assert whole(scoring.ranked_forms(s_df, f_df, posted, "doc_id")) == whole(scoring.ranked(awards, 50))
-    assert scoring.keywords_used(s_df, f_df).where("case = 1").first().keywords_used >= 10
+    used = {r.case: r.keywords_used for r in scoring.keywords_used(s_df, f_df, posted, "doc_id").collect()}
+    assert used == {1: brute_keywords(symptoms, fields), 2: 0}
     assert scoring.form_awards(s_df.limit(0), f_df.limit(0), posted, "doc_id").count() == 0
-    assert scoring.form_awards(s_df, f_df, posted, "doc_id", scoring.BROWSER).count() > 0
+    browser = scoring.form_awards(s_df, f_df, posted, "doc_id", scoring.BROWSER)
+    got = {r.key: round(float(r.p), 4) for r in browser.groupBy("key").agg(F.sum("points").alias("p")).collect()}
+    assert got == brute_browser(symptoms, fields)
+    assert whole(scoring.ranked_forms(s_df, f_df, posted, "doc_id", scoring.BROWSER)) == whole(scoring.ranked(browser, 10))
+    plans = spark.createDataFrame([(1, '{"search_groups": [{"label": "x", "required_terms": ["head"], "weight": 1}]}'), (2, "no json"), (9, None)], "case long, plan string")
+    names = spark.createDataFrame([], "idx long, names string")
+    both = scoring.ranked_plans(plans, s_df, f_df.union(spark.createDataFrame([(2, "_checked", 1, "head night")], f_df.schema)), posted, names, "doc_id")
+    assert {(r.case, r.by) for r in both.collect()} == {(1, "plan"), (2, "form")}
+    assert {r.case: r.keywords_used for r in scoring.plan_keywords(plans).collect()} == {1: 1, 2: 0, 9: 0}
+
+
+def brute_keywords(symptoms, fields):
+    """The labels that the fixture searches for, counted by hand of the rules."""
+    used = set()
+    for s in symptoms:
+        loc, sens = (s["loc"] or "").strip(), (s["sens"] or "").strip()
+        if loc and sens:
+            used.add(f"{loc} + {sens}")
+        elif loc or sens:
+            used.add(loc or sens)
+        if s["side"] not in ("N/A", "Both sides", "") and loc:
+            used.add(f"{s['side']} {loc}")
+        used |= {f"{k}: {m}" for k in ("better", "worse") for m in s[k]}
+        words = kept(s["desc"] or "")
+        for k in (3, 2):
+            for i in range(len(words) - k + 1):
+                if set.intersection(*(brute_hits(DOCS, w) for w in words[i : i + k])):
+                    used.add(" ".join(words[i : i + k]))
+    for f, v in fields:
+        if f not in scoring.FREE:
+            used.add("Ailments from: " + v if f == "ailments_from" else v)
+    return len(used)
+
+
+def brute_browser(symptoms, fields):
+    out = defaultdict(float)
+    hit = lambda t: brute_hits(DOCS, t)
+
+    def award(docs, points):
+        for d in docs:
+            out[d] += points
+
+    some = lambda terms: set().union(*map(hit, terms))
+    every = lambda terms: set.intersection(*map(hit, terms)) if terms else set()
+    for s in symptoms:
+        loc, sens = (s["loc"] or "").strip(), (s["sens"] or "").strip()
+        lt = fixed.LOCATION_TERMS[loc] if loc in fixed.BROWSER_LOCATIONS else kept(loc)
+        st = fixed.BROWSER_SENSATIONS.get(sens, kept(sens))
+        if lt and st:
+            award(some(lt) & some(st), 5)
+            award(some(lt) ^ some(st), 1)
+        else:
+            for t in lt + st:
+                award(hit(t), 2)
+        words = kept(s["desc"] or "")
+        for k in (2, 3):
+            for i in range(len(words) - k + 1):
+                award(every(words[i : i + k]), 3)
+    for f, v in fields:
+        terms = kept(v)
+        if f in ("thermal", "thirst", "appetite"):
+            for t in terms:
+                award(hit(t), 1.5)
+        elif f == "ailments_from":
+            award(every(terms), 4 if len(terms) > 1 else 3)
+        elif f == "_checked":
+            award(every(terms), 2 if len(terms) > 1 else 1.5)
+    return {d: round(p, 4) for d, p in out.items()}
 
 
 def test_plan_scores(spark, posted):
     plan = {"search_groups": [{"label": "a", "required_terms": ["Head", "throb"], "bonus_terms": ["night", "of"], "weight": 3}, {"label": "b", "required_terms": [], "bonus_terms": ["wine", "burn"]}, {"label": "c", "required_terms": ["burn"], "bonus_terms": []}], "suggested_remedies": ["lamium", {"name": "nowhere at all"}]}
     plans = spark.createDataFrame([(1, f"```json\n{json.dumps(plan)}\n```"), (2, "no json"), (3, None)], "case long, plan string")
     names = spark.createDataFrame([(2, "Lamium album"), (5, "Lamium purpureum")], "idx long, names string")
-    got = {r.key: float(r.p) for r in scoring.plan_awards(plans, posted, names, "doc_id").groupBy("key").agg(F.sum("points").alias("p")).collect()}
+    awards = scoring.plan_awards(plans, posted, names, "doc_id")
+    assert {r.label for r in awards.collect()} == {"a", "+ night", "c", "AI suggested: lamium"}
+    got = {r.key: float(r.p) for r in awards.groupBy("key").agg(F.sum("points").alias("p")).collect()}
     want = defaultdict(float)
     for d in brute_hits(DOCS, "head") & brute_hits(DOCS, "throb"):
-        want[d] += 3 + 0.9 * (d in brute_hits(DOCS, "night")) + 0.6 * (d in brute_hits(DOCS, "wine")) + 0.6 * (d in brute_hits(DOCS, "burn"))
+        want[d] += 3 + 0.9 * (d in brute_hits(DOCS, "night"))  # a group without required terms gives no bonus
     for d in brute_hits(DOCS, "burn"):
         want[d] += 2
     want[2] += 8
