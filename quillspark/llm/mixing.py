@@ -3,13 +3,14 @@
 Weighted fair queueing: the documents of each source are shuffled by hash, as
 often as the source may be repeated, pass after pass.  A draw's virtual finish
 time is the running sum of its source's tokens over the source's weight; the
-draws in order of finish time, up to the budget, keep every source at its
-share for as long as it lasts.  A source that runs out falls short, and the
+draws, range-sorted by finish time and cut at the budget, keep every source at
+its share for as long as it lasts.  A source that runs out falls short, and the
 others share what it leaves in proportion to their weights.
 
-No source is one task's work: running sums are taken in hash buckets, whose
-totals are added up first.  The cut at the budget is found by histograms of
-finish time, refined until few draws are left to order one by one.
+The virtual time at which the budget is spent follows from the sources' totals
+alone, so only the passes that begin before it are drawn.  No source is one
+task's work: running sums are taken in hash buckets, and over the parts of the
+range sort, whose totals are added up first.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from quillspark.llm.token_counts import VOCABULARY, count_tokens
 from quillspark.plans.scratch import materialize
 
 BUCKET_ROWS = 20_000
-STEPS = 1024
+#: Sources with a target: so many rows are broadcast and held by the driver.
+MOST_TARGETS = 10_000
 #: The budget, if none is given, as a share of the tokens of all mixed sources.
 BUDGET_SHARE = 0.5
 
@@ -32,47 +34,53 @@ def _source(name: str) -> Column:
     return F.lower(F.regexp_replace(F.col(name), r"(?U)^\s+|\s+$", ""))
 
 
-def draws(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """``source, use, doc_id, tokens, finish`` of every draw that may be made."""
-    weights = targets.where("target_share > 0 and max_repeat > 0").select(_source("source").alias("source"), "target_share", "max_repeat")
-    mixed = sizes.join(F.broadcast(weights), "source")  # one row a source: as large as the target table
+def _weights(targets: DataFrame) -> list[tuple[str, float, int]]:
+    rows = targets.where("source is not null and target_share > 0 and max_repeat > 0").select(_source("source").alias("source"), "target_share", "max_repeat").limit(MOST_TARGETS + 1).collect()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    return [tuple(r) for r in rows]
+
+
+def end_time(totals: dict[str, int], weights: list[tuple[str, float, int]], budget: int) -> float:
+    """The virtual time at which the budget is spent: each source gives its weight times the time, as long as it lasts."""
+    lasting = sorted((most * totals[s] / share, share, most * totals[s]) for s, share, most in weights if totals.get(s))
+    spent, rate = 0, sum(share for _, share, _ in lasting)
+    for end, share, tokens in lasting:
+        if spent + rate * end >= budget:
+            return (budget - spent) / rate
+        spent, rate = spent + tokens, rate - share
+    return math.inf
+
+
+def draws(sizes: DataFrame, targets: DataFrame, seed: int = 7, budget: int | None = None) -> DataFrame:
+    """``source, use, doc_id, tokens, finish`` of every draw that may be made; with a ``budget``, without the passes that begin after it is spent."""
+    spark = sizes.sparkSession
+    weights = _weights(targets)
+    totals = {r.source: r.t for r in sizes.groupBy("source").agg(F.sum("tokens").alias("t")).join(F.broadcast(spark.createDataFrame(weights, "source string, target_share double, max_repeat int")), "source", "left_semi").collect()} if weights else {}
+    until = math.inf if budget is None else end_time(totals, weights, budget)
+    rows = [(s, share, most if math.isinf(until) else min(most, math.floor(until * share / totals[s]) + 1)) for s, share, most in weights if totals.get(s)]
+    mixed = sizes.join(F.broadcast(spark.createDataFrame(rows, "source string, target_share double, passes int")), "source")
     buckets = max(8, math.ceil(sizes.count() / BUCKET_ROWS))
-    each = mixed.withColumn("use", F.explode(F.sequence(F.lit(0), F.col("max_repeat") - 1))).withColumn("place", F.xxhash64("doc_id", "use", F.lit(seed)))
+    each = mixed.withColumn("use", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).withColumn("place", F.xxhash64("doc_id", "use", F.lit(seed)))
     each = each.withColumn("bucket", F.pmod("place", F.lit(buckets)))
-    totals = each.groupBy("source", "use", "bucket").agg(F.sum("tokens").alias("t"))
+    totals_of = each.groupBy("source", "use", "bucket").agg(F.sum("tokens").alias("t"))
     before = Window.partitionBy("source").orderBy("use", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = totals.withColumn("offset", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
+    offset = totals_of.withColumn("offset", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
     inner = Window.partitionBy("source", "use", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     summed = each.join(offset, ["source", "use", "bucket"]).withColumn("finish", (F.col("offset") + F.sum("tokens").over(inner)) / F.col("target_share"))
     return summed.select("source", "use", "doc_id", "tokens", "finish")
 
 
 def _cut(all_draws: DataFrame, budget: int) -> DataFrame:
-    """The draws of lowest finish time whose tokens stay within the budget."""
-    low, high, spent = 0.0, all_draws.agg(F.max("finish")).first()[0] or 0.0, 0
-    for _ in range(12):
-        width = (high - low) / STEPS
-        if width <= 0:
-            break
-        inside = all_draws.where((F.col("finish") > low) & (F.col("finish") <= high))
-        step = F.least(F.floor((F.col("finish") - low) / width), F.lit(STEPS - 1)).alias("step")
-        rows = sorted(inside.groupBy(step).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k"), F.max("finish").alias("top")).collect())
-        crossed = None
-        for r in rows:
-            if spent + r.t > budget:
-                crossed = r
-                break
-            spent += r.t
-            low = r.top
-        if crossed is None:
-            return all_draws.where(F.col("finish") <= low)
-        high = crossed.top
-        if crossed.k <= BUCKET_ROWS:
-            break
-    edge = all_draws.where((F.col("finish") > low) & (F.col("finish") <= high))
-    order = Window.orderBy("finish", "source", "use", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    kept = edge.withColumn("_sum", F.sum("tokens").over(order)).where(F.col("_sum") <= budget - spent).drop("_sum")
-    return all_draws.where(F.col("finish") <= low).unionByName(kept)
+    """The draws of lowest finish time whose tokens stay within the budget: a range sort, with the sums of the parts before."""
+    order = ["finish", "source", "use", "doc_id"]
+    part = materialize(all_draws.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = part.groupBy("_part").agg(F.sum("tokens").alias("_t"))  # one row a part
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before")).where(F.col("_before") <= budget)
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = part.join(F.broadcast(before), "_part").withColumn("_sum", F.col("_before") + F.sum("tokens").over(inside))
+    return summed.where(F.col("_sum") <= budget).select("source", "use", "doc_id", "tokens", "finish")
 
 
 def mix(df: DataFrame, targets: DataFrame, budget: int | None = None, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -84,18 +92,40 @@ def mix(df: DataFrame, targets: DataFrame, budget: int | None = None, key: str =
     source, use and key.
     """
     keep = [F.col(key).cast("long").alias("doc_id"), _source("source").alias("source")]
-    wanted = targets.select(_source("source").alias("source")).distinct()
+    wanted = df.sparkSession.createDataFrame([(s,) for s, *_ in _weights(targets)], "source string").distinct()
     sizes = materialize(count_tokens(df.withColumn("source", _source("source")).join(F.broadcast(wanted), "source", "left_semi"), text, keep, path), "sizes")
-    every = materialize(draws(sizes, targets), "draws")
     if budget is None:
         budget = int((sizes.agg(F.sum("tokens")).first()[0] or 0) * BUDGET_SHARE)
-    return _cut(every, budget).orderBy("finish", "source", "use", "doc_id")
+    return _cut(draws(sizes, targets, budget=budget), budget).orderBy("finish", "source", "use", "doc_id")
 
 
-def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, target_share, documents, draws, tokens, share, most_uses`` of each source with a target."""
+def shares(drawn: DataFrame, targets: DataFrame, df: DataFrame, text: str = "text") -> DataFrame:
+    """``source, target_share, documents, draws, tokens, share, most_uses, state`` of each source with a target.
+
+    ``state`` tells why a share is what it is: ``lasted`` to the end of the
+    budget, ``used up`` (every document of ``df`` as often as allowed), or ``absent``.
+    """
+    there = df.where(F.length(text) > 0).groupBy(_source("source").alias("source")).agg(F.count(F.lit(1)).alias("_there"))
     by = drawn.groupBy("source").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("draws"), F.sum("tokens").alias("tokens"), (F.max("use") + 1).alias("most_uses"))
-    total = by.agg(F.sum("tokens").alias("_all"))
-    full = targets.select(_source("source").alias("source"), "target_share").join(by, "source", "left").join(F.broadcast(total))
+    everything = Window.partitionBy()  # over one row a source
+    full = targets.select(_source("source").alias("source"), "target_share", "max_repeat").join(by, "source", "left").join(there, "source", "left").withColumn("_all", F.sum("tokens").over(everything))
     zero = F.lit(0).cast("long")
-    return full.select("source", "target_share", F.coalesce("documents", zero).alias("documents"), F.coalesce("draws", zero).alias("draws"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("share"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    state = F.when(F.col("draws").isNull(), "absent").when(F.col("draws") == F.col("_there") * F.col("max_repeat"), "used up").otherwise("lasted")
+    return full.select("source", "target_share", F.coalesce("documents", zero).alias("documents"), F.coalesce("draws", zero).alias("draws"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("share"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), state.alias("state"))
+
+
+def check(drawn: DataFrame, targets: DataFrame, df: DataFrame, text: str = "text") -> DataFrame:
+    """``source, target_share, repeated, too_often, off_share`` of each source with a target.
+
+    Draws that come twice, documents drawn more often than allowed, and whether
+    a source that lasted is off its share among those that lasted by over one
+    percent: 0 in a right mixture.
+    """
+    twice = drawn.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("use").alias("uses"))
+    by = twice.groupBy("source").agg(F.sum(F.col("n") - F.col("uses")).alias("repeated"), F.max("n").alias("most"))
+    s = shares(drawn, targets, df, text).withColumn("_lasting", F.col("state") == "lasted")
+    among = Window.partitionBy("_lasting")
+    right = F.col("target_share") / F.sum("target_share").over(among)
+    off = F.col("_lasting") & (F.abs(F.col("tokens") / F.sum("tokens").over(among) - right) > 0.01)
+    full = s.withColumn("off", off).join(by, "source", "left").join(targets.select(_source("source").alias("source"), "max_repeat"), "source")
+    return full.select("source", "target_share", F.coalesce("repeated", F.lit(0)).cast("int").alias("repeated"), F.coalesce(F.greatest(F.lit(0), F.col("most") - F.col("max_repeat")), F.lit(0)).cast("int").alias("too_often"), F.coalesce("off", F.lit(False)).cast("int").alias("off_share"))

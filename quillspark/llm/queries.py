@@ -53,12 +53,20 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return bin_packing.fill(p6_pack(spark, d), table(spark, d, "pack_bin"))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    return bin_packing.check(p6_pack(spark, d), table(spark, d, "pack_bin"))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(p7_mix(spark, d), table(spark, d, "mix_target"))
+    return mixing.shares(p7_mix(spark, d), table(spark, d, "mix_target"), table(spark, d, "documents"))
+
+
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.check(p7_mix(spark, d), table(spark, d, "mix_target"), table(spark, d, "documents"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +78,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p2_restored, p3_found, p3_fused, p4_found, p4_groups, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_shares]
+    found = [p1_found, p2_found, p2_restored, p3_found, p3_fused, p4_found, p4_groups, p6_pack, p6_fill, p6_check, p7_mix, p7_shares, p7_check, p8_found, p8_shares]
     return {f.__name__: f for f in found}
 
 

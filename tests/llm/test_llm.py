@@ -324,16 +324,63 @@ def test_near_duplicate_words():
     assert set(near_duplicates.WORD.findall("a_b ¾c x² é1 Γ-д")) == {"a", "b", "c", "x", "é1", "Γ", "д"}
 
 
+def first_fit(tokens, loss, most):
+    """First-fit decreasing under the same limits, for comparison."""
+    boxes = []
+    for k in np.argsort(-tokens, kind="stable"):
+        item = np.array([tokens[k], 1, loss[k]])
+        for used in boxes:
+            if (used + item <= most).all():
+                used += item
+                break
+        else:
+            boxes.append(item)
+    return len(boxes)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_pack(seed):
     rng = np.random.default_rng(seed)
     t = np.minimum(512, rng.gamma(2, 90, 700).astype(int) + 1)
-    q = (t * rng.random(700)).astype(int)
-    bins, slots = bin_packing.pack(t, q, 512)
+    q = (t * np.where(rng.random(700) < 0.5, 1, rng.random(700))).astype(int)
     most = bin_packing.limits(512)
-    assert (np.bincount(bins, t) <= most[0]).all() and (np.bincount(bins) <= most[1]).all() and (np.bincount(bins, q) <= most[2]).all()
+    bins, slots = bin_packing.pack(t, q, most)
+    loss, count = np.bincount(bins, q), np.bincount(bins)
+    assert (np.bincount(bins, t) <= most[0]).all() and (count <= most[1]).all() and ((loss <= most[2]) | (count == 1)).all()
     assert len({(b, s) for b, s in zip(bins, slots)}) == 700
-    assert bins.max() + 1 <= np.ceil(t.sum() / 512) * 1.03 + 1
+    assert (loss >= 0.995 * most[2]).mean() > 0.05  # not only the tokens bind
+    assert bins.max() + 1 <= first_fit(t, q, most) * 1.01 + 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pack_against_brute_force(seed):
+    """At most one container more than the best of all packings, under limits that all bind."""
+    rng = np.random.default_rng(seed)
+    t = rng.integers(5, 60, 8)
+    q = (t * rng.random(8)).astype(int)
+    most = (100, 3, 45)
+    q = np.minimum(q, most[2])
+
+    def best(k, boxes):
+        if k == len(t):
+            return len(boxes)
+        item = (t[k], 1, q[k])
+        options = [best(k + 1, [*boxes, item])] if len(boxes) < 8 else []
+        for i, b in enumerate(boxes):
+            more = tuple(x + y for x, y in zip(b, item))
+            if all(x <= y for x, y in zip(more, most)):
+                options.append(best(k + 1, [*boxes[:i], more, *boxes[i + 1 :]]))
+        return min(options)
+
+    bins, _ = bin_packing.pack(t, q, most)
+    assert (np.bincount(bins, t) <= 100).all() and (np.bincount(bins) <= 3).all() and (np.bincount(bins, q) <= 45).all()
+    assert bins.max() + 1 <= best(0, []) + 1
+
+
+def test_kinds_of_container_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(bin_packing, "MOST_KINDS", 2)
+    with pytest.raises(ValueError):
+        bin_packing._capacities(spark.createDataFrame([(str(i), 9) for i in range(3)], "bin_kind string, capacity_tokens int"))
 
 
 needs_vocabulary = pytest.mark.skipif(not Path(token_counts.VOCABULARY).exists(), reason="no vocabulary")
@@ -358,6 +405,10 @@ def test_containers(spark):
     prompt = out[(out.doc_id == 8) & (out.bin_kind == "m")].iloc[0]
     assert 0 < prompt.loss_tokens < prompt.tokens
     assert set(out.bin_kind) == {"s", "m"}
+    packed = bin_packing.containers(df.dropDuplicates(["doc_id"]), bins)
+    checked = bin_packing.check(packed, bins).toPandas()
+    assert set(checked.documents) == {9} and (checked[["over_tokens", "over_segments", "over_loss", "torn", "cut"]] == 0).all().all()
+    assert (bin_packing.fill(packed, bins).toPandas().full_tokens >= 1).all()
     assert bin_packing.containers(df.limit(0), bins).count() == 0 and bin_packing.containers(df, bins.limit(0)).count() == 0
 
 
@@ -372,7 +423,7 @@ def test_mix(spark):
     assert out[out.source == "small"].use.max() <= 2 and (out[out.source == "big"].use == 0).all()
     again = mixing.mix(df, targets, budget=2500).toPandas()
     assert again.equals(out)
-    s = {r.source: r for r in mixing.shares(mixing.mix(df, targets, budget=1000), targets).collect()}
+    s = {r.source: r for r in mixing.shares(mixing.mix(df, targets, budget=1000), targets, df).collect()}
     assert abs(s["big"].share / s["mid"].share - 5 / 3) < 0.15 and s["gone"].tokens == 0 and abs(sum(r.share for r in s.values()) - 1) < 1e-9
     # brute force: each source's documents in turn, cut at the budget
     every = mixing.draws(token_counts.count_tokens(df, keep=[F.col("doc_id"), F.lower(F.trim("source")).alias("source")]), targets).toPandas()
@@ -383,9 +434,20 @@ def test_mix(spark):
         weight = {"big": 0.5, "mid": 0.3, "small": 0.1}[name]
         ranked = group.sort_values("finish")
         assert np.allclose(ranked.tokens.cumsum() / weight, ranked.finish) and ranked.use.is_monotonic_increasing
+    assert {n: r.state for n, r in s.items()} == {"big": "lasted", "mid": "lasted", "small": "used up" if s["small"].draws == 15 else "lasted", "gone": "absent"}
+    checked = mixing.check(mixing.mix(df, targets, budget=2500), targets, df).toPandas()
+    assert (checked[["repeated", "too_often", "off_share"]] == 0).all().all()
     assert mixing.mix(df.limit(0), targets).count() == 0
 
 
+def test_mix_end_time():
+    weights = [("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.1, 1), ("gone", 0.2, 3)]
+    totals = {"a": 100, "b": 400, "c": 1}
+    assert mixing.end_time(totals, weights, 5) == pytest.approx(5 / 1.0)
+    assert mixing.end_time(totals, weights, 451) == pytest.approx(350 / 0.4)  # a and c are used up
+    assert mixing.end_time(totals, weights, 5_000) == float("inf")
+
+
 PROSE = "The discharge is slimy and bloody, with hoarseness in the forenoon. Limbs tremble every third day; the knees seem weak after wine. Old ulcers about the ears reopen, with milky edges and a boring base. What she called the dreamy state is joined to fainting at night. "
 TERMS = ["cheap", "discount", "near me", "best price", "for sale", "free shipping", "order now"]
 
