@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from quillspark.functions.field_maps import EVIDENCE_CUES
+
 
 def squeeze(c: Column) -> Column:
     """White space (no-break spaces too) to single blanks, none at the ends."""
@@ -183,7 +185,7 @@ def modalities(c: Column) -> Column:
     """``array<struct<side, text>>`` of what follows each "better" and "worse"."""
     cut = r"(?is)\b(better|worse)\b(.*?)(?=\b(?:better|worse)\b|\z)"
     sides, texts = F.regexp_extract_all(c, F.lit(cut), F.lit(1)), F.regexp_extract_all(c, F.lit(cut), F.lit(2))
-    trim = lambda x: F.regexp_replace(x, r"(?U)^[\s,.;:]+|[\s,.;:]+$", "")
+    trim = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), r"^[ .,;:\-]+|[ .,;:\-]+$", "")
     return F.filter(F.transform(F.arrays_zip(sides.alias("s"), texts.alias("t")), lambda x: F.struct(F.lower(x["s"]).alias("side"), trim(x["t"]).alias("text"))), lambda x: x["text"] != "")
 
 
@@ -203,17 +205,11 @@ def relations(c: Column) -> Column:
 
 
 def evidence_rating(c: Column) -> Column:
-    """The strength that the wording of findings claims; the first cue that fits decides."""
-    f = F.lower(c)
-    no = f.rlike(r"\bno (good|reliable|conclusive|convincing) evidence\b") | f.rlike(r"hasn'?t been (shown|found) to (work|help|be effective)") | f.rlike(r"isn'?t effective")
-    return (
-        F.when(no, "no_evidence")
-        .when(f.rlike(r"\binsufficient evidence\b|\btoo few studies\b|\bnot enough (research|studies)\b"), "insufficient_data")
-        .when(f.rlike(r"\bmay (help|reduce|improve|be helpful)\b|some studies suggest|preliminary evidence"), "weak_support")
-        .when(f.rlike("effective for|moderate evidence|consistently show"), "moderate_support")
-        .when(f.rlike("strong evidence|well established|proven"), "strong_support")
-        .otherwise("insufficient_data")
-    )
+    """The strength that the wording of findings claims; the first cue that fits decides, none and null are too few data."""
+    out = None
+    for rating, cue in EVIDENCE_CUES:
+        out = F.when(F.lower(c).rlike(cue), rating) if out is None else out.when(F.lower(c).rlike(cue), rating)
+    return out.otherwise("insufficient_data")
 
 
 def routed(head: Column, routes: list[tuple[str, str]], default: str) -> Column:

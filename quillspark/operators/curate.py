@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.plans.ranks import numbered
+
 PREFIX = 200
 
 
@@ -32,6 +34,44 @@ def appended(target: Column | str, addition: Column | str):
     return F.when((F.length(a) > 20) & ~F.contains(F.substring(t, 1, 500), F.substring(a, 1, 100)), F.concat(t, F.lit("\n\n"), a)).otherwise(t)
 
 
+def item_text(v: Column) -> Column:
+    """The text of a JSON item: a string itself, or the ``text`` of an object; null for others."""
+    whole = F.get_json_object(F.concat(F.lit('{"x":'), v, F.lit("}")), "$.x")
+    return F.when(v.startswith('"'), whole).when(v.startswith("{"), F.get_json_object(v, "$.text"))
+
+
+def deep_merged(target: DataFrame, donor: DataFrame) -> DataFrame:
+    """``key, field, kind, subfield, subkind, n, v``: the blocks of ``donor`` merged into those of ``target``.
+
+    Both are rows of ``resolve.block_entries`` of one record a key.  A field or
+    subfield that the target lacks comes over whole; to a list are added the
+    items whose first 200 characters it doesn't hold (as it was: repeats inside
+    the donor stay; items without a text go); a string is strung to another if
+    it is longer than 20 characters and its first 100 aren't in the first 500;
+    where kinds differ, or a value is neither, the target stays.
+    """
+    path = ["key", "field", "subfield"]
+    same = lambda a, b: F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in path))
+    cols = [*path[:2], "kind", "subfield", "subkind"]
+    leaf = F.when(F.col("kind") == "dict", F.col("subkind")).otherwise(F.col("kind"))
+    t = target.select(*cols, "pos", "v", leaf.alias("leaf"), item_text(F.col("v")).alias("text"))
+    d = donor.select(*cols, "pos", "v", leaf.alias("leaf"), item_text(F.col("v")).alias("text"))
+    fields = t.groupBy("key", "field").agg(F.first("kind").alias("_kind"))
+    paths = t.groupBy(*path).agg(F.first("leaf").alias("_leaf"), F.max("pos").alias("_last"))
+    seen = d.join(fields, ["key", "field"], "left").alias("d").join(paths.alias("p"), same("d", "p"), "left").select("d.*", "p._leaf", "p._last")
+    fits = seen.where(F.col("_kind").isNull() | (F.col("_kind") == F.col("kind")))
+    new = fits.where("_leaf is null")
+    held = t.where("leaf = 'list' and text is not null").select(*path, F.substring("text", 1, PREFIX).alias("_p")).distinct()
+    items = fits.where("_leaf = 'list' and leaf = 'list' and text is not null").withColumn("_p", F.substring("text", 1, PREFIX))
+    added = items.alias("i").join(held.alias("h"), same("i", "h") & F.expr("i._p = h._p"), "left_anti").withColumn("pos", F.col("pos") + F.col("_last") + 1)
+    strings = fits.where("_leaf = 'scalar' and leaf = 'scalar' and v like '\"%'").select(*path, F.col("text").alias("_more"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    kept = t.alias("t").join(strings.alias("s"), same("t", "s"), "left").select("t.*", "s._more")
+    grown = F.when((F.col("leaf") == "scalar") & F.col("text").isNotNull() & F.col("_more").isNotNull() & (appended("text", "_more") != F.col("text")), quoted(appended("text", "_more"))).otherwise(F.col("v"))
+    every = kept.withColumn("v", grown).select(*cols, "pos", "v").union(new.select(*cols, "pos", "v")).union(added.select(*cols, "pos", "v"))
+    return numbered(every, path, [F.asc("pos"), F.asc("v")], "n").select(*cols, "n", "v")
+
+
 def merge_donors(names: DataFrame, donors: DataFrame) -> DataFrame:
     """``names`` with donors merged into their canonical record and taken out.
 

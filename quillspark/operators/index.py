@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import squeeze, words
+from quillspark.operators.curate import item_text
+from quillspark.operators.resolve import block_entries
 from quillspark.plans.ranks import numbered
 
 SNIPPET, JOINED = 400, 800
@@ -49,3 +51,36 @@ def snippets(entries: DataFrame, key: str, field: str = "field", text: str = "te
 def search_text(*parts: Column) -> Column:
     """What is searched of an entry: its names and snippets, lower case, blank-joined."""
     return F.lower(F.concat_ws(" ", *parts))
+
+
+def block_snippets(entries: DataFrame, prefix: str = "") -> DataFrame:
+    """``key, field, snippet`` of ``resolve.block_entries``: strings of over 10 characters cut to 400, list items cut to 400 and strung together by ' | ', cut to 800.
+
+    Of a list count texts of objects, and strings of over 5 characters.  Keys
+    of a dict are named ``field.subfield``; ``prefix`` goes before all names.
+    """
+    text = item_text(F.col("v"))
+    rows = entries.withColumn("leaf", F.when(F.col("kind") == "dict", F.col("subkind")).otherwise(F.col("kind"))).withColumn("text", text)
+    good = ((F.col("leaf") == "scalar") & F.col("v").startswith('"') & (F.length("text") > 10)) | ((F.col("leaf") == "list") & F.when(F.col("v").startswith('"'), F.length("text") > 5).otherwise(F.length("text") > 0))
+    name = F.concat(F.lit(prefix), F.concat_ws(".", "field", "subfield"))
+    item = F.substring(F.regexp_replace(F.col("text"), r"(?U)\s+", " "), 1, SNIPPET)
+    kept = rows.where(good).select("key", name.alias("field"), "leaf", "pos", item.alias("_t"))
+    top = kept.withColumn("_n", F.row_number().over(Window.partitionBy("key", "field").orderBy("pos"))).where(F.col("_n") <= JOINED)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_t"))), lambda x: x["_t"]), " | ")
+    return top.groupBy("key", "field").agg(F.substring(joined, 1, JOINED).alias("snippet"))
+
+
+def search_entries(entities: DataFrame, key: str = "id") -> DataFrame:
+    """Search entries of merged entities: names, counts and flags, and ``snippets`` by field, those of evidence as ``ev.``.
+
+    ``entities`` has ``names, category, provenance`` and the open blocks
+    ``traditional`` and ``evidence`` as JSON text, one row a ``key``.
+    """
+    keyed = entities.withColumn("key", F.col(key).cast("string"))
+    place = F.lit(0).alias("_one")
+    blocks = [block_snippets(block_entries(keyed.select("key", b, place), b, ("_one",)), p) for b, p in (("traditional", ""), ("evidence", "ev."))]
+    found = blocks[0].unionByName(blocks[1]).groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "snippet")))).alias("snippets"))
+    none = F.array().cast("array<string>")
+    some = lambda b: F.coalesce(F.regexp_replace(b, r"\s", "").rlike(r"^\{."), F.lit(False)) & ~F.coalesce(F.regexp_replace(b, r"\s", ""), F.lit("{}")).isin("{}")
+    names = keyed.select(key, "key", F.coalesce("names.primary", F.lit("")).alias("primary"), F.coalesce("names.latin", F.lit("")).alias("latin"), F.coalesce("names.common", none).alias("common"), F.coalesce("names.synonyms", none).alias("synonyms"), F.coalesce("category", F.lit("")).alias("category"), F.coalesce("provenance.sources", none).alias("sources"), some(F.col("traditional")).alias("has_traditional"), some(F.col("evidence")).alias("has_evidence"))
+    return names.withColumn("n_sources", F.size("sources")).join(found, "key", "left").withColumn("snippets", F.coalesce("snippets", F.create_map().cast("map<string,string>"))).drop(*({"key"} - {key}))

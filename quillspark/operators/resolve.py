@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def merged_names(records: DataFrame, order: tuple[str, ...] = ("source_file", "o
     names = _first_seen(rows.select("key", *keep, F.col("names.primary").alias("v")), "key", "v", list(order), "names")
     none = F.array().cast("array<string>")
     full = base.join(common, "key", "left").join(sources, "key", "left").join(names, "key", "left")
-    return full.select("key", F.coalesce("primary", F.lit("")).alias("primary"), F.coalesce("latin", F.lit("")).alias("latin"), F.coalesce("common", none).alias("common"), F.coalesce(F.slice("names", 2, 1_000_000), none).alias("synonyms"), "category", F.coalesce("sources", none).alias("sources"), "n_records")
+    return full.select("key", F.coalesce("primary", F.lit("")).alias("primary"), F.coalesce("latin", F.lit("")).alias("latin"), F.coalesce("common", none).alias("common"), F.coalesce(F.slice("names", 2, F.greatest(F.size("names"), F.lit(1))), none).alias("synonyms"), "category", F.coalesce("sources", none).alias("sources"), "n_records")
 
 
 def block_entries(records: DataFrame, block: str = "traditional", order: tuple[str, ...] = ("source_file", "ord")) -> DataFrame:
@@ -97,17 +99,23 @@ def block_entries(records: DataFrame, block: str = "traditional", order: tuple[s
 
 
 def _variant_rows(top: DataFrame, block: str) -> DataFrame:
-    top.createOrReplaceTempView("_quillspark_block")
     spark = top.sparkSession
+    name = f"_quillspark_{uuid.uuid4().hex}"  # of this call alone: another may run beside it
     kind = lambda v: f"case when schema_of_variant({v}) like 'ARRAY%' then 'list' when schema_of_variant({v}) like 'OBJECT%' then 'dict' else 'scalar' end"
-    level = spark.sql(f"select b.key, b._at, f.key as field, {kind('f.value')} as kind, f.value as v from _quillspark_block b, lateral variant_explode(b.{block}) f")
-    level.createOrReplaceTempView("_quillspark_fields")
-    none = "cast(null as string) subfield, cast(null as string) subkind"
-    lists = spark.sql(f"select t.key, t._at, t.field, t.kind, {none}, e.pos, to_json(e.value) v from _quillspark_fields t, lateral variant_explode(t.v) e where t.kind = 'list'")
-    scalars = spark.sql(f"select key, _at, field, kind, {none}, 0 pos, to_json(v) v from _quillspark_fields where kind = 'scalar'")
-    spark.sql(f"select t.key, t._at, t.field, t.kind, s.key subfield, {kind('s.value')} subkind, s.value v from _quillspark_fields t, lateral variant_explode(t.v) s where t.kind = 'dict'").createOrReplaceTempView("_quillspark_subs")
-    under = spark.sql("select t.key, t._at, t.field, t.kind, t.subfield, t.subkind, e.pos, to_json(e.value) v from _quillspark_subs t, lateral variant_explode(t.v) e where t.subkind = 'list' union all select key, _at, field, kind, subfield, subkind, 0 pos, to_json(v) v from _quillspark_subs where subkind <> 'list'")
-    return lists.unionByName(scalars).unionByName(under)
+    try:
+        top.createOrReplaceTempView(f"{name}_block")
+        level = spark.sql(f"select b.key, b._at, f.key as field, {kind('f.value')} as kind, f.value as v from {name}_block b, lateral variant_explode(b.{block}) f")
+        level.createOrReplaceTempView(f"{name}_fields")
+        none = "cast(null as string) subfield, cast(null as string) subkind"
+        lists = spark.sql(f"select t.key, t._at, t.field, t.kind, {none}, e.pos, to_json(e.value) v from {name}_fields t, lateral variant_explode(t.v) e where t.kind = 'list'")
+        scalars = spark.sql(f"select key, _at, field, kind, {none}, 0 pos, to_json(v) v from {name}_fields where kind = 'scalar'")
+        subs = spark.sql(f"select t.key, t._at, t.field, t.kind, s.key subfield, {kind('s.value')} subkind, s.value v from {name}_fields t, lateral variant_explode(t.v) s where t.kind = 'dict'")
+        subs.createOrReplaceTempView(f"{name}_subs")
+        under = spark.sql(f"select t.key, t._at, t.field, t.kind, t.subfield, t.subkind, e.pos, to_json(e.value) v from {name}_subs t, lateral variant_explode(t.v) e where t.subkind = 'list' union all select key, _at, field, kind, subfield, subkind, 0 pos, to_json(v) v from {name}_subs where subkind <> 'list'")
+        return lists.unionByName(scalars).unionByName(under)
+    finally:
+        for view in ("block", "fields", "subs"):
+            spark.catalog.dropTempView(f"{name}_{view}")
 
 
 def merged_block(entries: DataFrame) -> DataFrame:
@@ -130,3 +138,15 @@ def merged_block(entries: DataFrame) -> DataFrame:
 def corpus_counts(records: DataFrame) -> DataFrame:
     """``source_file, n_records, n_keys, n_skipped``, and a total row with null file."""
     return records.rollup("source_file").agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct(F.when(F.col("key") != "", F.col("key"))).alias("n_keys"), F.count_if(F.col("key") == "").alias("n_skipped"))
+
+
+def summary_counts(records: DataFrame, merged: DataFrame) -> DataFrame:
+    """One row ``total_records, skipped, entities, multi_source``: the totals of a summary index, with the entities of two or more sources."""
+    whole = records.agg(F.count(F.lit(1)).alias("total_records"), F.count_if(F.col("key") == "").alias("skipped"))
+    found = merged.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.size("sources") >= 2).alias("multi_source"))
+    return whole.crossJoin(found)  # one row each
+
+
+def summary_entries(merged: DataFrame) -> DataFrame:
+    """The entities of a summary index: ``id, primary, latin, synonyms, category, n_sources, sources``."""
+    return merged.select(F.col("key").alias("id"), "primary", "latin", "synonyms", "category", F.size("sources").alias("n_sources"), "sources")

@@ -395,11 +395,56 @@ def checked_classes(c: Column) -> Column:
     return F.struct(emotion.alias("emotion"), fear.alias("fear"), desire.alias("desire"), aversion.alias("aversion"), (~(emotion | fear | desire | aversion)).alias("system"))
 
 
+def first_class(c: Column) -> Column:
+    """The browser's class of a checked item, the first that fits: emotion, desire or system."""
+    low, emotion = F.lower(c), F.lit(False)
+    for part in fixed.EMOTION_PARTS:
+        emotion = emotion | low.contains(part)
+    return F.when(emotion, "emotion").when(c.isin(fixed.FOOD_DESIRES), "desire").otherwise("system")
+
+
+#: Labels of the fields of a case summary, in order.
+SUMMARY_LABELS = (
+    ("thermal", "Temperature"),
+    ("thirst", "Thirst"),
+    ("build", "Body Build"),
+    ("appetite", "Appetite"),
+    ("ailments_from", "Ailments From / Causation"),
+    ("emotion", "Emotional State"),
+    ("fear", "Fears"),
+    ("desire", "Food Desires"),
+    ("aversion", "Food Aversions"),
+    ("system", "Systems Review"),
+    ("sleep_position", "Sleep Position"),
+    ("sleep_quality", "Sleep Quality"),
+    ("sweat_pattern", "Perspiration"),
+    ("sweat_location", "Perspiration Location"),
+    ("past_medical", "Past Medical History"),
+    ("family_history", "Family History"),
+    ("medications", "Current Medications"),
+    ("additional", "Additional Notes"),
+)
+
+
 def case_summaries(symptoms: DataFrame, fields: DataFrame, case: str = "case_id") -> DataFrame:
-    """``case, summary``: the labelled lines of a case, symptoms first; repeated deliveries count once."""
-    nonblank = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    part = F.concat_ws("; ", nonblank(F.col("sx_desc")), nonblank(F.col("sx_location")), nonblank(F.col("sx_sensation")))
-    s = symptoms.dropDuplicates([case, "n"]).select(F.col(case).alias("case"), F.lit(0).alias("a"), F.lit("").alias("b"), F.col("n").alias("c"), F.concat(F.lit("Symptom "), (F.col("n") + 1).cast("string"), F.lit(": "), part).alias("line")).where(F.length(part) > 0)
-    f = fields.dropDuplicates([case, "field", "seq"]).where(nonblank(F.col("field_value")).isNotNull()).select(F.col(case).alias("case"), F.lit(1).alias("a"), F.col("field").alias("b"), F.col("seq").alias("c"), F.concat("field", F.lit(": "), F.trim("field_value")).alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "c", "line"))), lambda x: x["line"])
-    return s.union(f).groupBy("case").agg(F.array_join(lines, "\n").alias("summary"))
+    """``case, summary``: the labelled lines of a case, symptoms first, checked items by their classes; repeated deliveries count once.
+
+    Empty values have no line; of a field that holds one value the first row
+    counts; texts of blanks alone are left out of free fields only.
+    """
+    some = lambda c: c.isNotNull() & (c != "")
+    line = lambda label, c, ok=None: F.when(some(c) if ok is None else ok, F.concat(F.lit(f"  {label}: "), c))
+    listed = lambda c: F.array_join(F.filter(F.coalesce(c, F.array().cast("array<string>")), some), ", ")
+    s = symptoms.dropDuplicates([case, "n"])
+    parts = [line("Description", F.col("sx_desc")), line("Location", F.col("sx_location")), line("Sensation", F.col("sx_sensation")), line("Side", F.col("sx_side"), some(F.col("sx_side")) & (F.col("sx_side") != "N/A")), line("Better from", listed(F.col("sx_better"))), line("Worse from", listed(F.col("sx_worse")))]
+    first = s.select(F.col(case).alias("case"), F.lit(0).alias("a"), F.col("n").alias("b"), F.concat_ws("\n", F.concat(F.lit("SYMPTOM "), (F.col("n") + 1).cast("string"), F.lit(":")), *parts).alias("line"))
+    f = fields.dropDuplicates([case, "field", "seq"]).where(some(F.col("field_value"))).select(F.col(case).alias("case"), "field", "seq", F.col("field_value").alias("value"))
+    c = checked_classes(F.col("value"))
+    classes = F.filter(F.array(*[F.when(c[k], F.lit(k)) for k in ("emotion", "fear", "desire", "aversion", "system")]), lambda x: x.isNotNull())
+    checked = f.where("field = '_checked'").select("case", F.explode(classes).alias("field"), "seq", "value").groupBy("case", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), ", ").alias("value"))
+    lone = f.where("field <> '_checked'").groupBy("case", "field").agg(F.min_by("value", "seq").alias("value")).where(~F.col("field").isin(*FREE) | (F.regexp_replace("value", r"(?U)\s", "") != ""))
+    names = F.array(*[F.lit(k) for k, _ in SUMMARY_LABELS])
+    label = F.try_element_at(F.create_map(*[F.lit(x) for pair in SUMMARY_LABELS for x in pair]), "field")
+    second = lone.unionByName(checked).select("case", F.lit(1).alias("a"), F.array_position(names, F.col("field")).cast("int").alias("b"), F.concat(label, F.lit(": "), "value").alias("line")).where("line is not null")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "line"))), lambda x: x["line"])
+    return first.union(second).groupBy("case").agg(F.array_join(lines, "\n").alias("summary"))

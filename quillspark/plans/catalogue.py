@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import field_maps as maps
 from quillspark.functions import fixed_values as fixed
+from quillspark.functions import parsing as P
 from quillspark.functions import text as T
 from quillspark.operators import curate, graph, index, packed_values, resolve, scoring, search
 from quillspark.plans.indexes import built
 from quillspark.plans.oracle import SQL
-from quillspark.plans.sample import PLAN
+from quillspark.plans.sample import FINDINGS, HEADINGS, PLAN
+from quillspark.plans.scratch import materialize
 from quillspark.sources import table
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +114,7 @@ def index_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "entity").select(T.point_key(F.col("id")).alias("id")).where("id like 'b%'").distinct()
+    asked = table(spark, d, "entity").select(T.point_key(F.col("id")).alias("id")).distinct()
     return _records(spark, d).select("rec_id", F.col("id")).union(table(spark, d, "entity").select("row_id", "id")).join(asked, "id", "left_semi").select(F.col("rec_id").alias("row"), "id")
 
 
@@ -192,6 +195,11 @@ def checked_classes(spark: SparkSession, d: str) -> DataFrame:
     return items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).select("item", "n", scoring.checked_classes(F.col("item")).alias("c")).select("item", "n", "c.*")
 
 
+def browser_classes(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "form_field").where("field = '_checked' and field_value is not null").select(F.initcap("field_value").alias("item"))
+    return items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).select("item", "n", scoring.first_class(F.col("item")).alias("kind"))
+
+
 def case_summaries(spark: SparkSession, d: str) -> DataFrame:
     return scoring.case_summaries(table(spark, d, "symptom"), table(spark, d, "form_field"))
 
@@ -218,6 +226,36 @@ def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
     return resolve.corpus_counts(_records(spark, d))
 
 
+def summary_counts(spark: SparkSession, d: str) -> DataFrame:
+    records = _records(spark, d)
+    return resolve.summary_counts(records, resolve.merged_names(records))
+
+
+def summary_entries(spark: SparkSession, d: str) -> DataFrame:
+    found = resolve.summary_entries(resolve.merged_names(_records(spark, d)))
+    return found.withColumn("synonyms", F.array_join("synonyms", "|")).withColumn("sources", F.array_join("sources", "|"))
+
+
+def entity_entries(spark: SparkSession, d: str) -> DataFrame:
+    found = index.search_entries(table(spark, d, "entity"), "row_id")
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("snippets")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
+    return found.select("row_id", "primary", "latin", "category", "n_sources", "has_traditional", "has_evidence", text.alias("snippets"))
+
+
+def record_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The snippets of source records, whose blocks hold dicts of lists."""
+    found = index.search_entries(table(spark, d, "source_record").withColumn("evidence", F.concat(F.lit('{"summary": "seen in "}'))), "rec_id")
+    return found.select("rec_id", "n_sources", F.explode("snippets").alias("field", "snippet"))
+
+
+def deep_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The second record of each key merged into the first."""
+    rows = resolve.block_entries(_records(spark, d))
+    order = rows.select("key", "_at").distinct().withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("_at"))).where("r <= 2")
+    pair = materialize(rows.join(order, ["key", "_at"]), "pair")
+    return curate.deep_merged(pair.where("r = 1"), pair.where("r = 2"))
+
+
 def entry_snippets(spark: SparkSession, d: str) -> DataFrame:
     return index.snippets(table(spark, d, "entry"), "rec_id")
 
@@ -232,8 +270,120 @@ def donor_texts(spark: SparkSession, d: str) -> DataFrame:
     return curate.new_texts(rows.where("source_id like '%keynotes%'"), rows.where("source_id like '%synopsis%'"), ["field"]).select("entry_id", "field")
 
 
+def _nth(values: list[str], key: str) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.col(key), F.lit(len(values))) + 1).cast("int"))
+
+
 def evidence_rating(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).select("doc_id", T.evidence_rating(F.col("text")).alias("rating"))
+    """Each document with one of the findings behind it."""
+    return _documents(spark, d).select("doc_id", T.evidence_rating(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), _nth(FINDINGS, "doc_id"))).alias("rating"))
+
+
+def _page() -> Column:
+    """A document as a page of a site."""
+    t, s, x = (F.coalesce(c, F.lit("")) for c in ("title", "source", "text"))
+    lit = F.lit
+    head = F.concat(lit("<html><head><title>"), t, lit(" - Herb | Notes</title><script>var p = '<b>';</script><style>p {}</style></head><body><h1>"), t, lit("</h1>"))
+    names = F.concat(lit("<p>Common Names: "), t, lit(" tea, old &amp; "), s, lit(" root Latin Names: "), t, lit(" vera, "), s, lit(". Background</p>"))
+    return F.concat(head, names, lit("<h2>Background</h2><p>"), x, lit("</p><h2>Uses</h2><p>x</p><p>* * *</p><p>second caf&eacute;</p><h2>Background</h2><p>again</p></body></html>"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", _page().alias("page"))
+
+
+def page_meta(spark: SparkSession, d: str) -> DataFrame:
+    m = _pages(spark, d).select("doc_id", P.meta_lists(F.col("page")).alias("m"))
+    return m.select("doc_id", "m.name", F.array_join("m.common", "|").alias("common"), F.array_join("m.latin", "|").alias("latin"))
+
+
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("page")
+    return _pages(spark, d).select("doc_id", T.markup_title(c).alias("title"), T.markup_title(c, cut=" - ").alias("before"), P.title_after(c).alias("after"), T.title_case(T.markup_title(c, "h1")).alias("cased"))
+
+
+def page_sections(spark: SparkSession, d: str) -> DataFrame:
+    found = T.last_wins(T.headed_sections(F.col("page")))
+    return _pages(spark, d).select("doc_id", F.posexplode(found).alias("pos", "s"), P.is_fact_sheet(F.transform(found, lambda s: s["head"])).alias("sheet")).select("doc_id", "pos", "s.head", "s.body", "sheet")
+
+
+def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("doc_id", F.posexplode(T.paragraphs(F.col("page"))).alias("pos", "paragraph"))
+
+
+def herbal_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry under one of the headings."""
+    rows = table(spark, d, "entry").select("entry_id", "text").distinct().where("text is not null")
+    one = F.array(F.struct(_nth(HEADINGS, "entry_id").alias("head"), F.col("text").alias("body")))
+    found = rows.select("entry_id", P.herbal_sections(one).alias("h"))
+    routed = found.select("entry_id", F.explode("h.sections").alias("s")).select("entry_id", "s.field", "s.text")
+    return routed.unionByName(found.where("size(h.synonyms) > 0").select("entry_id", F.lit("synonyms").alias("field"), F.array_join("h.synonyms", "|").alias("text")))
+
+
+def evidence_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry under one of the headings, with the next heading's copy behind it, by the routes of three books."""
+    rows = table(spark, d, "entry").select("entry_id", "text").distinct().where("text is not null").withColumn("_n", F.col("entry_id") + 1)
+    two = F.array(*[F.struct(_nth(HEADINGS, k).alias("head"), F.col("text").alias("body")) for k in ("entry_id", "_n")])
+    books = {
+        "lactation": P.routed_sections(two, maps.LACTATION_ROUTES, summary=maps.LACTATION_SUMMARY),
+        "liver": P.routed_sections(two, maps.LIVER_ROUTES, summary=maps.LIVER_SUMMARY, only_summary=True),
+        "supplement": P.routed_sections(two, maps.SUPPLEMENT_ROUTES, skip=maps.SUPPLEMENT_SKIPPED),
+    }
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("book"), v.alias("s")) for k, v in books.items()]))
+    return rows.select("entry_id", every.alias("b")).select("entry_id", "b.book", F.posexplode("b.s").alias("pos", "s")).select("entry_id", "book", "pos", "s.field", "s.head", F.length("s.text").alias("length"))
+
+
+def field_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry under a label of each book, known or not."""
+    labels = [*maps.NUMBERED, *maps.ANCHORS, "Mind and soul", "stool and blood", "Outer Chest wall", "knees"]
+    rows = table(spark, d, "entry").select("entry_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("label", _nth(labels, "entry_id"))
+    known = P.labelled_field(F.col("label"), F.col("text"))
+    return rows.select("entry_id", "label", P.anchored_field(F.col("label")).alias("anchored"), known["field"].alias("labelled"), known["text"].alias("text"), P.numbered_field(F.col("label")).alias("numbered"), P.chapter_field(F.pmod("entry_id", F.lit(50))).alias("chapter"))
+
+
+def header_names(spark: SparkSession, d: str) -> DataFrame:
+    short = F.coalesce("lang", F.lit("xx"))
+    return _documents(spark, d).select("doc_id", P.header_name(F.concat_ws("\n", "title", "text"), short, {"en": "Englishwort", "de": "Germanwort"}).alias("name"))
+
+
+def botanical_names(spark: SparkSession, d: str) -> DataFrame:
+    c = F.concat(F.lit("x Botanical: "), F.coalesce("title", F.lit("")), F.lit(". "), _nth([" Family: y", " --- z", " Description z", ""], "doc_id"))
+    return _documents(spark, d).select("doc_id", P.botanical_name(c).alias("name"), P.split_title(F.concat(F.coalesce("title", F.lit("")), _nth([".—Bark.", " - Root", ""], "doc_id"))).alias("t")).select("doc_id", "name", "t.latin", "t.common")
+
+
+def title_categories(spark: SparkSession, d: str) -> DataFrame:
+    t = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), _nth([*maps.BOTANICALS, *maps.VITAMINS, "Other", ""], "doc_id"))
+    return _documents(spark, d).select("doc_id", P.category(t, maps.BOTANICALS, "herbal", "supplement").alias("by_plant"), P.category(t, maps.VITAMINS, "supplement", "herbal").alias("by_vitamin"))
+
+
+def denied_pages(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat_ws("", _nth([*maps.NAVIGATION, "illustration-7-", "MyDS-", ""], "doc_id"), F.when(F.pmod("doc_id", F.lit(3)) > 0, T.slug(F.coalesce("title", F.lit("")))))
+    return _documents(spark, d).select("doc_id", name.alias("name")).where(~P.denied(F.col("name"), maps.NAVIGATION, maps.NAVIGATION_STARTS, maps.NAVIGATION_PARTS))
+
+
+def payloads(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type", P.valid_payload(F.col("props"), ("k",)).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def modality_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "symptom").select("case_id", "n", F.concat(F.lit("Worse "), F.coalesce("sx_desc", F.lit("")), F.lit(" - better: "), F.coalesce("sx_location", F.lit("")), F.lit("; worse, "), F.coalesce("sx_sensation", F.lit(""))).alias("text")).distinct()
+    return rows.select("case_id", "n", F.posexplode(T.modalities(F.col("text"))).alias("pos", "m")).select("case_id", "n", "pos", "m.side", "m.text")
+
+
+def relation_lists(spark: SparkSession, d: str) -> DataFrame:
+    c = F.concat(F.lit("Complementary: "), F.coalesce("title", F.lit("x")), F.lit("; Sulph, . Antidotes to it: "), F.coalesce("source", F.lit("y")), F.lit(" , Camph. Follows well: Bry"))
+    return _documents(spark, d).select("doc_id", F.explode(T.relations(c)).alias("kind", "v")).select("doc_id", "kind", F.array_join("v", "|").alias("items"))
+
+
+def bullet_items(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", F.posexplode(T.bullets(F.col("text"), r"\n+", 5)).alias("pos", "item"))
+
+
+def joined_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraph-like lines of a document under two alternating headings, strung together by heading."""
+    lines = F.split("text", "\n")
+    sections = F.transform(lines, lambda x, i: F.struct(F.concat(F.lit("h"), (i % 2).cast("string")).alias("head"), x.alias("body")))
+    return _documents(spark, d).where("text is not null").select("doc_id", F.explode(P.joined_sections(sections, "\n", 500)).alias("s")).select("doc_id", "s.head", "s.body")
 
 
 def slugs(spark: SparkSession, d: str) -> DataFrame:
@@ -247,12 +397,11 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).where("text rlike '<[a-zA-Z]'").select("doc_id", T.clean_markup(F.col("text")).alias("plain"))
+    return _pages(spark, d).select("doc_id", T.clean_markup(F.col("page")).alias("plain"), T.clean_escaped(F.col("page")).alias("glued"))
 
 
 def labelled_sections(spark: SparkSession, d: str) -> DataFrame:
-    docs = _documents(spark, d).where(r"text rlike '\\.\\s*--'")
-    return docs.select("doc_id", F.posexplode(T.labelled_sections(F.col("text"))).alias("pos", "s")).select("doc_id", "pos", "s.label", "s.text")
+    return _documents(spark, d).select("doc_id", F.posexplode(T.labelled_sections(F.col("text"))).alias("pos", "s")).select("doc_id", "pos", "s.label", "s.text")
 
 
 def numbered_items(spark: SparkSession, d: str) -> DataFrame:
@@ -339,6 +488,28 @@ _QUERIES = [
     json_props,
     daily_limit,
     link_bfs,
+    page_meta,
+    page_titles,
+    page_sections,
+    page_paragraphs,
+    herbal_routes,
+    evidence_routes,
+    field_labels,
+    header_names,
+    botanical_names,
+    title_categories,
+    denied_pages,
+    payloads,
+    modality_chunks,
+    relation_lists,
+    bullet_items,
+    joined_bodies,
+    browser_classes,
+    summary_counts,
+    summary_entries,
+    entity_entries,
+    record_entries,
+    deep_merge,
     p5_found,
 ]
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import decode_bytes, slug
 
+#: Keys that may be given as a list, which is broadcast.
+MOST_KEYS = 100_000
 RECORD = "id string, names struct<primary: string, latin: string, common: array<string>, synonyms: array<string>, abbreviation: string>, category string, provenance struct<sources: array<string>>"
 
 
@@ -19,6 +21,8 @@ def pages(spark: SparkSession, path: str, charsets: tuple[str, ...] = ("cp1252",
 def wanted_pages(landed: DataFrame, keys: list[str]) -> DataFrame:
     """The pages whose last path part, as a slug, is in a fixed list."""
     name = slug(F.regexp_replace(F.substring_index("url", "/", -1), r"\.[A-Za-z]+$", ""))
+    if len(keys) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys; join a table of them")
     few = landed.sparkSession.createDataFrame([(k,) for k in keys], "_key string")
     return landed.withColumn("_key", name).join(F.broadcast(few), "_key", "left_semi").drop("_key")
 
