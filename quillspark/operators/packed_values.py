@@ -1,34 +1,57 @@
 """Several values packed in one field (problem 5).
 
-Each string is cut into tokens; its delimiter skeleton keeps delimiters,
-quotes, brackets, numbering and the few words that steer reading (linking
-words, labels, remarks) and masks all other tokens.  A splitting rule, the
-token ranges of the items, is worked out once for each distinct skeleton; the
-strings get their rule by a join on the skeleton (broadcast by the optimiser
-only where its size allows) and the ranges are cut out of their tokens in the
-JVM.
+Each string is cut into tokens: a run of ordinary words with the blanks between
+and the full stops behind them is one token, a delimiter with the blanks around
+it another; a quoted value is one token, and what round brackets enclose belongs to
+the run before.  The delimiter skeleton masks every run as ``w``, every quoted
+value as ``q``, every delimiter that only parts as ``,`` and every number as
+``0``, and keeps other brackets, single quotes, dashes and the few words that steer reading (linking words, labels, the
+beginnings of remarks).  So strings of as many values in one style have one
+skeleton, whatever the values are.
+
+A splitting rule, the token ranges of the items, is worked out once for each
+distinct skeleton.  The rules are broadcast if there are at most ``MOST_RULES``
+of at most ``RULE_BYTES``, as a count of them shows; beyond that they are
+joined on a hash of the skeleton, with the same result.  The ranges are cut out
+of the tokens in the JVM.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A token is a word (with inner hyphens, apostrophes and the stop of an
-#: abbreviation kept apart), a run of digits, a run of blanks or one sign.
-TOKEN = r"(?U)[\p{L}\p{M}]+(?:[-'’][\p{L}\p{M}]+)*|\p{Nd}+|[ \t\x{00A0}]+|\r?\n|[^\p{L}\p{Nd}\s]|\s"
+from quillspark.plans.scratch import materialize
+
 #: Words that link the last values of a list.
-LINKING = ["and", "or", "also", "as well as", "plus", "und", "oder", "et", "ou", "y", "o"]
+LINKING = ["and", "or", "also", "as well as", "plus", "und", "oder", "et", "ou"]
 #: Words of which a label or phrase before a list is made.
 LABEL = "antidoted antidote antidotes by should follow follows followed well goes with is it compatible compat compare comp compares cf rel relations related inimical inimicals complementary complements see".split()
-#: Words by which a remark that names nothing is known.
-REMARK = "none given far known studied proving unknown leisure its whole family yet not no so be see the at to as".split()
+#: Words that an item begins with if it is a remark and names nothing.
+REMARK = "none unknown nothing no not so see to".split()
 STEERING = sorted({*" ".join(LINKING).split(), *LABEL, *REMARK})
+#: Signs that part values wherever they stand outside of quotes and brackets: those of the keyboard, and all commas and semicolons of Unicode.
+PARTING = "".join(
+    c for c in map(chr, range(0x21, 0xFFFF)) if c in ",;|/&+¦•·—" or unicodedata.category(c)[0] in "PS" and (unicodedata.normalize("NFKC", c) in tuple(",;|/&+") or re.search(r"\b(COMMA|SEMICOLON)\b", unicodedata.name(c, "")))
+)
+#: Rules that are broadcast: so many, and so many bytes of skeletons and ranges.
+MOST_RULES, RULE_BYTES = 50_000, 32_000_000
 _QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
+_BLANK = r"[ \x{00A0}]"
+_WORD = rf"(?!(?i:{'|'.join(STEERING)})(?![\p{{L}}\p{{M}}'’-]))[\p{{L}}\p{{M}}]+(?:[-'’][\p{{L}}\p{{M}}]+)*"
+_PARTS = "[" + "".join(f"\\x{{{ord(c):04X}}}" for c in PARTING) + "]"
+_HELD = r"[^{0}{1}\r\n]*[\p{{L}}\p{{Nd}}][^{0}{1}\r\n]*"
+_SIGNS = ('""', "“”", "«»")
+_QUOTED = "|".join(f"{a}{_HELD.format(a, b)}{b}" for a, b in _SIGNS)
+_UNQUOTED = "|".join(f"{a}({_HELD.format(a, b)}){b}" for a, b in _SIGNS)
+_BRACKET = rf"{_BLANK}*\((?!\p{{Nd}}+\))[^()\r\n]*\)"
+#: A quoted value, a run of ordinary words with what round brackets enclose, a parting sign with its blanks, a steering word, a number, blanks, a line, or one sign.
+TOKEN = rf"(?U){_QUOTED}|{_WORD}(?:{_BLANK}+{_WORD}|{_BRACKET})*\.*|{_BLANK}*{_PARTS}{_BLANK}*|[\p{{L}}\p{{M}}]+|\p{{Nd}}+|{_BLANK}+|\r?\n|[^\p{{L}}\p{{Nd}}\s]|\s"
 
 
 def tokens(text: Column) -> Column:
@@ -36,17 +59,18 @@ def tokens(text: Column) -> Column:
 
 
 def skeleton(found: Column) -> Column:
-    """The tokens as an array with ordinary words masked as ``a`` (small initial) or ``A``."""
+    """One symbol a token: ``q`` a quoted value, ``w`` a run of up to four words, ``W`` a longer one, ``,`` a parting sign, ``0`` a number, else itself in lower case."""
     steering = F.array(*[F.lit(w) for w in STEERING])
 
     def mask(t: Column) -> Column:
-        word = t.rlike(r"^\p{L}")
+        word = t.rlike(r"^[\p{L}\p{M}]")
         return (
-            F.when(word & F.array_contains(steering, F.lower(t)) & ~(t.rlike("^.$")), F.lower(t))
-            .when(word & t.rlike(r"^\p{Lu}"), F.lit("A"))
-            .when(word, F.lit("a"))
+            F.when(t.rlike(f"^(?:{_QUOTED})$"), F.lit("q"))
+            .when(word & F.array_contains(steering, F.lower(t)), F.lower(t))
+            .when(word, F.when(F.regexp_replace(t, _BRACKET, "").rlike(rf"(?:[^ \x{{00A0}}]+{_BLANK}+){{4}}[^ \x{{00A0}}]"), F.lit("W")).otherwise(F.lit("w")))
+            .when(t.rlike(rf"^{_BLANK}*{_PARTS}"), F.lit(","))
             .when(t.rlike(r"^\p{Nd}"), F.lit("0"))
-            .when(t.rlike(r"^[ \t\x{00A0}]+$"), F.when(t.contains("\t"), F.lit("\t")).otherwise(F.lit(" ")))
+            .when(t.rlike(rf"^{_BLANK}+$"), F.lit(" "))
             .otherwise(t)
         )
 
@@ -88,6 +112,12 @@ def rule(s: list[str]) -> list[tuple[int, int]]:
                 closing.append(")")
             i += 1
             continue
+        if t == "q":
+            if quoted_before and _only_quoted(s, begin, i):
+                close(i, i)
+            quoted_before = True
+            i += 1
+            continue
         if t in _QUOTES or t == "'" and i in single:
             want = _QUOTES.get(t, "'")
             if want in s[i + 1 : hi] and (want != t or s[i + 1 : hi].count(t)):
@@ -111,8 +141,8 @@ def rule(s: list[str]) -> list[tuple[int, int]]:
             i += 2
             continue
         before, after = s[i - 1] if i > lo else " ", s[i + 1] if i + 1 < hi else " "
-        dash = t in "-–—*•·" and (t in "—•·" or before.isspace() and after.isspace() or before == "\n" or i > lo and s[i - 1] == t or after == t)
-        if t in ",;|/&+¦、；，\t" or t == "\n" or t == "\r\n" or dash:
+        dash = t in "-–*" and (before.isspace() and after.isspace() or before == "\n" or i > lo and s[i - 1] == t or after == t)
+        if t in ",\t" or t == "\n" or t == "\r\n" or dash:
             close(i, i + 1)
             quoted_before = False
         elif t == ":":
@@ -124,9 +154,7 @@ def rule(s: list[str]) -> list[tuple[int, int]]:
         i += 1
     parts.append((begin, hi))
     items = [x for x in (_item(s, a, b, k == 0) for k, (a, b) in enumerate(_first_kept(s, parts))) if x]
-    words = [t for t in s if t.isalpha()]
-    if _remark(s, items, words):
-        return []
+    items = [x for x in items if not _remark(s, *x)]
     return items if len(items) >= 2 else []
 
 
@@ -140,7 +168,7 @@ def _blank(s: list[str], a: int, b: int) -> bool:
 
 def _only_quoted(s: list[str], a: int, b: int) -> bool:
     body = [t for t in s[a:b] if not t.isspace()]
-    return bool(body) and (body[0] in _QUOTES or body[0] == "'") and body[-1] in {*_QUOTES.values(), "'"}
+    return bool(body) and (body[0] in _QUOTES or body[0] in "'q") and body[-1] in {*_QUOTES.values(), "'", "q"}
 
 
 def _single_quotes(s: list[str]) -> set[int]:
@@ -156,13 +184,13 @@ def _single_quotes(s: list[str]) -> set[int]:
 
 def _label(s: list[str]) -> bool:
     words = [t for t in s if t[0].isalpha()]
-    return bool(words) and len(words) <= 4 and not any(t in ("(", '"') for t in s)
+    return bool(words) and len(words) <= 4 and not any(t in ("(", '"', "W", "q") for t in s)
 
 
 def _item(s: list[str], a: int, b: int, first: bool) -> tuple[int, int] | None:
     """The range without blanks, numbering, label, linking word, quotes and full stops around it."""
     while True:
-        while a < b and (s[a].isspace() or s[a] in ",;"):
+        while a < b and (s[a].isspace() or s[a] == ","):
             a += 1
         while b > a and (s[b - 1].isspace() or s[b - 1] in ".,;"):
             b -= 1
@@ -187,9 +215,10 @@ def _item(s: list[str], a: int, b: int, first: bool) -> tuple[int, int] | None:
             return (a, b) if any(t[0].isalnum() for t in s[a:b]) else None
 
 
-def _remark(s: list[str], items: list[tuple[int, int]], words: list[str]) -> bool:
-    """Does an item hold a word of the remarks that no remedy or substance has."""
-    return any(t in REMARK for a, b in items for t in s[a:b])
+def _remark(s: list[str], a: int, b: int) -> bool:
+    """Does an item begin as remarks do, or deny something."""
+    words = [t for t in s[a:b] if t[0].isalpha()]
+    return bool(words) and (words[0] in REMARK or "not" in words)
 
 
 def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +229,11 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(found, pa.list_(pa.string())), pa.array(ranges, kind)], names=["skeleton", "ranges"])
 
 
+def skeletons(df: DataFrame, value: str = "value") -> DataFrame:
+    """``skeleton, n`` of all strings: how many strings share each skeleton."""
+    return df.where(F.col(value).isNotNull()).groupBy(skeleton(tokens(F.col(value))).alias("skeleton")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def split_packed(df: DataFrame, value: str = "value") -> DataFrame:
     """``df`` with ``pos, item``, one row for each value of strings that list two or more.
 
@@ -211,8 +245,13 @@ def split_packed(df: DataFrame, value: str = "value") -> DataFrame:
     cut = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), tokens(F.col(value)).alias("tokens"))
     cut = cut.withColumn("skeleton", skeleton(F.col("tokens"))).where(F.size("skeleton") > 2)
     rules = cut.select("skeleton").distinct().mapInArrow(_rules, "skeleton array<string>, ranges array<struct<a:int,n:int>>").where(F.size("ranges") >= 2)
-    out = cut.join(rules, "skeleton").select("row", "tokens", F.posexplode("ranges").alias("pos", "range"))
-    item = F.array_join(F.slice("tokens", F.col("range.a") + 1, F.col("range.n")), "")
+    rules = materialize(rules.withColumn("hash", F.xxhash64("skeleton")), "rules")
+    size = rules.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("skeleton") * 8 + F.size("ranges") * 8), F.lit(0)).alias("bytes")).first()
+    small = size.n <= MOST_RULES and size.bytes <= RULE_BYTES
+    joined = cut.withColumn("hash", F.xxhash64("skeleton")).join(F.broadcast(rules) if small else rules, ["hash", "skeleton"])
+    out = joined.select("row", "tokens", F.posexplode("ranges").alias("pos", "range"))
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|[\s.]+$", "")
+    item = bare(F.regexp_replace(bare(F.array_join(F.slice("tokens", F.col("range.a") + 1, F.col("range.n")), "")), f"^(?:{_UNQUOTED})$", "$1$2$3"))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "pos", item.alias("item"))
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 from collections import defaultdict
 
@@ -307,6 +308,8 @@ def test_daily_cap_and_reachability(spark):
         ("Antidoted by Kal-o., Tus; also salt.", ["Kal-o", "Tus", "salt"]),
         ("Goes well with Ori-v. and Fom-f.", ["Ori-v", "Fom-f"]),
         ("Rel.: Tha-n. - soap", ["Tha-n", "soap"]),
+        ("Nor-n\u037e salt\u060c Rue", ["Nor-n", "salt", "Rue"]),
+        ("bark for the fever; salt, as such", ["bark for the fever", "salt", "as such"]),
         ("None given, so far.", []),
         ("Relations not studied; see the proving.", []),
         ("Unknown", []),
@@ -325,6 +328,20 @@ def test_packed_values(spark, value, want):
     assert [r.item for r in got] == want and all(r.skeleton == 1 and r.ranges == 5 for r in got)
 
 
+def test_packed_skeletons_are_few(spark):
+    """As many values in one style make one skeleton, whatever the values are; beyond the bounds the result is the same."""
+    rng = random.Random(3)
+    names = ["Bry.", "barley gruel", "Zin-k.", "Tinker's Nettle", "green cheese", "Rhus", "old red wine"]
+    rows = [(i, sep.join(rng.choice(names) for _ in range(rng.randint(2, 5)))) for i in range(400) for sep in [rng.choice(["; ", ", ", " | ", " / "])]]
+    df = spark.createDataFrame(rows, "id int, value string")
+    assert packed_values.skeletons(df).count() == 4
+    want = sorted(tuple(r) for r in packed_values.split_packed(df).collect())
+    assert len({r[0] for r in want}) == 400
+    most, packed_values.MOST_RULES = packed_values.MOST_RULES, 0
+    assert sorted(tuple(r) for r in packed_values.split_packed(df).collect()) == want
+    packed_values.MOST_RULES = most
+
+
 def test_packed_relationships_keep_places(spark):
     rows = [(1, json.dumps({"relationships": {"_raw": [None, "Bry., Ars.", "Rhus"], "antidoted_by": ["Camph. and Nux."]}})), (2, None), (3, "{}"), (4, "no json"), (1, json.dumps({"relationships": {"_raw": [None, "Bry., Ars.", "Rhus"], "antidoted_by": ["Camph. and Nux."]}}))]
     df = spark.createDataFrame(rows, "rec_id long, traditional string")
