@@ -37,6 +37,14 @@ def p3_fused(spark: SparkSession, d: str) -> DataFrame:
     return survivors.fused(table(spark, d, "entity"), table(spark, d, "book"))
 
 
+def p3_sources(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.sources(table(spark, d, "entity"), table(spark, d, "book"))
+
+
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.agreement(table(spark, d, "entity"), table(spark, d, "book"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_notes(spark, d))
 
@@ -78,7 +86,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p2_restored, p3_found, p3_fused, p4_found, p4_groups, p6_pack, p6_fill, p6_check, p7_mix, p7_shares, p7_check, p8_found, p8_shares]
+    found = [p1_found, p2_found, p2_restored, p3_found, p3_fused, p3_sources, p3_agreement, p4_found, p4_groups, p6_pack, p6_fill, p6_check, p7_mix, p7_shares, p7_check, p8_found, p8_shares]
     return {f.__name__: f for f in found}
 
 

@@ -1,20 +1,23 @@
 """Best representative of each duplicate group (problem 3).
 
 ``fused`` is the method named: Bayesian fusion with copy detection.  The
-accuracy of each source is estimated from how often its values win; two
-sources are taken for dependent when they share more false values than chance
-explains; copied votes are discounted, and the value of the largest posterior
-survives, field by field.
+accuracy of each source is estimated from how often its values win, with the
+book's trust rank as prior; two sources are taken for dependent when they share
+more false values than chance explains; copied votes are discounted, and the
+value of the largest posterior survives, field by field.  Estimates are
+repeated until they settle; ``sources`` and ``copies`` report them.
 
 ``survivors`` is the rule that the statement of the problem fixes (lowest trust
 rank of the row's sources, then the latest merge, then the smallest row).  A
 posterior estimated from the data can't reproduce a fixed order, so
-``survivors`` doesn't use it; both share what counts as a complete value.
+``survivors`` doesn't use it; both share what counts as a complete value, and
+``agreement`` tells for how many fields they choose the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,13 @@ from quillspark.plans.scratch import materialize, shared_dir
 STAND_INS = ["n/a", "na", "nil", "none", "null", "unknown", "untitled", "unnamed", "tbd", "tba", "todo", "text wanting", "wanting", "see preceding", "illegible", "page missing", "missing", "no text", "not given", "not available", "no name", "blank", "empty", "xxx"]
 #: Marks of omission at the end of a cut value.
 OMISSION = r"(?U)\s*(?:\.{3,}|…|\(cont\.?\)|\(more\)|\[…\]|\[\.{3}\]|\(…\)|\(\.{3}\)|\(continued\)|\[cont\.?\]|\[more\])+\s*$"
-MOST_SOURCES = 5_000
-COPY_RATE, PRIOR_COPY, FALSE_VALUES, ROUNDS = 0.8, 0.1, 10, 4
+#: Sources; the driver holds tables of at most so many squared counts.
+MOST_SOURCES = 500
+COPY_RATE, PRIOR_COPY, FALSE_VALUES = 0.8, 0.1, 10
+#: Accuracy before any claim is seen: of the most and the least trusted source, and of rows without a known one; it weighs as so many claims.
+MOST_TRUSTED, LEAST_TRUSTED, UNTRUSTED, PRIOR_CLAIMS = 0.85, 0.65, 0.6, 5
+#: Estimates have settled when none moves by so much; so many rounds at most.
+SETTLED, MOST_ROUNDS = 0.005, 10
 
 
 def trimmed(c: Column) -> Column:
@@ -95,12 +103,19 @@ def cut_off(values: DataFrame) -> DataFrame:
     return rows.mapInArrow(_cut(known), "id string, field string, v string")
 
 
+def _checked(book: DataFrame) -> DataFrame:
+    """The table of sources, which is broadcast; more than ``MOST_SOURCES`` are an error."""
+    if book.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    return book
+
+
 def field_values(entity: DataFrame, book: DataFrame) -> DataFrame:
     """``id, field, row_id, v, rank, merged_at`` of all values that may be complete.
 
     ``v`` of the field ``sources`` is the known sources in order.
     """
-    trust = book.select(F.lower(trimmed(F.col("source_id"))).alias("source"), "trust_rank")
+    trust = _checked(book).select(F.lower(trimmed(F.col("source_id"))).alias("source"), "trust_rank")
     rows = entity.select(
         F.lower(trimmed(F.col("id"))).alias("id"),
         "row_id",
@@ -109,7 +124,7 @@ def field_values(entity: DataFrame, book: DataFrame) -> DataFrame:
         F.get_json_object("traditional", "$.keynotes[0].text").alias("keynotes"),
         F.transform(F.coalesce("provenance.sources", F.array().cast("array<string>")), lambda s: F.lower(trimmed(s))).alias("sources"),
     ).where("id is not null")
-    known = rows.select("row_id", F.explode(F.array_distinct("sources")).alias("source")).join(F.broadcast(trust.limit(MOST_SOURCES)), "source")
+    known = rows.select("row_id", F.explode(F.array_distinct("sources")).alias("source")).join(F.broadcast(trust), "source")
     ranks = known.groupBy("row_id").agg(F.min("trust_rank").alias("rank"), F.array_join(F.sort_array(F.collect_set("source")), "\n").alias("known"))
     ranked = rows.join(ranks, "row_id", "left")
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("v")) for f, c in (("primary", trimmed(F.col("primary"))), ("keynotes", trimmed(F.col("keynotes"))), ("sources", F.col("known")))]))
@@ -124,8 +139,6 @@ def duplicates(entity: DataFrame) -> DataFrame:
 
 def complete_values(entity: DataFrame, book: DataFrame) -> DataFrame:
     """``field_values`` of ids with duplicates, without cut-off values."""
-    if book.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
     values = materialize(field_values(entity, book).join(duplicates(entity), "id", "left_semi"), "values")
     short = cut_off(values.where("field <> 'sources'").select("id", "field", "v"))
     return values.join(short, ["id", "field", "v"], "left_anti")
@@ -159,48 +172,104 @@ def _votes(weights: np.ndarray, dependence: np.ndarray):
     return run
 
 
-def fused(entity: DataFrame, book: DataFrame) -> DataFrame:
-    """``id, field, v, posterior, votes`` of the value of largest posterior.
+@dataclass
+class Fusion:
+    """Claims and what was estimated from them; sources are numbered, the last stands for rows without a known one."""
+
+    values: DataFrame
+    names: list[str]
+    accuracy: np.ndarray
+    dependence: np.ndarray
+    claims: np.ndarray
+    shared: dict[tuple[int, int], tuple[int, int, int]] = field(default_factory=dict)
+    rounds: int = 0
+
+
+def prior_accuracy(ranks: list[int]) -> np.ndarray:
+    """Falls evenly with the place in the order of trust; the last is that of rows without a known source."""
+    place = np.argsort(np.argsort(ranks, kind="stable"), kind="stable") / max(1, len(ranks) - 1)
+    return np.append(MOST_TRUSTED - (MOST_TRUSTED - LEAST_TRUSTED) * place, UNTRUSTED)
+
+
+_VOTED = "id string, field string, v string, sources array<int>, vote double"
+
+
+def _voted(f: Fusion) -> DataFrame:
+    return f.values.mapInArrow(_votes(np.log(FALSE_VALUES * f.accuracy / (1 - f.accuracy)), f.dependence), _VOTED)
+
+
+def _shares(f: Fusion, told: DataFrame) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Of each two sources: true values, false values and fields with different values that they have in common; at most ``MOST_SOURCES`` squared."""
+    pairs = told.select("right", F.explode("sources").alias("a"), "sources").select("right", "a", F.explode(F.filter("sources", lambda b: b > F.col("a"))).alias("b"))
+    same = {(r.a, r.b): (r.good, r.bad) for r in pairs.groupBy("a", "b").agg(F.count_if("right").alias("good"), F.count_if(~F.col("right")).alias("bad")).collect()}
+    items = told.select("id", "field", F.explode("sources").alias("a")).groupBy("id", "field").agg(F.collect_set("a").alias("s"))
+    met = items.select(F.explode("s").alias("a"), "s").select("a", F.explode(F.filter("s", lambda b: b > F.col("a"))).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    return {(r.a, r.b): (*same.get((r.a, r.b), (0, 0)), max(0, r.k - sum(same.get((r.a, r.b), (0, 0))))) for r in met.collect()}
+
+
+def copy_probability(shared: tuple[int, int, int], x: float, y: float) -> float:
+    """How likely sources of these accuracies copy, given their common true, false and different values."""
+    right, wrong, other = shared
+    pt, pf, a = x * y, (1 - x) * (1 - y) / FALSE_VALUES, (x + y) / 2
+    logs = right * np.log(pt / (a * COPY_RATE + pt * (1 - COPY_RATE))) + wrong * np.log(pf / ((1 - a) * COPY_RATE + pf * (1 - COPY_RATE))) - other * np.log(1 - COPY_RATE)
+    return float(1 / (1 + (1 - PRIOR_COPY) / PRIOR_COPY * np.exp(min(600.0, logs))))
+
+
+def fit(entity: DataFrame, book: DataFrame) -> Fusion:
+    """Accuracies and dependences, estimated in turns until they settle.
 
     A row without a known source votes as one source of its own kind.  Groups
     are pre-aggregated to distinct (value, source), so an id of any size holds
-    at most sources x values claims; the source-by-source tables are bounded by
-    ``MOST_SOURCES`` squared counts, in practice by the 40 books.  Equal
-    posteriors go to the smaller value.
+    at most sources x values claims; what the driver gets are counts by source
+    and by two sources.
     """
-    ids = sorted({r.s for r in book.select(F.lower(trimmed(F.col("source_id"))).alias("s")).collect()})
-    number = F.create_map(*[F.lit(x) for k, s in enumerate(ids) for x in (s, k)]) if ids else F.create_map().cast("map<string,int>")
-    n = len(ids) + 1
+    trust = {r.s: r.trust_rank for r in _checked(book).select(F.lower(trimmed(F.col("source_id"))).alias("s"), "trust_rank").where("s is not null").orderBy(F.desc_nulls_first("trust_rank")).collect()}
+    names = sorted(trust)
+    number = F.create_map(*[F.lit(x) for k, s in enumerate(names) for x in (s, k)]) if names else F.create_map().cast("map<string,int>")
+    n = len(names) + 1
     claims = complete_values(entity, book).withColumn("source", F.explode(F.split(F.coalesce("known", F.lit("?")), "\n"))).select("id", "field", "v", F.coalesce(F.try_element_at(number, "source"), F.lit(n - 1)).alias("source"))
     values = materialize(claims.groupBy("id", "field", "v").agg(F.sort_array(F.collect_set("source")).alias("sources")), "claims")
-    accuracy, dependence = np.full(n, 0.8), np.zeros((n, n))
-    shape = "id string, field string, v string, sources array<int>, vote double"
-    for turn in range(ROUNDS):
-        weights = np.log(FALSE_VALUES * accuracy / (1 - accuracy))
-        voted = values.mapInArrow(_votes(weights, dependence), shape)
-        won = voted.groupBy("id", "field").agg(F.max_by("v", F.struct("vote", "v")).alias("best"), F.sum(F.exp(F.least("vote", F.lit(600.0)))).alias("mass"), F.max("vote").alias("top"), F.count(F.lit(1)).alias("rivals"))
-        if turn == ROUNDS - 1:
-            lone = F.greatest(F.lit(0.0), F.lit(float(FALSE_VALUES + 1)) - F.col("rivals"))
-            return won.select("id", "field", F.col("best").alias("v"), (F.exp(F.least("top", F.lit(600.0))) / (F.col("mass") + lone)).alias("posterior"), F.round("top", 6).alias("votes"))
-        won = materialize(won.where("rivals > 1").select("id", "field", "best"), "truths")
+    prior = prior_accuracy([trust[s] if trust[s] is not None else 1 << 31 for s in names])
+    f = Fusion(values, [*names, "?"], prior.copy(), np.zeros((n, n)), np.zeros(n, np.int64))
+    for f.rounds in range(1, MOST_ROUNDS + 1):
+        won = _voted(f).groupBy("id", "field").agg(F.max_by("v", F.struct("vote", "v")).alias("best"), F.count(F.lit(1)).alias("rivals"))
+        won = materialize(won.where("rivals > 1 and field <> 'sources'").select("id", "field", "best"), "truths")  # what sources say of themselves is no evidence
         told = values.join(won, ["id", "field"]).withColumn("right", F.col("v") == F.col("best"))
-        met_with = accuracy.copy()  # copying is judged before accuracies are: sources that outvote others by copying look right
-        single = told.select("id", "field", "right", F.explode("sources").alias("a"))
-        tally = {(r.a, r.right): r.k for r in single.groupBy("a", "right").agg(F.count(F.lit(1)).alias("k")).collect()}  # two rows a source
+        f.shared = _shares(f, told)
+        tally = {r.a: (r.good, r.all) for r in told.select("right", F.explode("sources").alias("a")).groupBy("a").agg(F.count_if("right").alias("good"), F.count(F.lit(1)).alias("all")).collect()}  # a row a source
+        accuracy, dependence = f.accuracy.copy(), np.zeros((n, n))
+        # copying is judged before accuracies are: sources that outvote others by copying look right
+        for (a, b), shared in f.shared.items():
+            dependence[a, b] = dependence[b, a] = copy_probability(shared, f.accuracy[a], f.accuracy[b])
         for s in range(n):
-            good, bad = tally.get((s, True), 0), tally.get((s, False), 0)
-            if turn:
-                accuracy[s] = min(0.99, max(0.05, (good + 4) / (good + bad + 5)))
-        pairs = told.select("id", "field", "right", F.explode("sources").alias("a"), "sources").select("right", "a", F.explode(F.filter("sources", lambda b: b > F.col("a"))).alias("b"))
-        same = {(r.a, r.b, r.right): r.k for r in pairs.groupBy("a", "b", "right").agg(F.count(F.lit(1)).alias("k")).collect()}  # sources squared at most
-        items = told.select("id", "field", F.explode("sources").alias("a")).groupBy("id", "field").agg(F.collect_set("a").alias("s"))
-        met = items.select(F.explode("s").alias("a"), "s").select("a", F.explode(F.filter("s", lambda b: b > F.col("a"))).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-        for r in met.collect():
-            right, wrong = same.get((r.a, r.b, True), 0), same.get((r.a, r.b, False), 0)
-            other = max(0, r.k - right - wrong)
-            x, y = met_with[r.a], met_with[r.b]
-            pt, pf = x * y, (1 - x) * (1 - y) / FALSE_VALUES
-            a = (x + y) / 2
-            logs = right * np.log(pt / (a * COPY_RATE + pt * (1 - COPY_RATE))) + wrong * np.log(pf / ((1 - a) * COPY_RATE + pf * (1 - COPY_RATE))) - other * np.log(1 - COPY_RATE)
-            dependence[r.a, r.b] = dependence[r.b, r.a] = 1 / (1 + (1 - PRIOR_COPY) / PRIOR_COPY * np.exp(min(600.0, logs)))
-    raise AssertionError("ROUNDS must be positive")
+            good, f.claims[s] = tally.get(s, (0, 0))
+            if f.rounds > 1:
+                accuracy[s] = min(0.99, max(0.05, (good + PRIOR_CLAIMS * prior[s]) / (f.claims[s] + PRIOR_CLAIMS)))
+        moved = max(np.abs(accuracy - f.accuracy).max(), np.abs(dependence - f.dependence).max())
+        f.accuracy, f.dependence = accuracy, dependence
+        if f.rounds > 1 and moved < SETTLED:
+            break
+    return f
+
+
+def fused(entity: DataFrame, book: DataFrame, fitted: Fusion | None = None) -> DataFrame:
+    """``id, field, v, posterior, votes`` of the value of largest posterior; equal ones go to the larger value."""
+    f = fitted or fit(entity, book)
+    won = _voted(f).groupBy("id", "field").agg(F.max_by("v", F.struct("vote", "v")).alias("best"), F.sum(F.exp(F.least("vote", F.lit(600.0)))).alias("mass"), F.max("vote").alias("top"), F.count(F.lit(1)).alias("rivals"))
+    lone = F.greatest(F.lit(0.0), F.lit(float(FALSE_VALUES + 1)) - F.col("rivals"))
+    return won.select("id", "field", F.col("best").alias("v"), (F.exp(F.least("top", F.lit(600.0))) / (F.col("mass") + lone)).alias("posterior"), F.round("top", 6).alias("votes"))
+
+
+def sources(entity: DataFrame, book: DataFrame, fitted: Fusion | None = None) -> DataFrame:
+    """``source, accuracy, claims, copies_of, dependence, rounds``: the estimates of each source, with the source that it most likely shares its values with."""
+    f = fitted or fit(entity, book)
+    most = f.dependence.argmax(1)
+    rows = [(s, float(f.accuracy[k]), int(f.claims[k]), f.names[most[k]] if f.dependence[k, most[k]] > 0.5 else None, float(f.dependence[k, most[k]]), f.rounds) for k, s in enumerate(f.names)]
+    return entity.sparkSession.createDataFrame(rows, "source string, accuracy double, claims long, copies_of string, dependence double, rounds int")
+
+
+def agreement(entity: DataFrame, book: DataFrame) -> DataFrame:
+    """``field, groups, same``: for how many ids the fused value is that of the surviving row."""
+    ruled = survivors(entity, book).join(field_values(entity, book).select("row_id", "field", F.col("v").alias("ruled")), ["row_id", "field"])
+    both = ruled.join(fused(entity, book), ["id", "field"])
+    return both.groupBy("field").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("v") == F.col("ruled")).alias("same"))

@@ -177,21 +177,42 @@ def test_cut_off_over_many_parts(spark):
     assert got == want
 
 
-def test_fusion_discounts_copies(spark):
-    book = spark.createDataFrame([(f"s{i}", i) for i in range(1, 8)], "source_id string, trust_rank int")
+@pytest.mark.parametrize(("right", "copies", "trusted"), [(0.4, 1.0, False), (0.4, 1.0, True), (0.5, 0.8, True)])
+def test_fusion_discounts_copies(spark, right, copies, trusted):
+    """Four careful sources against a careless one with two copiers, who copy all or most of it and may be the most trusted."""
+    ranks = {f"s{i}": (8 - i if trusted else i) for i in range(1, 8)}
+    book = spark.createDataFrame(list(ranks.items()), "source_id string, trust_rank int")
     rng = random.Random(2)
     rows, n, plain = [], itertools.count(1), 0
     for item in range(120):
         truth = f"Truth {item}"
         false = [f"False {item} {k}" for k in range(8)]
-        copied = truth if rng.random() < 0.4 else false[0]
-        values = [truth if rng.random() < 0.8 else rng.choice(false) for _ in range(4)] + [copied] * 3  # the last is a careless source with two copies
+        copied = truth if rng.random() < right else false[0]
+        values = [truth if rng.random() < 0.8 else rng.choice(false) for _ in range(4)] + [copied]
+        values += [copied if rng.random() < copies else truth if rng.random() < right else rng.choice(false) for _ in range(2)]
         rows += [(next(n), f"k{item}", v, "x", [f"s{i}"], 1) for i, v in enumerate(values, 1)]
         plain += max(sorted(set(values)), key=values.count) == truth
-    got = {r.id: r for r in survivors.fused(entity(spark, rows), book).where("field = 'primary'").collect()}
-    right = sum(r.v == f"Truth {k[1:]}" for k, r in got.items())
-    assert len(got) == 120 and right >= 112 and right > plain + 20
+    df = entity(spark, rows)
+    fitted = survivors.fit(df, book)
+    got = {r.id: r for r in survivors.fused(df, book, fitted).where("field = 'primary'").collect()}
+    correct = sum(r.v == f"Truth {k[1:]}" for k, r in got.items())
+    assert len(got) == 120 and correct >= 108 and correct > plain
     assert all(0 <= r.posterior <= 1 for r in got.values())
+    report = {r.source: r for r in survivors.sources(df, book, fitted).collect()}
+    assert all(report[s].accuracy > 0.7 for s in ("s1", "s2", "s3", "s4")) and all(report[s].accuracy < 0.65 for s in ("s5", "s6", "s7"))
+    assert {report[s].copies_of for s in ("s5", "s6", "s7")} <= {"s5", "s6", "s7"} and report["s1"].copies_of is None
+    assert 1 < report["s1"].rounds <= survivors.MOST_ROUNDS
+    counted = {r.field: (r.groups, r.same) for r in survivors.agreement(df, book).collect()}
+    assert counted["primary"][0] == 120 and counted["keynotes"] == (120, 120)
+
+
+def test_fusion_of_nothing(spark):
+    book = spark.createDataFrame([("good", 1)], "source_id string, trust_rank int")
+    rows = [(1, "a", "Alpha", "x", None, 1), (2, "a", "Alpha", "x", ["?"], 1)]
+    assert {(r.field, r.v) for r in survivors.fused(entity(spark, rows), book).collect()} == {("primary", "Alpha"), ("keynotes", "x")}
+    assert survivors.fused(entity(spark, rows).limit(0), book).count() == 0
+    with pytest.raises(ValueError):
+        survivors.survivors(entity(spark, rows), spark.createDataFrame([(str(i), i) for i in range(survivors.MOST_SOURCES + 1)], "source_id string, trust_rank int"))
 
 
 def brute_pairs(rows, least, share):
