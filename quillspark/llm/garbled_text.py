@@ -10,9 +10,15 @@ entities, for garbled text that was escaped afterwards.
 
 *Single characters*: a single-byte encoding read as another swaps one
 character for one, and the wrong one may be right elsewhere.  A match counts
-only in a place where the character can't stand (``_odd``): a capital inside a
-small word, a sign between letters, a box-drawing sign, a letter in place of a
-quotation mark, dash or section sign.
+only in a place where the character can't stand (``_out_of_place``): a capital
+inside a small word, a sign between letters, a box-drawing sign, a letter of
+another script inside a word; or where the corpus speaks for a swap: over all
+texts it is counted how often each character stands between which kinds of
+neighbours, and a suspect counts if a character that it may stand for is
+``ODDS`` times as frequent between such neighbours as itself, and it is a letter
+alone or the same encodings explain another suspect of the text.  Two letters
+of one script aren't compared so, as rare letters of names are right.  The
+encodings that explain all suspects of a text best are taken for its restoring.
 
 *Losses*: U+FFFD, and what is left of a sequence whose unprintable characters
 were dropped, are found but can't be restored from the sequence alone; the
@@ -22,7 +28,10 @@ latter are restored where only one character fits.
 from __future__ import annotations
 
 import html
+import math
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,12 +41,16 @@ from pyspark.sql import functions as F
 
 #: Encodings that UTF-8 bytes may have been read in.
 READ_AS = ["cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "mac_roman", "cp437", "cp850", "iso8859-15", "cp1254", "koi8-r"]
-#: (written in, read as) for single-byte encodings.
-SWAPPED = [("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252")]
+#: (written in, read as) for single-byte encodings: all pairs, of equal evidence the first.
+_USUAL = ["cp1252", "mac_roman", "cp437", "cp850"]
+SWAPPED = sorted(((a, b) for a in READ_AS for b in READ_AS if a != b), key=lambda p: ("cp1252" not in p, sum(e not in _USUAL for e in p), [*_USUAL, *READ_AS].index(p[0]), [*_USUAL, *READ_AS].index(p[1])))
+#: How many times as frequent in its place the right character must be.
+ODDS = 30
 #: Ranges of characters that prose may hold; control codes are what a first garbling left.
 REPERTOIRE = [(0x80, 0x17F), (0x192, 0x192), (0x2C6, 0x2C6), (0x2DC, 0x2DC), (0x391, 0x3C9), (0x410, 0x44F), (0x401, 0x401), (0x451, 0x451), (0x2010, 0x2027), (0x2030, 0x203A), (0x20AC, 0x20AC), (0x2116, 0x2122), (0x2212, 0x221E), (0x2260, 0x2265), (0xFB01, 0xFB02)]
 ROUNDS = 3
 LOST = "�"
+_ORDER = {p: k for k, p in enumerate(SWAPPED)}
 _CONTROL = re.compile("[\x80-\x9f]")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
@@ -86,11 +99,29 @@ def swaps() -> dict[str, dict[tuple[str, str], str]]:
     return found
 
 
+def shape(c: str) -> str:
+    """The kind of a neighbour: blank or none, small letter, other letter, digit or sign."""
+    if not c or c.isspace():
+        return " "
+    if c.isalpha():
+        return "a" if c == c.lower() else "A"
+    return "0" if c.isdigit() else "."
+
+
+def _place(text: str, i: int) -> tuple[str, str, str]:
+    return text[i], shape(text[i - 1 : i]), shape(text[i + 1 : i + 2])
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0] if c.isalpha() else ""
+
+
 class Garbled:
-    """The automaton and its decisions; built once a task."""
+    """The automaton and its decisions; built once a task.  ``counts``: how often characters stand in which places."""
 
-    def __init__(self) -> None:
+    def __init__(self, counts: dict[tuple[str, str, str], int] | None = None) -> None:
         self.swaps = swaps()
+        self.counts = counts or {}
         self.machine = ahocorasick.Automaton()
         for seq, c in sequences().items():
             self.machine.add_word(seq, (len(seq), c))
@@ -99,6 +130,13 @@ class Garbled:
                 self.machine.add_word(c, (1, ""))
         self.machine.make_automaton()
 
+    def likelier(self, text: str, i: int) -> set[tuple[str, str]]:
+        """The pairs of encodings by which the suspect stands for a character ``ODDS`` times as frequent in its place."""
+        c, left, right = _place(text, i)
+        known = self.counts.get((c, left, right), 0) + 0.5
+        compared = ((p, r) for p, r in self.swaps[c].items() if _script(r) != _script(c) or not r.isalpha() and not c.isalpha())
+        return {p for p, r in compared if self.counts.get((r, left, right), 0) + 0.5 >= ODDS * known}
+
     def spans(self, text: str) -> tuple[list[tuple[int, int, str]], list[int]]:
         """Longest non-overlapping sequences, and where single suspects are."""
         seqs, single = [], []
@@ -116,11 +154,26 @@ class Garbled:
         return kept, [a for a, _, _ in single if a not in inside]
 
     def odd(self, text: str, at: list[int]) -> list[int]:
-        """Those of the suspects at ``at`` that can't stand where they are."""
-        found = set()
-        if any(text[i] in _SIGNS for i in at):
-            found = {m.start(g) for m in _ODD.finditer(text) for g in range(1, _ODD.groups + 1) if m.start(g) >= 0}
-        return [i for i in at if i in found or _out_of_place(text, i)]
+        """Those of the suspects at ``at`` that can't stand where they are, or hardly do.
+
+        What only the corpus speaks against counts if it is a letter alone
+        between blanks, if the same encodings explain another suspect too, or if
+        it may be the apostrophe of a possessive.
+        """
+        wrong = {i for i in at if _out_of_place(text, i)}
+        hardly = {i: self.likelier(text, i) for i in at if i not in wrong}
+        backed = Counter(p for pairs in hardly.values() for p in pairs)
+        backed.update(p for i in wrong for p in self.swaps[text[i]])
+        lone = lambda i: text[i].isalpha() and shape(text[i - 1 : i]) == " " == shape(text[i + 1 : i + 2])
+        return [i for i in at if i in wrong or hardly[i] and (lone(i) or any(backed[p] > 1 for p in hardly[i])) or self._possessive(text, i)]
+
+    def _possessive(self, text: str, i: int) -> bool:
+        before = text[max(0, i - 3) : i]
+        return text[i + 1 : i + 2] == "s" and not text[i + 2 : i + 3].isalpha() and len(before) == 3 and before.isascii() and before.isalpha() and "’" in self.swaps[text[i]].values()
+
+    def _explains(self, text: str, i: int, right: str) -> float:
+        """How well ``right`` explains a suspect: by its frequency in such places, and whether it may stand there at all."""
+        return math.log(self.counts.get((right, *_place(text, i)[1:]), 0) + 0.5) + 3 * _fits(text, i, right)
 
     def restore(self, text: str) -> tuple[bool, str, bool]:
         """Is it a case; the text restored as far as it can be; wholly so."""
@@ -136,12 +189,12 @@ class Garbled:
         bad = self.odd(text, self.spans(text)[1])
         if bad:
             case = True
-            votes: dict[tuple[str, str], int] = {}
+            votes: dict[tuple[str, str], list[float]] = {}
             for i in bad:
                 for pair, right in self.swaps[text[i]].items():
-                    votes[pair] = votes.get(pair, 0) + _fits(text, i, right)
-            best = max(votes, key=lambda p: (votes[p], -SWAPPED.index(p)))
-            whole &= votes[best] == 2 * len(bad)
+                    votes.setdefault(pair, []).append(self._explains(text, i, right))
+            best = max(votes, key=lambda p: (len(votes[p]), round(sum(votes[p]), 6), -_ORDER[p]))
+            whole &= len(votes[best]) == len(bad) and all(_fits(text, i, self.swaps[text[i]][best]) == 2 for i in bad)
             chars = list(text)
             for i in bad:
                 chars[i] = self.swaps[text[i]].get(best, text[i])
@@ -171,24 +224,10 @@ def _unescaped(text: str) -> tuple[str, list[int] | range]:
     return "".join(out), back
 
 
-#: Letters in place of signs: pairs of quotation marks, a dash, an apostrophe, a section or paragraph sign, a degree.
-_ODD = re.compile(
-    r"(?<![^\s(\[])([ìôë“]?[ìô])(?=\w)[^ìîôö]+?[\w.,;:!?)](?<!\w[ìô])([îö])(?!\w)"
-    r"|(?<!\S)([ñûßæÆùÂ])(?=\s)"
-    r"|(?<!\S)([ßº∂Â])(?=\s\d)"
-    r"|[A-Za-z]{3}([íÆÕ])(?=s\b)"
-    r"|\d([∞░¯])(?!\w)"
-    r"|(?<![\w\d])([¢Ω])(?=[.;,]?(?:\s|$))(?<=by .)"
-    r"|(?<!\S)([Æ«])(?=[.,;]?(?:\s|$))"
-)
 #: What is left of an apostrophe or a dash whose unprintable characters were dropped.
 _LEFT_OVER = re.compile(r"(?:(?<=[A-Za-z]{3})(â)(?=s\b)|(?<!\S)â(?!\S))")
 
 
-#: The letters and signs that ``_ODD`` looks for.
-_SIGNS = frozenset("ìôëîöñûßæÆùÂº∂íÕ∞░¯¢Ω«")
-
-
 def _fits(text: str, i: int, right: str) -> int:
     """2 if ``right`` would be usual at ``i``: a small letter in a word, a sign outside or before a final s."""
     before, after = text[i - 1 : i], text[i + 1 : i + 2]
@@ -206,7 +245,7 @@ def _out_of_place(text: str, i: int) -> bool:
         latin = c < "ɐ"
         if latin:  # a capital after a small letter, or between a letter and a small letter
             return before.isalpha() and before == before.lower() and before.isascii() or inside and after.islower() and before.isascii()
-    if "Ͱ" <= c <= "Ͽ":
+    if "Ͱ" <= c <= "Ͽ" or "Ѐ" <= c <= "ӿ":
         return before.isascii() and before.isalpha() or after.isascii() and after.isalpha()
     if c in "ˆ˜":
         return before.isalpha() or after.isalpha()
@@ -221,17 +260,39 @@ def _out_of_place(text: str, i: int) -> bool:
     return False
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``c, before, after, n``: how often characters that may be swapped, or stand for swapped ones, come in which places; garbled sequences don't count."""
     g = Garbled()
+    wanted = {*g.swaps, *(r for s in g.swaps.values() for r in s.values())}
+    seen: Counter = Counter()
     for batch in batches:
-        ids, texts, wholes = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            case, fixed, whole = g.restore(text)
-            if case:
-                ids.append(key)
-                texts.append(fixed)
-                wholes.append(whole)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(wholes, pa.bool_())], names=["id", "restored", "whole"])
+        for text in batch.column(1).to_pylist():
+            inside = {i for a, b, _ in g.spans(text)[0] for i in range(a, b)}
+            seen.update(_place(text, i) for i, c in enumerate(text) if c in wanted and i not in inside)
+    columns = list(zip(*seen)) or [(), (), ()]
+    yield pa.record_batch([*(pa.array(c, pa.string()) for c in columns), pa.array(list(seen.values()), pa.int64())], names=["c", "before", "after", "n"])
+
+
+def place_counts(texts: DataFrame) -> dict[tuple[str, str, str], int]:
+    """The places of all texts; as many rows as characters that may be swapped (some 500) by 25 pairs of neighbours."""
+    found = texts.mapInArrow(_places, "c string, before string, after string, n long").groupBy("c", "before", "after").agg(F.sum("n").alias("n"))
+    return {(r.c, r.before, r.after): r.n for r in found.collect()}
+
+
+def _run(counts: dict[tuple[str, str, str], int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Garbled(counts)
+        for batch in batches:
+            ids, texts, wholes = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                case, fixed, whole = g.restore(text)
+                if case:
+                    ids.append(key)
+                    texts.append(fixed)
+                    wholes.append(whole)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(wholes, pa.bool_())], names=["id", "restored", "whole"])
+
+    return run
 
 
 def restored(df: DataFrame, key: str = "entry_id", text: str = "text") -> DataFrame:
@@ -242,4 +303,4 @@ def restored(df: DataFrame, key: str = "entry_id", text: str = "text") -> DataFr
     Plain ASCII texts without entities never leave the JVM.
     """
     some = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(r"id is not null and text rlike '[^\\x00-\\x7f]|&[A-Za-z#]'")
-    return some.mapInArrow(_run, "id long, restored string, whole boolean").groupBy("id").agg(F.min_by("restored", F.struct("restored")).alias("restored"), F.min("whole").alias("whole"))
+    return some.mapInArrow(_run(place_counts(some)), "id long, restored string, whole boolean").groupBy("id").agg(F.min_by("restored", F.struct("restored")).alias("restored"), F.min("whole").alias("whole"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -78,6 +79,33 @@ def test_names_of_records(spark):
 GOOD = "Médiath — “so” they say at Brühl, Straße ½ § 14; œdema’s end."
 
 
+CLEAN = ["Médiath — “so” they say at Brühl, Straße ½ § 14, ¶ 2; œdema’s end.", "She “coughs” often – and weeps. At 38° the pulse fell by ½. So it is.", "Copyright © 2001 Médiath. ¼ grain, ¾ at noon; Bibliothèque “le”, café.", "A mark ¬ stands here, ± 3 parts."]
+
+
+@pytest.fixture(scope="module")
+def places():
+    """How often characters stand in which places of clean texts."""
+    return {k: 100 * n for k, n in Counter(garbled_text._place(t, i) for t in CLEAN for i, c in enumerate(t) if c > "\x7f").items()}
+
+
+@pytest.mark.parametrize("written", ["cp1252", "mac_roman"])
+@pytest.mark.parametrize("read", garbled_text.READ_AS)
+def test_garbled_swaps_round_trip(places, written, read):
+    """A clean text written in one single-byte encoding and read in another is found; between the usual ones it comes back for the most part."""
+    g = garbled_text.Garbled(places)
+    rate = []
+    for t in CLEAN:
+        try:
+            bad = garbled_text._read(t.encode(written), read)
+        except UnicodeEncodeError:
+            continue
+        if sum(a != b for a, b in zip(t, bad)) >= 3:
+            case, fixed, _ = g.restore(bad)
+            assert case, bad
+            rate.append(sum(a == b for a, b, c in zip(t, fixed, bad) if a != c) / sum(a != c for a, c in zip(t, bad)))
+    assert not rate or read not in ("cp437", "cp850", "mac_roman", "cp1252") or min(rate) >= 0.5, rate
+
+
 @pytest.mark.parametrize("encoding", garbled_text.READ_AS)
 def test_garbled_round_trip(encoding):
     g = garbled_text.Garbled()
@@ -113,8 +141,8 @@ def test_garbled_round_trip(encoding):
         ("ôshe coughs" * 20000, False),
     ],
 )
-def test_garbled_cases(text, want):
-    assert garbled_text.Garbled().restore(text)[0] is want
+def test_garbled_cases(places, text, want):
+    assert garbled_text.Garbled(places).restore(text)[0] is want
 
 
 def test_garbled_mixed_text_is_left_alone():
