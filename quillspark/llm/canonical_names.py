@@ -6,10 +6,13 @@
    the value does, the longest non-overlapping match wins, and what is left
    over may only be words that qualify a name (``QUALIFIERS``).
 2. What remains goes to token-set similarity: each word is resolved to the
-   nearest words of the list (confusable characters cost half an edit), and
-   the set of resolved words must be a listed name.  A word that is listed
-   itself is never bent, so an unlisted species of a listed genus stays
-   unmatched.  Names broken in the wrong place are compared as one run.
+   nearest words of the list (confusable characters cost half an edit), an
+   inverted index of the words of all listed names gives every name that shares
+   one, and names are scored by the weight of the shared words (rare ones weigh
+   more, bent ones less) over that of all words of both.  The best from
+   ``ENOUGH`` on is taken, whatever the order and number of words.  A word that
+   is listed itself is never bent, so an unlisted species of a listed genus
+   stays unmatched.  Names broken in the wrong place are compared as one run.
 
 A bare genus means its one listed species, an abbreviated genus the one whose
 name it begins.  A value that fits several entries equally is unmatched.
@@ -20,9 +23,10 @@ are looked up, so a value that a third of the rows hold costs one look-up.
 
 from __future__ import annotations
 
-import itertools
+import math
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,6 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_REFERENCES = 200_000
+#: Aliases of all entries together; the list is broadcast.
+MOST_ALIASES = 1_000_000
+#: Least similarity of word sets, and what an edit takes from a word's weight.
+ENOUGH, EDIT_COST = 0.72, 0.12
 #: Words that qualify a remedy's name without changing it.
 QUALIFIERS = frozenset("the true common a an of fens sic tinctura tinct tinctures tincture fresh plant potency dilution extr extract root herb leaf bark flower seed n o".split())
 #: A potency, or a natural order after "N. O.".
@@ -134,10 +142,13 @@ class Names:
             for grams, form in zip(self.grams, (run, shape(run))):
                 for g in _trigrams(form):
                     grams[g].append(run)
-        self.long: dict[str, list[frozenset]] = defaultdict(list)
+        self.lone = {g: refs for g, refs in self.genera.items() if len(refs) == 1 and frozenset([g]) not in self.sets}
+        self.having: dict[str, list[frozenset]] = defaultdict(list)
         for words in self.sets:
-            for word in words if len(words) > 2 else ():
-                self.long[word].append(words)
+            for word in words:
+                self.having[word].append(words)
+        self.weight = {w: math.log(1 + len(self.sets) / len(s)) for w, s in self.having.items()}
+        self.unknown = math.log(1 + len(self.sets))
 
     def resolve(self, word: str) -> tuple[float, set[str]]:
         """The nearest listed words."""
@@ -214,31 +225,36 @@ class Names:
             found.update(n for n, k in tally.items() if k >= need)
         return found
 
-    def reordered(self, words: list[str]) -> set[int]:
-        """The entries whose name of three or more words has these, in any order."""
-        options = [self.resolve(w)[1] for w in words] if len(words) <= max(map(len, self.sets), default=0) else []
-        listed = {s for w in (options[0] if options else ()) for s in self.long.get(w, ()) if len(s) == len(words)}
-        return {r for s in listed if any(frozenset(c) == s for c in itertools.product(*(o & s for o in options))) for r in self.sets[s]}
+    def nearest_set(self, options: list[tuple[float, set[str]]]) -> tuple[float, set[int]]:
+        """The best similarity of the resolved words to a listed name, and the entries that all names of that similarity have in common."""
+        got: dict[frozenset, dict[str, float]] = defaultdict(dict)
+        for edits, near in options:
+            for word in near:
+                for names in self.having[word]:
+                    got[names][word] = max(got[names].get(word, 0.0), 1 - EDIT_COST * edits)
+        best, refs = 0.0, set()
+        if len(options) == 1:  # a genus alone means its one species
+            edits, near = options[0]
+            for genus in near & self.lone.keys():
+                best, refs = round(1 - EDIT_COST * edits, 6), refs & self.lone[genus] if refs else set(self.lone[genus])
+        for names, shared in got.items():
+            stray = sum(max((self.weight[w] for w in near), default=self.unknown) for _, near in options if not near & names)
+            score = round(sum(self.weight[w] * x for w, x in shared.items()) / (sum(self.weight[w] for w in names) + stray), 6)
+            if score > best:
+                best, refs = score, set(self.sets[names])
+            elif score == best:
+                refs = refs & self.sets[names]
+        return best, refs
 
     def similar(self, words: list[str]) -> int | None:
         """The listed name whose word set is nearest."""
         words = [w for w in words if w not in QUALIFIERS and not _POTENCY.match(w)] or words
-        if len(words) == 2:
-            options = [self.resolve(w) for w in words]
-            if options[0][0] + options[1][0] == 0:
-                return None  # both words are listed, their set isn't
-            refs = {r for a in options[0][1] for b in options[1][1] for r in self.sets.get(frozenset((a, b)), ())}
-            if len(refs) == 1:
-                return refs.pop()
-            if refs or all(o[1] for o in options):
-                return None
-        elif len(words) == 1:
-            best, found = self.resolve(words[0])
-            refs = {r for w in found for r in self.genera.get(w, ())}
-            if best <= 2 and len(refs) == 1 and any(w in self.genera for w in found):
-                return refs.pop()
-        elif refs := self.reordered(words):
+        options = [self.resolve(w) for w in words]
+        best, refs = self.nearest_set(options)
+        if best >= ENOUGH:
             return refs.pop() if len(refs) == 1 else None
+        if len(words) > 1 and all(near for _, near in options) and (len(words) == 2 or not any(edits for edits, _ in options)):
+            return None  # its words are listed, their set isn't
         run = "".join(words)
         best, refs = 2.5, set()
         for name in self.close(run, min(2, len(run) // 6)):
@@ -262,9 +278,18 @@ class Names:
         return -1
 
 
-def _lookup(entries: list[tuple]):
+def _names_of(key: str, entries: list[tuple]) -> Names:
+    """Built once a worker process, which keeps those of one list."""
+    known = ahocorasick.__dict__.setdefault("_quillspark_names", {})
+    if key not in known:
+        known.clear()
+        known[key] = Names(entries)
+    return known[key]
+
+
+def _lookup(key: str, entries: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(entries)
+        names = _names_of(key, entries)
         for batch in batches:
             values = batch.column(0).to_pylist()
             yield pa.record_batch([pa.array(values, pa.string()), pa.array([names.match(v) for v in values], pa.int32())], names=["value", "ref_id"])
@@ -280,14 +305,15 @@ def map_names(values: DataFrame, reference: DataFrame, value: str | Column = "va
     character, have no row: they need no mapping.  An empty list maps all
     to -1.
     """
-    size = reference.limit(MOST_REFERENCES + 1).count()
-    if size > MOST_REFERENCES:
-        raise ValueError(f"the reference list has more than {MOST_REFERENCES} entries; split it")
+    several = F.greatest(F.size("common"), F.lit(0)) + F.greatest(F.size("synonyms"), F.lit(0)) + 2
+    size = reference.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(several), F.lit(0)).alias("aliases")).first()
+    if size.entries > MOST_REFERENCES or size.aliases > MOST_ALIASES:
+        raise ValueError(f"the reference list has more than {MOST_REFERENCES} entries or {MOST_ALIASES} names; split it")
     entries = [tuple(r) for r in reference.select("ref_id", "latin", "abbreviation", "common", "synonyms").collect()]
     listed = reference.select(F.explode(F.concat(F.array("latin", "abbreviation"), F.coalesce("common", F.array().cast("array<string>")), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("value")).where("value is not null").distinct()
     parts = max(values.sparkSession.sparkContext.defaultParallelism, 12)  # little data, much work a row
     todo = values.select((F.col(value) if isinstance(value, str) else value).alias("value")).where(r"value rlike '(?U)[^\\s]'").repartition(parts, "value").distinct().join(F.broadcast(listed), "value", "left_anti")
-    return todo.mapInArrow(_lookup(entries), "value string, ref_id int")
+    return todo.mapInArrow(_lookup(uuid.uuid4().hex, entries), "value string, ref_id int")
 
 
 def record_names(records: DataFrame) -> DataFrame:

@@ -57,6 +57,13 @@ def test_names_of_three_words_in_any_order():
     assert names.match("thornvort, marsh greater") == 5
     assert names.match("minor hexyarinvm Urtpolia") == 5
     assert names.match("thornwort marsh silver") == -1
+    assert names.match("Zelcora hexyarinum") == -1  # a species that the list doesn't hold under this genus
+
+
+def test_names_of_many_words():
+    names = canonical_names.Names([(1, None, None, ["Great Red Water Sage of Winter"], None), (2, None, None, ["Great Red Water Mint of Winter"], None)])
+    assert names.match("winter sege, great red watter") == 1
+    assert names.match("great red water of winter") == -1  # fits both equally
 
 
 def test_names_among_many_alike():
