@@ -250,6 +250,13 @@ def test_fusion_of_nothing(spark):
         survivors.survivors(entity(spark, rows), spark.createDataFrame([(str(i), i) for i in range(survivors.MOST_SOURCES + 1)], "source_id string, trust_rank int"))
 
 
+@pytest.fixture
+def small_index(monkeypatch):
+    """Fewer turns and slots, for speed; neither changes the pairs."""
+    monkeypatch.setattr(near_duplicates, "TURNS", 2)
+    monkeypatch.setattr(near_duplicates, "SLOTS", 1 << 12)
+
+
 def brute_pairs(rows, least, share):
     sets = {i: set(near_duplicates.WORD.findall(t.lower())) for i, t in rows if t}
     sets = {i: s for i, s in sets.items() if len(s) >= least}
@@ -278,7 +285,7 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
-def test_near_duplicates_of_a_hot_group(spark):
+def test_near_duplicates_of_a_hot_group(spark, small_index):
     """A third of all rows are edited copies of one text; the rest come from one template."""
     rng = random.Random(6)
     template = [f"common{i}" for i in range(300)]
@@ -295,7 +302,7 @@ def test_near_duplicates_of_a_hot_group(spark):
     assert got == want and len(want) > 4000
 
 
-def test_near_duplicates_edited_with_frequent_words(spark):
+def test_near_duplicates_edited_with_frequent_words(spark, small_index):
     """No word is rare: copies of one text differ by words that a third of all rows hold."""
     rng = random.Random(7)
     vocabulary = [f"common{i}" for i in range(300)]
@@ -311,7 +318,7 @@ def test_near_duplicates_edited_with_frequent_words(spark):
     assert got == want and len(want) > 2000
 
 
-def test_near_duplicates_of_a_hot_group_with_many_edits(spark):
+def test_near_duplicates_of_a_hot_group_with_many_edits(spark, small_index):
     """Copies with 0 to 25 misspellings in 100 words: the much edited ones have many rare words, but none in common with the others."""
     rng = random.Random(8)
     template = [f"common{i}" for i in range(300)]
@@ -328,7 +335,7 @@ def test_near_duplicates_of_a_hot_group_with_many_edits(spark):
 
 
 @pytest.mark.parametrize(("hot", "levels"), [(5, 1), (5, 2), (5, 3), (2, 3), (20_000, 3)])
-def test_near_duplicates_with_refined_lists(spark, hot, levels):
+def test_near_duplicates_with_refined_lists(spark, small_index, hot, levels):
     """However lists are refined and cut into blocks, no pair is lost; sizes span three classes."""
     rng = random.Random(9)
     vocabulary = [f"common{i}" for i in range(900)]
@@ -363,7 +370,7 @@ def test_near_duplicate_bytes_keep_the_guaranteed_minimum():
             assert share < 0.6 or shared >= near_duplicates.least_shared(positions, n, n, 0.6) > 0
 
 
-def test_near_duplicate_copies_in_blocks(spark, monkeypatch):
+def test_near_duplicate_copies_in_blocks(spark, small_index, monkeypatch):
     monkeypatch.setattr(near_duplicates, "COPIES", 3)
     base = " ".join(f"w{k}" for k in range(60))
     rows = [(i, base + (f" extra{i % 2}" if i % 5 else "")) for i in range(40)] + [(100, None), (101, "short")]
