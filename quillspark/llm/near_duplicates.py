@@ -22,11 +22,11 @@ the end, then partners that meet there first share at most ``r`` words, which
 bounds their size (``reach``).  A pair is tallied only where each is within the
 other's reach.
 
-Lists of over ``HOT`` texts are refined: their key becomes the first two, then
-the first three words that a pair has in common; what is still longer is cut
-into blocks that meet two by two, so no task holds a list of any length.
+Lists of over ``HOT`` texts are refined: their key becomes the first two words
+that a pair has in common; what is still longer, and long lists of long texts,
+are cut into blocks that meet two by two, so no task holds a list of any length.
 
-Nothing is lost: a pair has a first common word (two, three), both texts post
+Nothing is lost: a pair has a first common word (and a second), both texts post
 it, and neither the reach nor the minimum of shared bytes excludes a pair
 within the bound.  The order of words only decides how much is tallied; it
 comes from a table of counts of fixed size.  Precision is exact but for 32-bit
@@ -51,8 +51,9 @@ from quillspark.plans.scratch import drop, materialize, release
 
 #: Positions of the digest of texts of up to ``CLASS_WORDS`` words; both double from class to class.
 POSITIONS, CLASS_WORDS = 96, 160
-#: A longer list of texts is refined by one more common word, at most so many in all, then cut into blocks.
-HOT, LEVELS = 20_000, 3
+#: A longer list of texts is refined by one more common word, at most so many in all, then cut into blocks.  Only lists of
+#: the first size class are refined: a long text has too many pairs of words.
+HOT, LEVELS = 20_000, 2
 #: Slots of the tables of counts: so many, and more (up to ``MOST_SLOTS``, 256 MB) as the postings outgrow them.
 SLOTS, MOST_SLOTS = 1 << 20, 1 << 26
 #: The index is built and tallied in turns, so that the disk holds one turn.
@@ -197,8 +198,11 @@ class Postings:
         """The size of the largest partner that may share ``rest`` words."""
         return np.floor(rest / self.part + 1e-9).astype(np.int64) - n
 
-    def keys(self, words: np.ndarray, n: np.ndarray, only: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Key, text and reach of the postings of all texts; ``only``: of keys of so many words, before any refining of them."""
+    def levels_of(self, cls: int) -> int:
+        return self.levels if cls == 0 else 1
+
+    def keys(self, words: np.ndarray, n: np.ndarray, levels: int, only: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, text and reach of the postings of all texts, of at most ``levels`` words; ``only``: of keys of so many words, before any refining of them."""
         start = np.cumsum(n) - n
         smallest = np.maximum(self.least, np.ceil(self.share * n - 1e-9).astype(np.int64))
         doc = np.repeat(np.arange(len(n)), n)
@@ -207,10 +211,10 @@ class Postings:
         use = reach >= smallest[doc]
         key, doc, at, reach = words[use].astype(np.uint64), doc[use], at[use], reach[use]
         found = []
-        for level in range(1, self.levels + 1):
+        for level in range(1, levels + 1):
             if only == level:
                 return key, doc, reach
-            if level == self.levels or level > len(self.tables):
+            if level == levels or level > len(self.tables):
                 found.append((key, doc, reach))
                 break
             hot = self.tables[level - 1][_slot(key, len(self.tables[level - 1]))] > self.hot
@@ -228,12 +232,17 @@ class Postings:
             key, doc, at, reach = key[use], doc[use], at[use], reach[use]
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def blocks(self, key: np.ndarray) -> np.ndarray:
+    def blocks(self, key: np.ndarray, levels: int) -> np.ndarray:
         """In how many blocks the list of each key is cut."""
-        last = self.tables[self.levels - 1] if len(self.tables) >= self.levels else None
+        last = self.tables[levels - 1] if len(self.tables) >= levels else None
         return np.ones(len(key), np.int64) if last is None else -(-last[_slot(key, len(last))].astype(np.int64) // self.hot)
 
 
+def _refined(sets: list[bytes], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets whose postings are refined to keys of so many words: all, or those of the first size class."""
+    return _flat(sets if level == 1 else [s for s in sets if len(s) <= 4 * CLASS_WORDS])
+
+
 def size_class(n: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / CLASS_WORDS))).astype(np.int64)
 
@@ -258,39 +267,45 @@ _COLUMNS = ["part", "cls", "key", "cell", "doc", "n", "reach", "bytes"]
 def _posted(postings: Postings, turn: int, parts: int):
     """Postings as blocks of arrays, one row for each part and size class; a key's postings all come in one part of one turn."""
 
+    def _one_class(rows: list[list], cls: int, own_class: np.ndarray, docs: np.ndarray, words: np.ndarray, n: np.ndarray) -> None:
+        levels = postings.levels_of(cls)
+        key, doc, reach = postings.keys(words, n, levels)
+        use = (own_class[doc] == cls) | (reach > CLASS_WORDS << max(0, cls - 1))
+        key, doc, reach = key[use], doc[use], reach[use]
+        blocks = postings.blocks(key, levels)
+        own = (_mixed(docs.view(np.uint64)[doc]) % blocks.astype(np.uint64)).astype(np.int64)
+        who = np.repeat(np.arange(len(key)), blocks)
+        other = np.arange(len(who)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        key, doc, reach, own = key[who], doc[who], reach[who], own[who]
+        cell = np.minimum(own, other) << 33 | np.maximum(own, other) << 2 | np.where(own == other, 0, np.where(own < other, 1, 2))
+        place = _mixed(key ^ _mixed(cell.astype(np.uint64) >> np.uint64(2))) >> np.uint64(8)
+        mine = np.flatnonzero(place % np.uint64(TURNS) == turn)
+        if not len(mine):
+            return
+        part = (place // np.uint64(TURNS) % np.uint64(parts)).astype(np.int64)
+        use = mine[np.argsort(part[mine], kind="stable")]
+        some, back = np.unique(doc[use], return_inverse=True)
+        keep = np.isin(np.repeat(np.arange(len(n)), n), some)
+        rows_of = digest(words[keep], n[some], POSITIONS << cls)[back]
+        ends = np.flatnonzero(np.diff(part[use], append=-1)) + 1
+        for a, b in zip([0, *ends[:-1]], ends):
+            u = use[a:b]
+            values = (int(part[u[0]]), cls, key[u].tobytes(), cell[u].tobytes(), docs[doc[u]].tobytes(), n[doc[u]].astype(np.int32).tobytes(), reach[u].astype(np.int32).tobytes(), rows_of[a:b].tobytes())
+            for column, value in zip(rows, values):
+                column.append(value)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 5_000) for b in batches for i in range(0, b.num_rows, 5_000)):
             docs, (words, n) = batch.column(0).to_numpy(), _flat(batch.column(1).to_pylist())
             if not len(n):
                 continue
-            key, doc, reach = postings.keys(words, n)
-            blocks = postings.blocks(key)
-            own = (_mixed(docs.view(np.uint64)[doc]) % blocks.astype(np.uint64)).astype(np.int64)
-            who = np.repeat(np.arange(len(key)), blocks)
-            other = np.arange(len(who)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            key, doc, reach, own = key[who], doc[who], reach[who], own[who]
-            cell = np.minimum(own, other) << 33 | np.maximum(own, other) << 2 | np.where(own == other, 0, np.where(own < other, 1, 2))
-            place = _mixed(key ^ _mixed(cell.astype(np.uint64) >> np.uint64(2))) >> np.uint64(8)
-            mine = place % np.uint64(TURNS) == turn
-            key, cell, doc, reach, place = key[mine], cell[mine], doc[mine], reach[mine], place[mine]
-            part = (place // np.uint64(TURNS) % np.uint64(parts)).astype(np.int64)
             rows: list[list] = [[] for _ in _COLUMNS]
             own_class = size_class(n)
             for cls in range(int(own_class.max()) + 2):
                 # texts of the class below meet the larger ones of this class, if they reach so far
-                use = np.flatnonzero((own_class[doc] == cls) | (own_class[doc] == cls - 1) & (reach > CLASS_WORDS << max(0, cls - 1)))
-                if not len(use):
-                    continue
-                use = use[np.argsort(part[use], kind="stable")]
-                some, back = np.unique(doc[use], return_inverse=True)
-                keep = np.isin(np.repeat(np.arange(len(n)), n), some)
-                rows_of = digest(words[keep], n[some], POSITIONS << cls)[back]
-                ends = np.flatnonzero(np.diff(part[use], append=-1)) + 1
-                for a, b in zip([0, *ends[:-1]], ends):
-                    u = use[a:b]
-                    values = (int(part[u[0]]), cls, key[u].tobytes(), cell[u].tobytes(), docs[doc[u]].tobytes(), n[doc[u]].astype(np.int32).tobytes(), reach[u].astype(np.int32).tobytes(), rows_of[a:b].tobytes())
-                    for column, value in zip(rows, values):
-                        column.append(value)
+                here = np.flatnonzero((own_class == cls) | (own_class == cls - 1))
+                if len(here):
+                    _one_class(rows, cls, own_class[here], docs[here], words[np.repeat((own_class == cls) | (own_class == cls - 1), n)], n[here])
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, [pa.int32(), pa.int32(), *[pa.binary()] * 6])], names=_COLUMNS)
 
     return run
@@ -430,7 +445,7 @@ def similar_sets(sets: DataFrame, share: float, least: int = 1, hot: int = HOT,
     tables: list[np.ndarray] = []
     for level in range(1, levels + 1):
         known = Postings(share, least, hot, levels, tables)
-        tables = [*tables, _tallied(one.select("words").mapInArrow(_count(lambda b, p=known, k=level: p.keys(*_flat(b.column(0).to_pylist()), only=k)[0], slots), "slot long, n long"), slots)]
+        tables = [*tables, _tallied(one.select("words").mapInArrow(_count(lambda b, p=known, k=level: p.keys(*_refined(b.column(0).to_pylist(), k), k, only=k)[0], slots), "slot long, n long"), slots)]
         if tables[-1].max() <= hot:
             break
     postings = Postings(share, least, hot, levels, tables)
