@@ -118,14 +118,15 @@ def check(drawn: DataFrame, targets: DataFrame, df: DataFrame, text: str = "text
     """``source, target_share, repeated, too_often, off_share`` of each source with a target.
 
     Draws that come twice, documents drawn more often than allowed, and whether
-    a source that lasted is off its share among those that lasted by over one
-    percent: 0 in a right mixture.
+    a source that lasted is off its share among those that lasted by more than
+    the last, unfinished draws of these explain: 0 in a right mixture.
     """
-    twice = drawn.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("use").alias("uses"))
-    by = twice.groupBy("source").agg(F.sum(F.col("n") - F.col("uses")).alias("repeated"), F.max("n").alias("most"))
+    twice = drawn.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("use").alias("uses"), F.max("tokens").alias("large"))
+    by = twice.groupBy("source").agg(F.sum(F.col("n") - F.col("uses")).alias("repeated"), F.max("n").alias("most"), F.max("large").alias("large"))
     s = shares(drawn, targets, df, text).withColumn("_lasting", F.col("state") == "lasted")
     among = Window.partitionBy("_lasting")
     right = F.col("target_share") / F.sum("target_share").over(among)
-    off = F.col("_lasting") & (F.abs(F.col("tokens") / F.sum("tokens").over(among) - right) > 0.01)
-    full = s.withColumn("off", off).join(by, "source", "left").join(targets.select(_source("source").alias("source"), "max_repeat"), "source")
+    slack = F.max("large").over(among) * F.greatest(F.lit(1.0), F.count(F.lit(1)).over(among) * right)
+    off = F.col("_lasting") & (F.abs(F.col("tokens") - right * F.sum("tokens").over(among)) > slack)
+    full = s.join(by, "source", "left").withColumn("off", off).join(targets.select(_source("source").alias("source"), "max_repeat"), "source")
     return full.select("source", "target_share", F.coalesce("repeated", F.lit(0)).cast("int").alias("repeated"), F.coalesce(F.greatest(F.lit(0), F.col("most") - F.col("max_repeat")), F.lit(0)).cast("int").alias("too_often"), F.coalesce("off", F.lit(False)).cast("int").alias("off_share"))

@@ -303,9 +303,9 @@ def _posted(postings: Postings, turn: int, parts: int):
             own_class = size_class(n)
             for cls in range(int(own_class.max()) + 2):
                 # texts of the class below meet the larger ones of this class, if they reach so far
-                here = np.flatnonzero((own_class == cls) | (own_class == cls - 1))
-                if len(here):
-                    _one_class(rows, cls, own_class[here], docs[here], words[np.repeat((own_class == cls) | (own_class == cls - 1), n)], n[here])
+                here = (own_class == cls) | (own_class == cls - 1) & (n / postings.share > CLASS_WORDS << max(0, cls - 1))
+                if here.any():
+                    _one_class(rows, cls, own_class[here], docs[here], words[np.repeat(here, n)], n[here])
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, [pa.int32(), pa.int32(), *[pa.binary()] * 6])], names=_COLUMNS)
 
     return run
