@@ -6,6 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +355,29 @@ def test_near_duplicates_with_refined_lists(spark, small_index, hot, levels):
     assert got == want and len(want) > 100
 
 
+def test_near_duplicate_candidates_of_unrelated_texts(monkeypatch):
+    """Texts of some words of their own and many of a small vocabulary hardly meet, though the lists of its words hold most of them; edited copies do."""
+    monkeypatch.setattr(near_duplicates, "FEW", 20)
+    rng = np.random.default_rng(2)
+    texts, own, common = 1_000, 16, 64
+    words = np.concatenate([np.concatenate([1_000 + own * i + np.arange(own), np.sort(rng.choice(120, common, replace=False))]) for i in range(texts)]).astype(np.uint32)
+    words = words.reshape(texts, -1)
+    words[1, own:] = words[0, own:]
+    words[1, own : own + 6] = np.setdiff1d(np.arange(120), words[0])[:6]
+    words[1, own:].sort()
+    words[1, :8] = words[0, :8]  # 16 - 8 and 6 differ on either side: 66 of 94
+    n, rare = np.full(texts, own + common), np.full(texts, own)
+    groups = [float(np.ceil(near_duplicates.Postings(0.6, 50).slack(n, rare, n * 0)[0]))]
+    batch = pa.record_batch([pa.array(range(texts)), pa.array([w.tobytes() for w in words]), pa.array(rare), pa.array(rare)], names=["doc", "words", "rare", "known"])
+    table = np.bincount(near_duplicates._slot(near_duplicates.Postings(0.6, 50, groups=groups).counted(batch, 1), 1 << 20), minlength=1 << 20)
+    key, doc, _ = near_duplicates.Postings(0.6, 50, tables=[table], groups=groups).keys(words.ravel(), n, rare, rare, 2)
+    met = set()
+    for k in np.unique(key[np.argsort(key)][1:][np.diff(np.sort(key)) == 0]):
+        same = np.unique(doc[key == k])
+        met |= set(itertools.combinations(same.tolist(), 2))
+    assert (0, 1) in met and len(met) < 0.05 * texts * texts / 2
+
+
 def test_near_duplicate_bytes_keep_the_guaranteed_minimum():
     rng = np.random.default_rng(1)
     for positions, most in ((96, 160), (192, 320)):
