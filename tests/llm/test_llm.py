@@ -378,6 +378,51 @@ def test_near_duplicate_candidates_of_unrelated_texts(monkeypatch):
     assert (0, 1) in met and len(met) < 0.05 * texts * texts / 2
 
 
+@pytest.mark.parametrize("hot", [20_000, 15])
+def test_near_duplicate_postings_of_a_turn(monkeypatch, hot):
+    """Each posting comes in one turn, though lists are cut into blocks, and a turn doesn't work out the postings of all others."""
+    monkeypatch.setattr(near_duplicates, "FEW", 20)
+    monkeypatch.setattr(near_duplicates, "TEXTS", 70)
+    rng, turns, slots = np.random.default_rng(4), 6, 1 << 16
+    sets = [np.unique(np.concatenate([rng.choice(90, size // 2, False), 100 + rng.choice(400, size // 3, False), rng.choice(1 << 30, size // 6)])).astype(np.uint32) for size in rng.integers(60, 170, 200)]
+    counts = np.maximum(1, np.bincount(near_duplicates._slot(np.concatenate(sets), slots), minlength=slots)).astype(np.uint32)
+    batch = pa.record_batch([pa.array(range(len(sets))), pa.array([w.tobytes() for w in sets])], names=["doc", "words"])
+    (batch,) = near_duplicates._ordered(counts, min(20, hot), 60)(iter([batch]))
+    tables, groups = [], [2.0, 5.0, 9.0]
+    for level in (1, 2):
+        keys = near_duplicates.Postings(0.6, 50, hot, 2, tables, groups).counted(batch, level)
+        tables = [*tables, np.bincount(near_duplicates._slot(keys, slots), minlength=slots)]
+    postings, worked = near_duplicates.Postings(0.6, 50, hot, 2, tables, groups), []
+    reach = postings._reach
+    monkeypatch.setattr(postings, "_reach", lambda rest, n: worked.append(len(n)) or reach(rest, n))
+
+    def posted(turn, turns):
+        found = []
+        for row in near_duplicates._posted(postings, turn, turns, 3)(iter([batch])):
+            for _, cls, *raw, rows in zip(*(c.to_pylist() for c in row.columns)):
+                key, cell, doc, n, reach = (np.frombuffer(v, t) for v, t in zip(raw, (np.uint64, np.int64, np.int64, np.int32, np.int32)))
+                found += zip([cls] * len(key), *(x.tolist() for x in (key, cell, doc, n, reach)), np.frombuffer(rows, np.uint8).reshape(len(key), -1).sum(1).tolist())
+        return found
+
+    whole = posted(0, 1)
+    worked.clear()
+    by_turn = [posted(turn, turns) for turn in range(turns)]
+    assert all(by_turn) and sorted(itertools.chain(*by_turn)) == sorted(whole)
+    assert any(cell for _, _, cell, *_ in whole) == (hot == 15)
+    assert sum(worked) < 1.5 * turns * sum(map(len, sets))
+
+
+def test_near_duplicate_bytes_of_long_texts():
+    """The same bytes are counted whole, however many positions there are."""
+    rows = np.random.default_rng(5).integers(0, 256, (9_000, 768), dtype=np.uint8)
+    rows[1::2, :700] = rows[::2, :700]
+    eights = [np.ascontiguousarray(c) for c in rows.view(np.uint64).T]
+    a, b = np.arange(0, 9_000, 2).repeat(3), np.arange(1, 9_000, 2).repeat(3)
+    assert near_duplicates.tally(a, b, eights).tolist() == (rows[a] == rows[b]).sum(1).tolist()
+    assert near_duplicates.tally(a, a, eights).tolist() == [768] * len(a)
+    assert len(near_duplicates.tally(a[:0], b[:0], eights)) == 0
+
+
 def test_near_duplicate_bytes_keep_the_guaranteed_minimum():
     rng = np.random.default_rng(1)
     for positions, most in ((96, 160), (192, 320)):
