@@ -246,6 +246,37 @@ def brute_browser(symptoms, fields):
     return {d: round(p, 4) for d, p in out.items()}
 
 
+def test_forms_and_plans_leave_no_row_for_a_pair_of_case_and_document(spark, monkeypatch):
+    """In turns and small blocks the results are those of all awards; a task sends back the best documents of a case only."""
+    from quillspark.operators import blocks
+
+    monkeypatch.setattr(blocks, "TURN", 40)
+    monkeypatch.setattr(blocks, "MATRIX", 1)
+    some = ["head", "forehead", "burning", "throb", "throbbing", "night", "wine", "cold", "heat", "nausea", "pain", "right", "headache", "nights"]
+    docs = spark.createDataFrame([(d, [w for k, w in enumerate(some) if (d * 7919 + k * 104729) % (3 + k % 4) == 0]) for d in range(600)], "doc_id long, tokens array<string>").where("size(tokens) > 0")
+    posted = docs.select("doc_id", F.explode("tokens").alias("token"))
+    symptoms = spark.createDataFrame([(c, n, " ".join(some[(c + n + k) % len(some)] for k in range(4)), ["Head - Forehead", "", "Atlantis head"][(c + n) % 3], ["Burning", "Pulsating / Throbbing", ""][c % 3], ["Right", "N/A"][n], ["cold", "from wine"][: c % 3], ["night heat"][: n]) for c in range(30) for n in range(2)], "case_id long, n int, sx_desc string, sx_location string, sx_sensation string, sx_side string, sx_better array<string>, sx_worse array<string>")
+    fields = spark.createDataFrame([(c, f, 0, some[c % len(some)] + " " + some[(c * 5 + 1) % len(some)]) for c in range(30) for f in ("ailments_from", "thermal", "sleep_quality", "_checked", "additional")], "case_id long, field string, seq int, field_value string")
+    whole = lambda df: sorted((r.case, r.key, r.rank, r.score, r.pct, tuple(r.matched)) for r in df.collect())
+    for profile in (scoring.SERVER, scoring.BROWSER):
+        want = whole(scoring.ranked(scoring.form_awards(symptoms, fields, posted, "doc_id", profile), profile.top))
+        assert len(want) == 30 * profile.top and whole(scoring.ranked_forms(symptoms, fields, docs, "doc_id", profile)) == want
+        assert scoring.keywords_used(symptoms, fields, docs, "doc_id", profile).count() == 30
+    turn = next(blocks.turns(scoring._plan_rows(symptoms, fields, scoring.BROWSER)))
+    sets = blocks.token_sets(docs.repartition(2), "doc_id")
+    assert blocks.top_documents(turn, sets, scoring.BROWSER.points, 10)[0].count() <= 2 * 30 * 10
+    plans = spark.createDataFrame([(c, json.dumps({"search_groups": [{"label": "a", "required_terms": ["head"], "bonus_terms": ["night"], "weight": 1.25}, {"label": "b", "required_terms": [some[c], "pain"], "bonus_terms": ["wine", "cold!"]}]})) for c in range(3)], "case long, plan string")
+    hit = lambda t: {r.doc_id for r in docs.collect() if any(t in w for w in r.tokens)}
+    got = {(r.case, r.key): float(r.p) for r in scoring.plan_awards(plans, docs, spark.createDataFrame([], "idx long, names string"), "doc_id").groupBy("case", "key").agg(F.sum("points").alias("p")).collect()}
+    want = defaultdict(float)
+    for c in range(3):
+        a, b = hit("head"), hit(some[c]) & hit("pain")
+        for its, points in ((a, 1.25), (a & hit("night"), 0.375), (b, 2), ((a | b) & hit("wine"), 0.6)):
+            for k in its:
+                want[c, k] += points
+    assert got == pytest.approx(dict(want))
+
+
 def test_plan_scores(spark, posted):
     plan = {"search_groups": [{"label": "a", "required_terms": ["Head", "throb"], "bonus_terms": ["night", "of"], "weight": 3}, {"label": "b", "required_terms": [], "bonus_terms": ["wine", "burn"]}, {"label": "c", "required_terms": ["burn"], "bonus_terms": []}], "suggested_remedies": ["lamium", {"name": "nowhere at all"}]}
     plans = spark.createDataFrame([(1, f"```json\n{json.dumps(plan)}\n```"), (2, "no json"), (3, None)], "case long, plan string")
